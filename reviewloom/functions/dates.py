@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import bind
 from reviewloom.functions.ratings import to_int
 from reviewloom.functions.text import SPACE, strip
 
@@ -19,22 +20,30 @@ DATE_LIKE = (
 )
 
 
-def _days_before(reference: Column, count: Column, unit_days: int) -> Column:
+def _days_before(reference: Column, count: Column, unit_days: Column) -> Column:
     # a count too large for the calendar gives null, which callers treat as a failed row
-    days = F.try_multiply(count, F.lit(unit_days))
+    days = F.try_multiply(count, unit_days)
     day = F.when(days < 730_000, F.date_sub(F.to_date(reference), days))
     return F.when(F.year(day) >= 1, F.date_format(day, "yyyy-MM-dd"))
 
 
 def relative_date(raw: Column, reference: Column) -> Column:
     """``2 weeks ago`` as ``yyyy-MM-dd`` before the reference; other texts come back lower-cased."""
-    text = strip(F.regexp_replace(F.lower(strip(raw)), rf"(?d)[{SPACE}]+on[{SPACE}]+.*$", ""))
     patterns = [(rf"(\p{{Nd}}+)[{SPACE}]+{unit}", days) for unit, days in UNIT_DAYS.items()]
     patterns += [(rf"قبل[{SPACE}]+(\p{{Nd}}+)[{SPACE}]*{unit}", days) for unit, days in ARABIC_UNITS.items()]
-    result = F.when(F.coalesce(raw, F.lit("")) == "", F.lit(""))
-    for pattern, days in patterns:
-        result = result.when(
-            F.rlike(text, F.lit(pattern)),
-            _days_before(reference, to_int(F.regexp_extract(text, pattern, 1)), days),
+
+    def dated(text: Column) -> Column:
+        tries = F.array(
+            *(
+                F.struct(F.regexp_extract(text, pattern, 1).alias("count"), F.lit(days).alias("unit"))
+                for pattern, days in patterns
+            )
+        )
+        first = F.get(F.filter(tries, lambda t: t["count"] != ""), F.lit(0))
+        return bind(
+            first,
+            lambda t: F.when(t.isNull(), text).otherwise(_days_before(reference, to_int(t["count"]), t["unit"])),
         )
-    return result.otherwise(text)
+
+    text = strip(F.regexp_replace(F.lower(strip(raw)), rf"(?d)[{SPACE}]+on[{SPACE}]+.*$", ""))
+    return F.when(F.coalesce(raw, F.lit("")) == "", F.lit("")).otherwise(bind(text, dated))

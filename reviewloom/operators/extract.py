@@ -6,11 +6,13 @@ expression on the nodes of a single review block.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import bind
 from reviewloom.functions.dates import DATE_LIKE, relative_date
 from reviewloom.functions.ratings import rating_from_label, rating_from_stars, rating_single_digit
 from reviewloom.functions.text import is_blocked, or_default, snippet, strip
@@ -53,6 +55,10 @@ def _is_div(node: Column) -> Column:
     return node["tag"] == "div"
 
 
+def _div_of_class(name: str):
+    return lambda n: _is_div(n) & has_class(n, name)
+
+
 def with_nodes(pages: DataFrame, *marks: str) -> DataFrame:
     """Pages with a ``nodes`` column in place of ``html``.
 
@@ -65,16 +71,23 @@ def with_nodes(pages: DataFrame, *marks: str) -> DataFrame:
     return pages.withColumn("nodes", page_nodes(html)).drop("html")
 
 
-def explode_blocks(pages: DataFrame, chosen: Column) -> DataFrame:
-    """One row per chosen node, with ``block_no`` from 0 and ``nodes`` cut to its subtree."""
+def explode_blocks(pages: DataFrame, chosen: Column, record: Callable[[Column, Column], Column]) -> DataFrame:
+    """One row per chosen node: ``block_no`` from 0 and the fields of ``record(nodes, below)``.
+
+    ``nodes`` is the subtree of the block, ``below`` the same without the block itself.
+    """
     nodes = F.col("nodes")
     kept = [c for c in pages.columns if c != "nodes"]
-    subtrees = F.transform(chosen, lambda b: subtree(nodes, b))
+
+    def of_block(block: Column) -> Column:
+        return bind(
+            subtree(nodes, block),
+            lambda own: bind(F.slice(own, F.lit(2), F.size(own)), lambda below: record(own, below)),
+        )
+
     # the outer form keeps the optimizer from evaluating the array a second time in a filter
-    return (
-        pages.select(*kept, F.posexplode_outer(subtrees).alias("block_no", "nodes"))
-        .filter(F.col("block_no").isNotNull())
-    )
+    exploded = pages.select(*kept, F.posexplode_outer(F.transform(chosen, of_block)).alias("block_no", "record"))
+    return exploded.filter(F.col("block_no").isNotNull()).select(*kept, "block_no", "record.*")
 
 
 def _first_non_empty(*arrays: Column) -> Column:
@@ -84,10 +97,23 @@ def _first_non_empty(*arrays: Column) -> Column:
 # --- place pages, first rule set ------------------------------------------------------
 
 
+def _record_v1(nodes: Column, below: Column) -> Column:
+    author = first_node(below, lambda n: _is_div(n) & (F.array_join(n["classes"], " ") == V1_AUTHOR_CLASSES))
+    stars = first_node(below, lambda n: (n["tag"] == "span") & (attr(n, "role") == "img"))
+    body = first_node(below, lambda n: _is_div(n) & has_class(n, V1_TEXT_CLASS))
+    date = first_node(below, lambda n: (n["tag"] == "span") & has_class(n, V1_DATE_CLASS))
+    return F.struct(
+        F.coalesce(text_of(nodes, author, ""), F.lit(UNKNOWN_AUTHOR)).alias("author"),
+        attr(stars, "aria-label").alias("label"),
+        _blank(text_of(nodes, body)).alias("text"),
+        _blank(text_of(nodes, date)).alias("date_raw"),
+    )
+
+
 def review_blocks_v1(pages: DataFrame) -> DataFrame:
-    """Every ``div`` carrying a review id, nested ones included."""
+    """Every ``div`` carrying a review id, nested ones included, with the texts of its parts."""
     chosen = F.filter(F.col("nodes"), lambda n: _is_div(n) & has_attr(n, ID_ATTRIBUTE))
-    return explode_blocks(with_nodes(pages, ID_ATTRIBUTE), chosen)
+    return explode_blocks(with_nodes(pages, ID_ATTRIBUTE), chosen, _record_v1)
 
 
 def parsed_v1(pages: DataFrame) -> DataFrame:
@@ -95,24 +121,17 @@ def parsed_v1(pages: DataFrame) -> DataFrame:
 
     A block whose text is under ten characters or whose date cannot be computed is left out.
     """
-    below = F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 1, F.lit(0)))
-    nodes = F.col("nodes")
-
-    author = first_node(below, lambda n: _is_div(n) & (F.array_join(n["classes"], " ") == V1_AUTHOR_CLASSES))
-    stars = first_node(below, lambda n: (n["tag"] == "span") & (attr(n, "role") == "img"))
-    body = first_node(below, lambda n: _is_div(n) & has_class(n, V1_TEXT_CLASS))
-    date = first_node(below, lambda n: (n["tag"] == "span") & has_class(n, V1_DATE_CLASS))
-
     blocks = review_blocks_v1(pages.filter(~is_blocked(F.col("html"))))
-    kept = [c for c in blocks.columns if c != "nodes"]
-    rows = blocks.select(
+    kept = [c for c in pages.columns if c != "html"]
+    rows = blocks.filter(F.length("text") >= MIN_TEXT_LENGTH).select(
         *kept,
-        F.when(author.isNull(), UNKNOWN_AUTHOR).otherwise(text_of(nodes, author, "")).alias("author"),
-        F.coalesce(rating_single_digit(attr(stars, "aria-label")), F.lit(0)).alias("rating"),
-        _blank(text_of(nodes, body)).alias("text"),
-        relative_date(_blank(text_of(nodes, date)), F.col("fetched_at")).alias("review_date"),
+        "block_no",
+        "author",
+        F.coalesce(rating_single_digit(F.col("label")), F.lit(0)).alias("rating"),
+        "text",
+        relative_date(F.col("date_raw"), F.col("fetched_at")).alias("review_date"),
     )
-    return rows.filter((F.length("text") >= MIN_TEXT_LENGTH) & F.col("review_date").isNotNull())
+    return rows.filter(F.col("review_date").isNotNull())
 
 
 def reviews_v1(pages: DataFrame, max_reviews: int = 10) -> DataFrame:
@@ -127,12 +146,23 @@ def reviews_v1(pages: DataFrame, max_reviews: int = 10) -> DataFrame:
 # --- place pages, second rule set -----------------------------------------------------
 
 
+def _record_v2(nodes: Column, below: Column) -> Column:
+    return F.struct(
+        attr(nodes[0], ID_ATTRIBUTE).alias("given_id"),
+        _author_v2(nodes, below).alias("author"),
+        _rating_v2(nodes, below).alias("rating"),
+        _text_v2(nodes, below).alias("text"),
+        _date_v2(nodes, below).alias("date_raw"),
+    )
+
+
 def review_blocks_v2(pages: DataFrame) -> DataFrame:
     """Blocks of the first layout that yields any: by review id, else by one of three classes."""
     nodes = F.col("nodes")
     by_id = F.filter(nodes, lambda n: _is_div(n) & has_attr(n, ID_ATTRIBUTE))
-    by_class = [F.filter(nodes, lambda n, c=c: _is_div(n) & has_class(n, c)) for c in FALLBACK_BLOCK_CLASSES]
-    return explode_blocks(with_nodes(pages, ID_ATTRIBUTE, *FALLBACK_BLOCK_CLASSES), _first_non_empty(by_id, *by_class))
+    by_class = [F.filter(nodes, _div_of_class(c)) for c in FALLBACK_BLOCK_CLASSES]
+    parsed = with_nodes(pages, ID_ATTRIBUTE, *FALLBACK_BLOCK_CLASSES)
+    return explode_blocks(parsed, _first_non_empty(by_id, *by_class), _record_v2)
 
 
 def _author_v2(nodes: Column, below: Column) -> Column:
@@ -216,20 +246,9 @@ def review_key(given: Column, text: Column, author: Column) -> Column:
 
 def parsed_v2(pages: DataFrame) -> DataFrame:
     """Every usable review block with ``review_id`` and ``date_raw``, row by row (also for streams)."""
-    nodes = F.col("nodes")
-    below = F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 1, F.lit(0)))
-
     blocks = review_blocks_v2(pages.filter(~is_blocked(F.col("html"))))
-    kept = [c for c in blocks.columns if c != "nodes"]
-    parts = blocks.select(
-        *kept,
-        attr(nodes[0], ID_ATTRIBUTE).alias("given_id"),
-        _author_v2(nodes, below).alias("author"),
-        _rating_v2(nodes, below).alias("rating"),
-        _text_v2(nodes, below).alias("text"),
-        _date_v2(nodes, below).alias("date_raw"),
-    )
-    usable = parts.filter(F.length("text") >= MIN_TEXT_LENGTH)
+    kept = [c for c in pages.columns if c != "html"] + ["block_no"]
+    usable = blocks.filter(F.length("text") >= MIN_TEXT_LENGTH)
     return usable.select(
         *kept,
         review_key(F.col("given_id"), F.col("text"), F.col("author")).alias("review_id"),
@@ -260,8 +279,7 @@ def _search_reviews(nodes: Column) -> Column:
         links = F.filter(
             F.slice(nodes, F.lit(1), block["pos"]), lambda n: n["tag"].isin("div", "span") & (attr(n, "role") == "link")
         )
-        nearest = F.try_element_at(links, F.lit(-1))
-        return F.when(nearest.isNull(), UNKNOWN_AUTHOR).otherwise(text_of(nodes, nearest, ""))
+        return F.coalesce(text_of(nodes, F.try_element_at(links, F.lit(-1)), ""), F.lit(UNKNOWN_AUTHOR))
 
     return F.transform(
         F.slice(_first_non_empty(rated, long_texts), F.lit(1), F.lit(SEARCH_BLOCKS)),
@@ -331,36 +349,38 @@ def _round_blocks(nodes: Column) -> Column:
 
 def modal_review_ids(pages: DataFrame, min_length: int = 10) -> DataFrame:
     """Ids of the blocks in a review dialog; ids of up to ten characters are left out."""
-    nodes = F.col("nodes")
-    below = F.slice("nodes", F.lit(2), F.greatest(F.size("nodes") - 1, F.lit(0)))
-    stars = first_node(below, lambda n: F.contains(_blank(attr(n, "aria-label")), F.lit("star")))
-    author = first_node(
-        below,
-        lambda n: F.contains(_blank(attr(n, "class")), F.lit("author")) | F.contains(_blank(attr(n, "class")), F.lit("name")),
-    )
-    made = F.concat(
-        snippet(text_of(nodes, nodes[0])), F.lit("|"), _blank(attr(stars, "aria-label")), F.lit("|"),
-        _blank(text_of(nodes, author)),
-    )
-    blocks = explode_blocks(with_nodes(pages), _round_blocks(nodes))
-    kept = [c for c in blocks.columns if c != "nodes"]
-    ids = or_default(attr(nodes[0], ID_ATTRIBUTE), or_default(attr(nodes[0], "data-reviewid"), made))
-    return blocks.select(*kept, ids.alias("review_key")).filter(F.length("review_key") > min_length)
+
+    def record(nodes: Column, below: Column) -> Column:
+        stars = first_node(below, lambda n: F.contains(_blank(attr(n, "aria-label")), F.lit("star")))
+        author = first_node(
+            below,
+            lambda n: F.contains(_blank(attr(n, "class")), F.lit("author"))
+            | F.contains(_blank(attr(n, "class")), F.lit("name")),
+        )
+        made = F.concat(
+            snippet(text_of(nodes, nodes[0])), F.lit("|"), _blank(attr(stars, "aria-label")), F.lit("|"),
+            _blank(text_of(nodes, author)),
+        )
+        given = or_default(attr(nodes[0], ID_ATTRIBUTE), attr(nodes[0], "data-reviewid"))
+        return F.struct(or_default(given, made).alias("review_key"))
+
+    blocks = explode_blocks(with_nodes(pages), _round_blocks(F.col("nodes")), record)
+    return blocks.filter(F.length("review_key") > min_length)
 
 
 def live_review_ids(pages: DataFrame) -> DataFrame:
     """Ids seen while scrolling a place page: the id attribute, else the opening of the text."""
-    nodes = F.col("nodes")
     chosen = F.filter(
-        nodes, lambda n: _is_div(n) & (has_attr(n, ID_ATTRIBUTE) | any_class(n, *FALLBACK_BLOCK_CLASSES))
-    )
-    blocks = explode_blocks(with_nodes(pages, ID_ATTRIBUTE, *FALLBACK_BLOCK_CLASSES), chosen)
-    kept = [c for c in blocks.columns if c != "nodes"]
-    given = or_default(attr(nodes[0], ID_ATTRIBUTE), attr(nodes[0], "data-reviewid"))
-    return blocks.select(*kept, or_default(given, snippet(text_of(nodes, nodes[0]))).alias("review_key")).filter(
-        F.col("review_key") != ""
+        F.col("nodes"), lambda n: _is_div(n) & (has_attr(n, ID_ATTRIBUTE) | any_class(n, *FALLBACK_BLOCK_CLASSES))
     )
 
+    def record(nodes: Column, below: Column) -> Column:
+        given = or_default(attr(nodes[0], ID_ATTRIBUTE), attr(nodes[0], "data-reviewid"))
+        return F.struct(or_default(given, snippet(text_of(nodes, nodes[0]))).alias("review_key"))
+
+    blocks = explode_blocks(with_nodes(pages, ID_ATTRIBUTE, *FALLBACK_BLOCK_CLASSES), chosen, record)
+    return blocks.filter(F.col("review_key") != "")
+
 
 def loaded_counts(pages: DataFrame) -> DataFrame:
     """Per page: review blocks in the markup, and those that look filled in."""

@@ -27,6 +27,10 @@ def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     return F.filter(words, lambda w: ~w.isin(*stop_words))
 
 
+def _run_of(words: Column, length: int):
+    return lambda start: F.array_join(F.slice(words, start, F.lit(length)), " ")
+
+
 def with_terms(df: DataFrame, text_col: str, stop_words: Sequence[str], ngram_max: int = 2) -> DataFrame:
     """One row per occurrence of a term; word pairs are formed after stop words are gone."""
     words = df.withColumn("words", tokens(F.col(text_col), stop_words)).drop(text_col)
@@ -34,7 +38,7 @@ def with_terms(df: DataFrame, text_col: str, stop_words: Sequence[str], ngram_ma
     terms = F.col("words")
     for n in range(2, ngram_max + 1):
         starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1)))
-        runs = F.transform(starts, lambda i, n=n: F.array_join(F.slice(F.col("words"), i, F.lit(n)), " "))
+        runs = F.transform(starts, _run_of(F.col("words"), n))
         terms = F.concat(terms, F.coalesce(runs, F.array().cast("array<string>")))
     return words.select(*kept, F.explode(terms).alias("term"))
 

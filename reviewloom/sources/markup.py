@@ -7,18 +7,24 @@ that follows (selectors, texts, rules) is an ordinary array expression.
 
 from __future__ import annotations
 
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, MapType, StringType, StructField, StructType
 
+from reviewloom.functions.binding import bind
 from reviewloom.functions.text import strip
 
+# the parser travels inside the tasks, so executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 NODES = ArrayType(
     StructType(
         [
@@ -173,8 +179,12 @@ def parent_of(nodes: Column, node: Column) -> Column:
 
 def text_of(nodes: Column, node: Column, separator: str = " ") -> Column:
     """Stripped page texts below a node, joined by the separator; null for no node."""
-    texts = F.transform(F.filter(subtree(nodes, node), lambda n: n["tag"] == TEXT), lambda n: strip(n["text"]))
-    return F.array_join(F.filter(texts, lambda t: t != ""), separator)
+
+    def joined(found: Column) -> Column:
+        texts = F.transform(F.filter(subtree(nodes, found), lambda n: n["tag"] == TEXT), lambda n: strip(n["text"]))
+        return F.array_join(F.filter(texts, lambda t: t != ""), separator)
+
+    return bind(node, joined)
 
 
 def sole_text(nodes: Column, node: Column) -> Column:
