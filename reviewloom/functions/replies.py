@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import bind
 from reviewloom.functions.text import strip
 
 # The four fields of a reply and the records stored when there is none.
@@ -35,10 +36,16 @@ REQUEST_TASK = (
 
 def unfence(reply: Column) -> Column:
     """Body of a reply without the code fence around it."""
-    body = strip(reply)
-    body = F.when(F.startswith(body, F.lit(FENCE_OPEN)), strip(F.substr(body, F.lit(len(FENCE_OPEN) + 1)))).otherwise(body)
-    without_end = strip(F.substr(body, F.lit(1), F.length(body) - len(FENCE_CLOSE)))
-    return F.when(F.endswith(body, F.lit(FENCE_CLOSE)), without_end).otherwise(body)
+
+    def without_open(body: Column) -> Column:
+        rest = strip(F.substr(body, F.lit(len(FENCE_OPEN) + 1)))
+        return F.when(F.startswith(body, F.lit(FENCE_OPEN)), rest).otherwise(body)
+
+    def without_close(body: Column) -> Column:
+        rest = strip(F.substr(body, F.lit(1), F.length(body) - len(FENCE_CLOSE)))
+        return F.when(F.endswith(body, F.lit(FENCE_CLOSE)), rest).otherwise(body)
+
+    return bind(bind(strip(reply), without_open), without_close)
 
 
 def _fallback(template: dict[str, str], detail: Column) -> Column:
@@ -56,18 +63,19 @@ def parse_reply(reply: Column, error: Column | None = None) -> Column:
     Anything but a JSON object becomes the parse-error record; a failed call
     (``error`` set) becomes the call-error record.
     """
-    value = F.try_parse_json(unfence(reply))
-    is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
-    fields = []
-    for field in REPLY_FIELDS:
+    def field_of(value: Column, field: str) -> Column:
         # a JSON null yields a variant null here, a missing key yields SQL null
-        found = F.try_variant_get(value, f"$.{field}", "variant")
-        fields.append(
-            F.when(found.isNull(), F.lit(""))
-            .otherwise(F.try_variant_get(value, f"$.{field}", "string"))
-            .alias(field)
+        return bind(
+            F.try_variant_get(value, f"$.{field}", "variant"),
+            lambda found: F.when(found.isNull(), F.lit("")).otherwise(F.try_variant_get(found, "$", "string")),
         )
-    parsed = F.when(is_object, F.struct(*fields)).otherwise(_fallback(UNPARSED, reply))
+
+    def fields_of(value: Column) -> Column:
+        is_object = F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+        fields = F.struct(*(field_of(value, field).alias(field) for field in REPLY_FIELDS))
+        return F.when(is_object, fields).otherwise(_fallback(UNPARSED, reply))
+
+    parsed = bind(F.try_parse_json(unfence(reply)), fields_of)
     if error is None:
         return parsed
     return F.when(error.isNotNull(), _fallback(FAILED, error)).otherwise(parsed)
