@@ -348,6 +348,6 @@ def distinct_ids_per_branch(spark, sf):
     return reports.distinct_ids(docs.unionByName(talks), "branch_id", "review_key")
 
 
-@query("""SELECT item_id, text FROM benchmark WHERE text NOT IN (SELECT text FROM documents)""")
+@query("""SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)""")
 def ids_not_seen(spark, sf):
-    return not_seen(table(spark, sf, "benchmark"), table(spark, sf, "documents"), ["text"]).select("item_id", "text")
+    return not_seen(table(spark, sf, "documents").select("doc_id", "source"), table(spark, sf, "labels"), ["doc_id"])
