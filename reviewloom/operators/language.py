@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import bind
 from reviewloom.functions.text import text_key
 from reviewloom.session import broadcast_if_small, cut
 
@@ -12,8 +13,13 @@ GRAM = 3
 
 
 def _grams(text: Column) -> Column:
-    # a look-ahead matches at every position, so overlapping runs come out in one linear pass
-    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?s)(?=(.{{{GRAM}}}))"), F.lit(1))
+    """All runs of three characters, overlapping, in time linear in the text."""
+
+    def runs(chars: Column) -> Column:
+        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (GRAM - 1), F.lit(0)))
+        return F.transform(starts, lambda c, i: F.concat(c, *(F.get(chars, i + k) for k in range(1, GRAM))))
+
+    return bind(F.split(F.lower(text), ""), runs)
 
 
 def fit_profiles(samples: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -39,8 +45,9 @@ def detect_language(df: DataFrame, profiles: DataFrame, key: str, text_col: str
     left.  Runs meet the profiles where they are made (profiles are broadcast
     when their checked size allows) and are summed per text before the shuffle.
     """
-    length = F.greatest(F.char_length(F.lower(text_col)) - (GRAM - 1), F.lit(0))
-    grams = df.select(key, length.alias("runs"), F.explode(_grams(F.col(text_col))).alias("gram"))
+    # counted before the explode, so that only the key and the count travel with each run
+    texts = df.select(key, _grams(F.col(text_col)).alias("grams")).withColumn("runs", F.size("grams"))
+    grams = texts.select(key, "runs", F.explode("grams").alias("gram"))
     hinted = broadcast_if_small(profiles)
     if hinted is profiles:
         grams = grams.groupBy(key, "runs", "gram").agg(F.count("*").alias("times"))

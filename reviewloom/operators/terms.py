@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.operators.dedupe import first_n
 
-TOKEN = r"[\p{L}\p{N}_]{2,}"
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 TOP_TERMS = 10
 
 
@@ -21,25 +21,23 @@ def default_stop_words() -> list[str]:
 
 def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     """Lower-case words of two or more letters or digits, without stop words."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    words = F.split(F.lower(text), BETWEEN_WORDS)
     if not stop_words:
-        return words
-    return F.filter(words, lambda w: ~w.isin(*stop_words))
+        return F.filter(words, lambda w: F.length(w) >= 2)
+    return F.filter(words, lambda w: (F.length(w) >= 2) & ~w.isin(*stop_words))
 
 
-def _run_of(words: Column, length: int):
-    return lambda start: F.array_join(F.slice(words, start, F.lit(length)), " ")
+def _runs(words: Column, length: int) -> Column:
+    """Neighbouring words, ``length`` at a time, joined by blanks."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (length - 1), F.lit(0)))
+    return F.transform(starts, lambda w, i: F.concat_ws(" ", w, *(F.get(words, i + k) for k in range(1, length))))
 
 
 def with_terms(df: DataFrame, text_col: str, stop_words: Sequence[str], ngram_max: int = 2) -> DataFrame:
     """One row per occurrence of a term; word pairs are formed after stop words are gone."""
     words = df.withColumn("words", tokens(F.col(text_col), stop_words)).drop(text_col)
     kept = [c for c in words.columns if c != "words"]
-    terms = F.col("words")
-    for n in range(2, ngram_max + 1):
-        starts = F.when(F.size("words") >= n, F.sequence(F.lit(1), F.size("words") - (n - 1)))
-        runs = F.transform(starts, _run_of(F.col("words"), n))
-        terms = F.concat(terms, F.coalesce(runs, F.array().cast("array<string>")))
+    terms = F.concat(F.col("words"), *(_runs(F.col("words"), n) for n in range(2, ngram_max + 1)))
     return words.select(*kept, F.explode(terms).alias("term"))
 
 

@@ -54,8 +54,10 @@ def assign_topics(reviews: DataFrame, settings: TopicSettings = TopicSettings(),
     4. Topics are numbered from 0 by size; reviews without one get -1.
     """
     keys = ["branch_id", "review_id"]
+    # one shuffle of the texts; counting, scoring and choosing per review then stay where they are
+    spread = reviews.select(*keys, text_col).repartition(*keys)
     counted = (
-        with_terms(reviews.select(*keys, text_col), text_col, settings.words(), settings.ngram_max)
+        with_terms(spread, text_col, settings.words(), settings.ngram_max)
         .groupBy(*keys, "term")
         .agg(F.count("*").alias("tf"))
     )
