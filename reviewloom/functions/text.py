@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 # What counts as white space (Unicode), as a regex class body.
 SPACE = r"\t\n\x0B\f\r\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
+# The same as a plain string.
+SPACE_CHARACTERS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
 # Phrases of an anti-robot page.
 BLOCKED_PHRASES = (
     "unusual traffic",
@@ -27,7 +30,7 @@ TRANSLATED_NOTE = r"(?iu)\(Translated by Google\)"
 
 def strip(text: Column) -> Column:
     """Remove leading and trailing white space of any kind, not only blanks."""
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(SPACE_CHARACTERS))
 
 
 def collapse(text: Column) -> Column:

@@ -45,21 +45,28 @@ def detect_language(df: DataFrame, profiles: DataFrame, key: str, text_col: str
     left.  Runs meet the profiles where they are made (profiles are broadcast
     when their checked size allows) and are summed per text before the shuffle.
     """
+    # one row per language reaches the driver
+    bases = {r.lang: r.base for r in profiles.groupBy("lang").agg(F.first("base").alias("base")).collect()}
+    langs = sorted(bases)
+    model = cut(profiles.groupBy("gram").pivot("lang", langs).agg(F.first("gain")))
     # counted before the explode, so that only the key and the count travel with each run
     texts = df.select(key, _grams(F.col(text_col)).alias("grams")).withColumn("runs", F.size("grams"))
     grams = texts.select(key, "runs", F.explode("grams").alias("gram"))
-    hinted = broadcast_if_small(profiles)
-    if hinted is profiles:
+    hinted = broadcast_if_small(model)
+    if hinted is model:
         grams = grams.groupBy(key, "runs", "gram").agg(F.count("*").alias("times"))
     else:
         grams = grams.withColumn("times", F.lit(1))
-    scores = (
-        grams.join(hinted, "gram")
-        .groupBy(key, "lang")
-        .agg((F.sum(F.col("times") * F.col("gain")) + F.max("runs") * F.max("base")).alias("score"))
+    gains = [F.sum(F.col("times") * F.col(f"`{lang}`")).alias(f"gain_{i}") for i, lang in enumerate(langs)]
+    sums = grams.join(hinted, "gram").groupBy(key, "runs").agg(*gains)
+    scores = F.array(
+        *(
+            F.struct((F.col(f"gain_{i}") + F.col("runs") * bases[lang]).alias("score"), F.lit(lang).alias("lang"))
+            for i, lang in enumerate(langs)
+        )
     )
-    best = scores.groupBy(key).agg(F.max(F.struct("score", "lang"))["lang"].alias("lang_guess"))
-    return df.select(key).join(best, key, "left")
+    best = F.array_max(F.filter(scores, lambda s: s["score"].isNotNull()))["lang"]
+    return df.select(key).join(sums.select(key, best.alias("lang_guess")), key, "left")
 
 
 def translate_from(reviews: DataFrame, memory: DataFrame, needs: Column, text_col: str = "original_text") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from reviewloom.functions.binding import with_computed
 from reviewloom.functions.text import is_blocked, keep_english
 from reviewloom.operators.dedupe import first_n, keep_first
 
@@ -123,14 +124,15 @@ def completed_percent(status: DataFrame) -> DataFrame:
 
 def english_reviews(reviews: DataFrame, text_col: str = "text") -> DataFrame:
     """Reviews with their English part; those left empty are dropped."""
-    cleaned = reviews.withColumn(text_col, keep_english(F.col(text_col)))
+    cleaned = with_computed(reviews, text_col, keep_english(F.col(text_col)))
     return cleaned.filter(F.col(text_col) != "")
 
 
 def cleaning_counts(reviews: DataFrame, by: Sequence[str], text_col: str = "text") -> DataFrame:
     """Found, kept and skipped reviews of the English cleaning, in one pass."""
-    empty = F.coalesce(keep_english(F.col(text_col)), F.lit("")) == ""
-    return reviews.groupBy(*by).agg(
+    cleaned = with_computed(reviews, text_col, keep_english(F.col(text_col)))
+    empty = F.coalesce(text_col, F.lit("")) == ""
+    return cleaned.groupBy(*by).agg(
         F.count("*").alias("found"), F.count_if(~empty).alias("kept"), F.count_if(empty).alias("skipped")
     )
 

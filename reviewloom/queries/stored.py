@@ -9,7 +9,7 @@ from reviewloom.operators.extract import snippet
 from reviewloom.queries.registry import query
 from reviewloom.queries.views import BRANCHES, INSIGHTS, META, REVIEWS, branches, insights, meta, reviews, table
 from reviewloom.queries.scalars import MARKED_SQL, SQL_ENGLISH, marked
-from reviewloom.session import scratch_path
+from reviewloom.session import cut, scratch_path
 from reviewloom.sinks.files import nested_json
 from reviewloom.sinks.store import ReviewStore
 from reviewloom.streaming.snapshots import each_batch, land_reviews, run_to_parquet, unique_over_time
@@ -32,7 +32,9 @@ SELECT branch_id, count(*) AS reviews, count(*) FILTER (rating > 0) AS rated,
 FROM kept GROUP BY branch_id""")
 def reviews_by_branch(spark, sf):
     kept = reports.english_reviews(marked(spark, sf)).filter(F.length("text") >= 10)
-    once = reports.keep_first(kept, ["branch_id", snippet(F.col("text"))], ["review_id"])
+    columns = ["review_id", "branch_id", "rating", "scraped_at", "text"]
+    # the report reads the unique reviews twice: for its counts and for its samples
+    once = cut(reports.keep_first(kept.select(*columns), ["branch_id", snippet(F.col("text"))], ["review_id"]))
     report = reports.reviews_by_branch(once)
     shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("first_scraped", "last_scraped")}
     return report.withColumns({**shown, "samples": F.array_join("samples", "~")})

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import SPACE
+from reviewloom.sources.tables import read_spread
 
 # parameters of the text queries
 STOP_WORDS = ("the", "and", "for", "with", "that", "les", "des", "que", "der", "die", "und", "los", "las", "una")
@@ -15,7 +16,7 @@ STOP_LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_spread(spark, f"{sf_dir}/{name}.parquet")
 
 
 def sql_strip(text: str) -> str:
