@@ -73,15 +73,18 @@ def translate_from(reviews: DataFrame, memory: DataFrame, needs: Column, text_co
     """``normalized_text``: the stored translation where ``needs`` holds and one exists, else the text.
 
     ``memory`` is ``(text, translated)``.  Only texts that need a translation
-    take part in the join, by hash; the others keep null as their key.
+    take part in the join, by hash; all others pass through without a shuffle.
     """
-    wanted = reviews.withColumn("_key", F.when(needs, text_key(F.col(text_col))))
+    needed = F.coalesce(needs, F.lit(False))
     known = memory.groupBy(text_key(F.col("text")).alias("_key")).agg(F.min("translated").alias("_translated"))
-    return (
-        wanted.join(known, "_key", "left")
+    foreign = (
+        reviews.filter(needed)
+        .withColumn("_key", text_key(F.col(text_col)))
+        .join(known, "_key", "left")
         .withColumn("normalized_text", F.coalesce("_translated", text_col))
         .drop("_key", "_translated")
     )
+    return reviews.filter(~needed).withColumn("normalized_text", F.col(text_col)).unionByName(foreign)
 
 
 def pending_translations(reviews: DataFrame, memory: DataFrame, needs: Column, text_col: str = "original_text") -> DataFrame:
