@@ -29,7 +29,9 @@ def fit_profiles(samples: DataFrame, text_col: str = "text", lang_col: str = "la
     beyond ``base``, the smoothed value of a run never seen in it.
     """
     counts = cut(
-        samples.select(F.col(lang_col).alias("lang"), F.explode(_grams(F.col(text_col))).alias("gram"))
+        # the outer form keeps the optimizer from making the runs a second time in a filter
+        samples.select(F.col(lang_col).alias("lang"), F.explode_outer(_grams(F.col(text_col))).alias("gram"))
+        .filter(F.col("gram").isNotNull())
         .groupBy("lang", "gram")
         .agg(F.count("*").alias("n"))
     )
@@ -51,7 +53,7 @@ def detect_language(df: DataFrame, profiles: DataFrame, key: str, text_col: str
     model = cut(profiles.groupBy("gram").pivot("lang", langs).agg(F.first("gain")))
     # counted before the explode, so that only the key and the count travel with each run
     texts = df.select(key, _grams(F.col(text_col)).alias("grams")).withColumn("runs", F.size("grams"))
-    grams = texts.select(key, "runs", F.explode("grams").alias("gram"))
+    grams = texts.select(key, "runs", F.explode_outer("grams").alias("gram")).filter(F.col("gram").isNotNull())
     hinted = broadcast_if_small(model)
     if hinted is model:
         grams = grams.groupBy(key, "runs", "gram").agg(F.count("*").alias("times"))
