@@ -22,6 +22,7 @@ FAILED = {
     "summary": "Error generating summary: ",
     "recommendation": "Rerun pipeline.",
 }
+LENIENT = "struct<" + ", ".join(f"{field}: string" for field in REPLY_FIELDS) + ", broken: string>"
 FENCE_OPEN = "```json"
 FENCE_CLOSE = "```"
 
@@ -75,7 +76,21 @@ def parse_reply(reply: Column, error: Column | None = None) -> Column:
         fields = F.struct(*(field_of(value, field).alias(field) for field in REPLY_FIELDS))
         return F.when(is_object, fields).otherwise(_fallback(UNPARSED, reply))
 
-    parsed = bind(F.try_parse_json(unfence(reply)), fields_of)
+    def read(body: Column) -> Column:
+        # repeated keys and bare NaN are no JSON for the parser above, but common readers take them: the last value counts
+        lenient = bind(
+            F.from_json(body, LENIENT, {"columnNameOfCorruptRecord": "broken"}),
+            lambda found: F.when(
+                found["broken"].isNull() & F.startswith(body, F.lit("{")),
+                F.struct(*(F.coalesce(found[field], F.lit("")).alias(field) for field in REPLY_FIELDS)),
+            ),
+        )
+        return bind(
+            F.try_parse_json(body),
+            lambda value: F.when(value.isNull(), F.coalesce(lenient, _fallback(UNPARSED, reply))).otherwise(fields_of(value)),
+        )
+
+    parsed = bind(unfence(reply), read)
     if error is None:
         return parsed
     return F.when(error.isNotNull(), _fallback(FAILED, error)).otherwise(parsed)

@@ -41,12 +41,12 @@ def not_seen(new: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def new_per_round(sightings: DataFrame, keys: Sequence[str], group: str, round_col: str) -> DataFrame:
     """Per group and round: ids first seen in that round, and distinct ids so far."""
-    first = sightings.groupBy(group, *keys).agg(F.min(round_col).alias(round_col))
-    fresh = first.groupBy(group, round_col).agg(F.count("*").alias("new_ids"))
-    rounds = sightings.groupBy(group, round_col).agg(F.count("*").alias("sightings"))
-    so_far = Window.partitionBy(group).orderBy(round_col)
-    return (
-        rounds.join(fresh, [group, round_col], "left")
-        .withColumn("new_ids", F.coalesce("new_ids", F.lit(0)))
-        .withColumn("seen_ids", F.sum("new_ids").over(so_far))
+    # one pass: sightings per key and round, the key's first round beside them, then sums per round
+    each = sightings.groupBy(group, *keys, round_col).agg(F.count("*").alias("n"))
+    by_key = Window.partitionBy(group, *keys)
+    marked = each.withColumn("first", F.min(round_col).over(by_key) == F.col(round_col))
+    rounds = marked.groupBy(group, round_col).agg(
+        F.sum("n").alias("sightings"), F.count_if(F.col("first")).alias("new_ids")
     )
+    so_far = Window.partitionBy(group).orderBy(round_col)
+    return rounds.withColumn("seen_ids", F.sum("new_ids").over(so_far))

@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 from reviewloom.functions.binding import bind
 from reviewloom.functions.dates import DATE_LIKE, relative_date
 from reviewloom.functions.ratings import rating_from_label, rating_from_stars, rating_single_digit
-from reviewloom.functions.text import is_blocked, or_default, snippet, strip
+from reviewloom.functions.text import is_blocked, or_default, snippet, strip, text_key
 from reviewloom.functions.urls import is_place_link, place_id, unwrap_redirect
 from reviewloom.operators.dedupe import first_n, keep_first
 from reviewloom.sources.markup import (
-    TEXT, any_class, attr, first_node, has_attr, has_class, is_element, page_nodes, parent_of, sole_text, subtree,
+    ERROR, TEXT, any_class, attr, first_node, has_attr, has_class, is_element, page_nodes, parent_of, sole_text, subtree,
     text_of,
 )
 
@@ -42,8 +42,6 @@ V2_DATE_ATTRIBUTE = "data-review-date"
 ROUND_BLOCK_CLASSES = ("jftiEf", "MyEned", "section-review-content", "hjmQqc", "VjjEkf")
 UNKNOWN_AUTHOR = "Unknown"
 MIN_TEXT_LENGTH = 10
-SEARCH_BLOCKS = 10
-SEARCH_TEXT_LENGTH = 2000
 LONG_TEXT_LENGTH = 50
 
 
@@ -62,12 +60,14 @@ def _div_of_class(name: str):
 def with_nodes(pages: DataFrame, *marks: str) -> DataFrame:
     """Pages with a ``nodes`` column in place of ``html``.
 
-    With ``marks``, pages that contain none of them hold no block of interest
-    and skip the parser.
+    With ``marks``, names of attributes in lower case, pages that contain none
+    of them hold no block of interest and skip the parser.  Values cannot be
+    such marks, since markup may write them with entities.
     """
     html = F.col("html")
     if marks:
-        html = F.when(reduce(lambda a, b: a | b, (F.contains(html, F.lit(m)) for m in marks)), html)
+        lowered = F.lower(html)
+        html = F.when(reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(m)) for m in marks)), html)
     return pages.withColumn("nodes", page_nodes(html)).drop("html")
 
 
@@ -90,6 +90,22 @@ def explode_blocks(pages: DataFrame, chosen: Column, record: Callable[[Column, C
     return exploded.filter(F.col("block_no").isNotNull()).select(*kept, "block_no", "record.*")
 
 
+def page_errors(pages: DataFrame) -> DataFrame:
+    """Pages that could not be parsed: ``page_id, url, error``."""
+    failed = first_node(F.col("nodes"), lambda n: n["tag"] == ERROR)
+    found = with_nodes(pages).select("page_id", "url", failed["text"].alias("error"))
+    return found.filter(F.col("error").isNotNull())
+
+
+def same_text(text: Column, opening: int | None = None) -> Column:
+    """What makes two texts the same: all of them, or only their first characters if so many are given."""
+    return text_key(text) if opening is None else snippet(text, opening)
+
+
+def _first(rows: DataFrame, keys: list, order: list, limit: int | None) -> DataFrame:
+    return rows if limit is None else first_n(rows, keys, order, limit)
+
+
 def _first_non_empty(*arrays: Column) -> Column:
     return reduce(lambda rest, a: F.when(F.size(a) > 0, a).otherwise(rest), reversed(arrays))
 
@@ -116,31 +132,36 @@ def review_blocks_v1(pages: DataFrame) -> DataFrame:
     return explode_blocks(with_nodes(pages, ID_ATTRIBUTE), chosen, _record_v1)
 
 
-def parsed_v1(pages: DataFrame) -> DataFrame:
+def parsed_v1(pages: DataFrame, min_length: int = MIN_TEXT_LENGTH) -> DataFrame:
     """Every usable review block of the pages, row by row (also for streams).
 
-    A block whose text is under ten characters or whose date cannot be computed is left out.
+    A block with a shorter text is left out; a date that cannot be computed stays as it was read.
     """
     blocks = review_blocks_v1(pages.filter(~is_blocked(F.col("html"))))
     kept = [c for c in pages.columns if c != "html"]
-    rows = blocks.filter(F.length("text") >= MIN_TEXT_LENGTH).select(
+    return blocks.filter(F.length("text") >= min_length).select(
         *kept,
         "block_no",
         "author",
         F.coalesce(rating_single_digit(F.col("label")), F.lit(0)).alias("rating"),
         "text",
-        relative_date(F.col("date_raw"), F.col("fetched_at")).alias("review_date"),
+        _review_date(),
     )
-    return rows.filter(F.col("review_date").isNotNull())
 
 
-def reviews_v1(pages: DataFrame, max_reviews: int = 10) -> DataFrame:
-    """``author, rating, text, review_date`` of the first reviews of each page.
+def _review_date() -> Column:
+    raw = F.col("date_raw")
+    return F.coalesce(relative_date(raw, F.col("fetched_at")), strip(raw)).alias("review_date")
+
 
-    Repeats of the same opening are left out before the limit applies.
+def reviews_v1(pages: DataFrame, max_reviews: int | None = None, opening: int | None = None) -> DataFrame:
+    """``author, rating, text, review_date`` of each page's reviews, or of the first so many.
+
+    Repeats of a text are left out before the limit applies; with ``opening`` two
+    texts are the same when their first characters are.
     """
-    unique = keep_first(parsed_v1(pages), ["page_id", snippet(F.col("text"))], ["block_no"])
-    return first_n(unique, ["page_id"], ["block_no"], max_reviews)
+    unique = keep_first(parsed_v1(pages), ["page_id", same_text(F.col("text"), opening)], ["block_no"])
+    return _first(unique, ["page_id"], ["block_no"], max_reviews)
 
 
 # --- place pages, second rule set -----------------------------------------------------
@@ -161,8 +182,7 @@ def review_blocks_v2(pages: DataFrame) -> DataFrame:
     nodes = F.col("nodes")
     by_id = F.filter(nodes, lambda n: _is_div(n) & has_attr(n, ID_ATTRIBUTE))
     by_class = [F.filter(nodes, _div_of_class(c)) for c in FALLBACK_BLOCK_CLASSES]
-    parsed = with_nodes(pages, ID_ATTRIBUTE, *FALLBACK_BLOCK_CLASSES)
-    return explode_blocks(parsed, _first_non_empty(by_id, *by_class), _record_v2)
+    return explode_blocks(with_nodes(pages), _first_non_empty(by_id, *by_class), _record_v2)
 
 
 def _author_v2(nodes: Column, below: Column) -> Column:
@@ -238,39 +258,44 @@ def _date_v2(nodes: Column, below: Column) -> Column:
     return F.coalesce(F.nullif(text_of(nodes, styled), F.lit("")), strip(dated["text"]), F.lit(""))
 
 
-def review_key(given: Column, text: Column, author: Column) -> Column:
-    """The review id of the markup, else an id made of the opening of the text and the author."""
-    made = F.concat(F.lit("snippet:"), snippet(text), F.lit("|author:"), author)
+def review_key(given: Column, text: Column, author: Column, opening: int | None = None) -> Column:
+    """The review id of the markup, else one made of the author and the text, or its first characters."""
+    label = "text:" if opening is None else "snippet:"
+    made = F.concat(F.lit(label), same_text(text, opening), F.lit("|author:"), author)
     return or_default(given, made)
 
 
-def parsed_v2(pages: DataFrame) -> DataFrame:
+def parsed_v2(pages: DataFrame, min_length: int = MIN_TEXT_LENGTH, opening: int | None = None) -> DataFrame:
     """Every usable review block with ``review_id`` and ``date_raw``, row by row (also for streams)."""
     blocks = review_blocks_v2(pages.filter(~is_blocked(F.col("html"))))
     kept = [c for c in pages.columns if c != "html"] + ["block_no"]
-    usable = blocks.filter(F.length("text") >= MIN_TEXT_LENGTH)
+    usable = blocks.filter(F.length("text") >= min_length)
     return usable.select(
         *kept,
-        review_key(F.col("given_id"), F.col("text"), F.col("author")).alias("review_id"),
+        review_key(F.col("given_id"), F.col("text"), F.col("author"), opening).alias("review_id"),
         "author",
         "rating",
         "text",
-        relative_date(F.col("date_raw"), F.col("fetched_at")).alias("review_date"),
+        _review_date(),
         "date_raw",
         F.date_format("fetched_at", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"),
-    ).filter(F.col("review_date").isNotNull())
+    )
 
 
-def reviews_v2(pages: DataFrame, max_reviews: int = 200) -> DataFrame:
-    """The first reviews of each page; repeats of an id are left out before the limit."""
+def reviews_v2(pages: DataFrame, max_reviews: int | None = None) -> DataFrame:
+    """The reviews of each page, or the first so many; repeats of an id are left out before the limit."""
     unique = keep_first(parsed_v2(pages), ["page_id", "review_id"], ["block_no"])
-    return first_n(unique, ["page_id"], ["block_no"], max_reviews)
+    return _first(unique, ["page_id"], ["block_no"], max_reviews)
 
 
 # --- search pages ---------------------------------------------------------------------
 
 
-def _search_reviews(nodes: Column) -> Column:
+def _head(text: Column, length: int | None) -> Column:
+    return text if length is None else F.substring(text, 1, length)
+
+
+def _search_reviews(nodes: Column, max_blocks: int | None, max_text: int | None) -> Column:
     """The reviews of one search page as an array of structs."""
     rated = F.filter(nodes, lambda n: _is_div(n) & F.contains(_blank(attr(n, "aria-label")), F.lit("Rated")))
     long_texts = F.filter(nodes, lambda n: _is_div(n) & (F.length(sole_text(nodes, n)) > LONG_TEXT_LENGTH))
@@ -281,20 +306,24 @@ def _search_reviews(nodes: Column) -> Column:
         )
         return F.coalesce(text_of(nodes, F.try_element_at(links, F.lit(-1)), ""), F.lit(UNKNOWN_AUTHOR))
 
+    blocks = _first_non_empty(rated, long_texts)
     return F.transform(
-        F.slice(_first_non_empty(rated, long_texts), F.lit(1), F.lit(SEARCH_BLOCKS)),
+        blocks if max_blocks is None else F.slice(blocks, F.lit(1), F.lit(max_blocks)),
         lambda b: F.struct(
             author(b).alias("author"),
             F.coalesce(rating_from_stars(attr(b, "aria-label")), F.lit(0)).alias("rating"),
-            F.substring(text_of(nodes, b), 1, SEARCH_TEXT_LENGTH).alias("text"),
+            _head(text_of(nodes, b), max_text).alias("text"),
             F.lit("").alias("review_date"),
         ),
     )
 
 
-def place_records(pages: DataFrame) -> DataFrame:
-    """One nested record per page: title, link, place id, first reviews and the head of the source."""
-    head = pages.withColumn("raw_html", F.substring("html", 1, SEARCH_TEXT_LENGTH))
+def place_records(pages: DataFrame, max_blocks: int | None = None, max_text: int | None = None) -> DataFrame:
+    """One nested record per page: title, link, place id, reviews and source.
+
+    ``max_blocks`` limits the reviews of a page, ``max_text`` the characters of a review and of the source.
+    """
+    head = pages.withColumn("raw_html", _head(F.col("html"), max_text))
     parsed = head.withColumn("nodes", page_nodes(F.col("html")))
     nodes = F.col("nodes")
     title = text_of(nodes, first_node(nodes, lambda n: n["tag"] == "title"))
@@ -303,15 +332,15 @@ def place_records(pages: DataFrame) -> DataFrame:
         _blank(title).alias("name"),
         "url",
         place_id(F.col("url")).alias("place_id"),
-        _search_reviews(nodes).alias("reviews"),
+        _search_reviews(nodes, max_blocks, max_text).alias("reviews"),
         "raw_html",
     )
 
 
-def reviews_search(pages: DataFrame) -> DataFrame:
+def reviews_search(pages: DataFrame, max_blocks: int | None = None, max_text: int | None = None) -> DataFrame:
     """The reviews of :func:`place_records`, one per row."""
     return (
-        place_records(pages)
+        place_records(pages, max_blocks, max_text)
         .select("page_id", "url", F.posexplode_outer("reviews").alias("block_no", "review"))
         .filter(F.col("block_no").isNotNull())
         .select("page_id", "url", "block_no", "review.*")
@@ -324,16 +353,16 @@ def links(pages: DataFrame) -> DataFrame:
         F.filter(F.col("nodes"), lambda n: (n["tag"] == "a") & has_attr(n, "href")), lambda n: attr(n, "href")
     )
     return (
-        with_nodes(pages, "href", "HREF")
+        with_nodes(pages, "href")
         .select("page_id", "url", F.posexplode_outer(hrefs).alias("link_no", "href"))
         .filter(F.col("link_no").isNotNull())
     )
 
 
-def place_links(pages: DataFrame, max_places: int = 5) -> DataFrame:
-    """Unwrapped links to places, distinct in first-seen order, the first few of each page."""
+def place_links(pages: DataFrame, max_places: int | None = None) -> DataFrame:
+    """Unwrapped links to places, distinct in first-seen order; all of a page or the first so many."""
     found = links(pages).filter(is_place_link(F.col("href"))).withColumn("href", unwrap_redirect(F.col("href")))
-    return first_n(keep_first(found, ["page_id", "href"], ["link_no"]), ["page_id"], ["link_no"], max_places)
+    return _first(keep_first(found, ["page_id", "href"], ["link_no"]), ["page_id"], ["link_no"], max_places)
 
 
 # --- ids and counts while a page grows -------------------------------------------------
@@ -358,7 +387,7 @@ def modal_review_ids(pages: DataFrame, min_length: int = 10) -> DataFrame:
             | F.contains(_blank(attr(n, "class")), F.lit("name")),
         )
         made = F.concat(
-            snippet(text_of(nodes, nodes[0])), F.lit("|"), _blank(attr(stars, "aria-label")), F.lit("|"),
+            text_of(nodes, nodes[0]), F.lit("|"), _blank(attr(stars, "aria-label")), F.lit("|"),
             _blank(text_of(nodes, author)),
         )
         given = or_default(attr(nodes[0], ID_ATTRIBUTE), attr(nodes[0], "data-reviewid"))
@@ -369,16 +398,16 @@ def modal_review_ids(pages: DataFrame, min_length: int = 10) -> DataFrame:
 
 
 def live_review_ids(pages: DataFrame) -> DataFrame:
-    """Ids seen while scrolling a place page: the id attribute, else the opening of the text."""
+    """Ids seen while scrolling a place page: the id attribute, else the text."""
     chosen = F.filter(
         F.col("nodes"), lambda n: _is_div(n) & (has_attr(n, ID_ATTRIBUTE) | any_class(n, *FALLBACK_BLOCK_CLASSES))
     )
 
     def record(nodes: Column, below: Column) -> Column:
         given = or_default(attr(nodes[0], ID_ATTRIBUTE), attr(nodes[0], "data-reviewid"))
-        return F.struct(or_default(given, snippet(text_of(nodes, nodes[0]))).alias("review_key"))
+        return F.struct(or_default(given, text_of(nodes, nodes[0])).alias("review_key"))
 
-    blocks = explode_blocks(with_nodes(pages, ID_ATTRIBUTE, *FALLBACK_BLOCK_CLASSES), chosen, record)
+    blocks = explode_blocks(with_nodes(pages), chosen, record)
     return blocks.filter(F.col("review_key") != "")
 
 
@@ -397,7 +426,7 @@ def loaded_counts(pages: DataFrame) -> DataFrame:
         )
         return (F.length(F.array_join(texts, "")) > 20) | starred
 
-    found = with_nodes(pages, ID_ATTRIBUTE, *FALLBACK_BLOCK_CLASSES).withColumn("blocks", blocks)
+    found = with_nodes(pages).withColumn("blocks", blocks)
     count = lambda a: F.coalesce(F.nullif(F.size(a), F.lit(-1)), F.lit(0))
     return found.select(
         "page_id",

@@ -2,73 +2,71 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.feature import CountVectorizer, NGram
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.binding import bind
 from reviewloom.functions.text import text_key
-from reviewloom.session import broadcast_if_small, cut
 
 GRAM = 3
+# Runs and languages a model may know; both reach the driver.
+MAX_RUNS, MAX_LANGUAGES = 1 << 18, 1_000
 
 
-def _grams(text: Column) -> Column:
-    """All runs of three characters, overlapping, in time linear in the text."""
+@dataclass(frozen=True)
+class LanguageModel:
+    """A fitted pipeline from character runs to a language number, and the languages by number."""
 
-    def runs(chars: Column) -> Column:
-        starts = F.slice(chars, F.lit(1), F.greatest(F.size(chars) - (GRAM - 1), F.lit(0)))
-        return F.transform(starts, lambda c, i: F.concat(c, *(F.get(chars, i + k) for k in range(1, GRAM))))
+    stages: PipelineModel
+    languages: tuple[str, ...]
 
-    return bind(F.split(F.lower(text), ""), runs)
 
+def _chars(df: DataFrame, text_col: str) -> DataFrame:
+    # a text without any run of three is nobody's; empty characters at the end are none
+    chars = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), ""), lambda c: c != "")
+    return df.withColumn("_chars", chars)
 
-def fit_profiles(samples: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``(gram, lang, gain, base)``: the counts of a naive Bayes model over character runs.
 
-    ``gain`` is what one occurrence adds to the log-likelihood of a language
-    beyond ``base``, the smoothed value of a run never seen in it.
-    """
-    counts = cut(
-        # the outer form keeps the optimizer from making the runs a second time in a filter
-        samples.select(F.col(lang_col).alias("lang"), F.explode_outer(_grams(F.col(text_col))).alias("gram"))
-        .filter(F.col("gram").isNotNull())
-        .groupBy("lang", "gram")
-        .agg(F.count("*").alias("n"))
-    )
-    vocabulary = counts.select("gram").distinct().count()
-    base = counts.groupBy("lang").agg((-F.log(F.sum("n") + F.lit(vocabulary))).alias("base"))
-    return cut(counts.join(base, "lang").select("gram", "lang", F.log1p("n").alias("gain"), "base"))
+def fit_language(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", max_runs: int = MAX_RUNS) -> LanguageModel:
+    """Naive Bayes over overlapping runs of three characters, fitted on labelled texts."""
+    labelled = samples.filter(F.col(lang_col).isNotNull())
+    languages = sorted(r[0] for r in labelled.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(languages) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages; clean the label column first")
+    number = F.array_position(F.array(*map(F.lit, languages)), F.col(lang_col)) - 1
+    rows = _chars(labelled.select(text_col, number.cast("double").alias("_label")), text_col).drop(text_col)
+    stages = Pipeline(
+        stages=[
+            NGram(n=GRAM, inputCol="_chars", outputCol="_runs"),
+            CountVectorizer(vocabSize=max_runs, inputCol="_runs", outputCol="_counts"),
+            NaiveBayes(featuresCol="_counts", labelCol="_label", predictionCol="_language", smoothing=1.0),
+        ]
+    ).fit(rows)
+    return LanguageModel(stages, tuple(languages))
 
 
-def detect_language(df: DataFrame, profiles: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """``key, lang_guess``: the most likely language of the whole text.
+def detect_language(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """``df`` with ``lang_guess``, the most likely language of the whole text; null for a text of fewer than three characters.
 
-    Languages that share no run with the text are out; null means none is
-    left.  Runs meet the profiles where they are made (profiles are broadcast
-    when their checked size allows) and are summed per text before the shuffle.
+    Scoring is one step over the rows: nothing is exploded, joined or shuffled.
     """
-    # one row per language reaches the driver
-    bases = {r.lang: r.base for r in profiles.groupBy("lang").agg(F.first("base").alias("base")).collect()}
-    langs = sorted(bases)
-    model = cut(profiles.groupBy("gram").pivot("lang", langs).agg(F.first("gain")))
-    # counted before the explode, so that only the key and the count travel with each run
-    texts = df.select(key, _grams(F.col(text_col)).alias("grams")).withColumn("runs", F.size("grams"))
-    grams = texts.select(key, "runs", F.explode_outer("grams").alias("gram")).filter(F.col("gram").isNotNull())
-    hinted = broadcast_if_small(model)
-    if hinted is model:
-        grams = grams.groupBy(key, "runs", "gram").agg(F.count("*").alias("times"))
-    else:
-        grams = grams.withColumn("times", F.lit(1))
-    gains = [F.sum(F.col("times") * F.col(f"`{lang}`")).alias(f"gain_{i}") for i, lang in enumerate(langs)]
-    sums = grams.join(hinted, "gram").groupBy(key, "runs").agg(*gains)
-    scores = F.array(
-        *(
-            F.struct((F.col(f"gain_{i}") + F.col("runs") * bases[lang]).alias("score"), F.lit(lang).alias("lang"))
-            for i, lang in enumerate(langs)
-        )
-    )
-    best = F.array_max(F.filter(scores, lambda s: s["score"].isNotNull()))["lang"]
-    return df.select(key).join(sums.select(key, best.alias("lang_guess")), key, "left")
+    kept = df.columns
+    scored = model.stages.transform(_chars(df, text_col))
+    guess = F.get(F.array(*map(F.lit, model.languages)), F.col("_language").cast("int"))
+    # without a known run all counts are zero and only the languages' frequencies would speak
+    has_run = F.col("_language").isNotNull() & (F.size("_runs") > 0)
+    return scored.select(*kept, F.when(has_run, guess).alias("lang_guess"))
+
+
+def agreement(detected: DataFrame, by: Sequence[str], lang_col: str = "lang") -> DataFrame:
+    """Texts and rightly labelled ones per group."""
+    right = F.count_if(F.coalesce(F.col("lang_guess") == F.col(lang_col), F.lit(False)))
+    return detected.groupBy(*by).agg(F.count("*").alias("texts"), right.alias("right"))
 
 
 def translate_from(reviews: DataFrame, memory: DataFrame, needs: Column, text_col: str = "original_text") -> DataFrame:

@@ -33,6 +33,14 @@ def latest_runs(meta: DataFrame, n: int = 10) -> DataFrame:
     return meta.orderBy(F.desc_nulls_first("analysis_date"), F.desc("meta_id")).limit(n)
 
 
+def _iso_time(time: Column) -> Column:
+    """A time as text, with microseconds if it has any."""
+    whole = F.date_trunc("second", time) == time
+    return F.when(whole, F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss")).otherwise(
+        F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    )
+
+
 def nested_insights(insights: DataFrame, meta: DataFrame, n: int = 10) -> DataFrame:
     """Latest runs, each with its topics as an ordered array (empty without any)."""
     runs = latest_runs(meta, n).select("meta_id", "branch_id", "branch_name", "analysis_date")
@@ -56,7 +64,7 @@ def nested_insights(insights: DataFrame, meta: DataFrame, n: int = 10) -> DataFr
         "meta_id",
         "branch_id",
         "branch_name",
-        F.date_format("analysis_date", "yyyy-MM-dd'T'HH:mm:ss").alias("analysis_date"),
+        _iso_time(F.col("analysis_date")).alias("analysis_date"),
         F.coalesce("topics", empty).alias("topics"),
     )
 
@@ -93,11 +101,11 @@ def reviews_by_branch(reviews: DataFrame, samples: int = 5) -> DataFrame:
     return totals.join(texts, "branch_id", "left")
 
 
-def collection_status(pages: DataFrame, found: DataFrame) -> DataFrame:
-    """Per branch: skipped and why, else how many reviews were found.
+def branch_verdicts(pages: DataFrame) -> DataFrame:
+    """Per branch link: ``name, skipped, reason``, blocked at any snapshot being skipped.
 
     ``pages`` is ``(name, url, html, snapshot_no)`` with the first snapshot
-    taken before and later ones after loading; ``found`` is ``(url, found)``.
+    taken before and later ones after loading.
     """
     blocked = pages.select("name", "url", "snapshot_no", is_blocked(F.col("html")).alias("blocked"))
     verdict = blocked.groupBy("url").agg(
@@ -107,13 +115,21 @@ def collection_status(pages: DataFrame, found: DataFrame) -> DataFrame:
         F.min("snapshot_no").alias("_first"),
     )
     reason = F.when(F.col("_blocked_at") == F.col("_first"), "captcha").when(F.col("skipped"), "captcha_after_scroll")
-    return verdict.join(found, "url", "left").select(
-        "name",
-        "url",
-        "skipped",
-        reason.alias("reason"),
-        F.when(~F.col("skipped"), F.coalesce("found", F.lit(0))).alias("found"),
-    )
+    return verdict.select("url", "name", "skipped", reason.alias("reason"))
+
+
+def collection_status(pages: DataFrame, found: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """Per branch: skipped and why, else how many reviews were found, how many of them are new, and pages not parsed.
+
+    ``found`` is ``(url, found, new)``; ``errors`` has a row with ``url`` for every page that could not be parsed.
+    """
+    verdict = branch_verdicts(pages).join(found, "url", "left")
+    if errors is not None:
+        verdict = verdict.join(errors.groupBy("url").agg(F.count("*").alias("errors")), "url", "left")
+    else:
+        verdict = verdict.withColumn("errors", F.lit(0).cast("long"))
+    count = lambda c: F.when(~F.col("skipped"), F.coalesce(c, F.lit(0))).alias(c)
+    return verdict.select("name", "url", "skipped", "reason", count("found"), count("new"), count("errors"))
 
 
 def completed_percent(status: DataFrame) -> DataFrame:

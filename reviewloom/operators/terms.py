@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.dedupe import first_n
@@ -19,6 +19,14 @@ def default_stop_words() -> list[str]:
     return StopWordsRemover.loadDefaultStopWords("english")
 
 
+def read_stop_words(spark: SparkSession, path: str, limit: int = 10_000) -> tuple[str, ...]:
+    """A stop list from a text file, one word a line; a longer file than ``limit`` is no stop list."""
+    words = [r[0] for r in spark.read.text(path).select(F.lower(F.trim("value"))).limit(limit + 1).collect()]
+    if len(words) > limit:
+        raise ValueError(f"more than {limit} stop words in {path}")
+    return tuple(sorted(set(words) - {""}))
+
+
 def tokens(text: Column, stop_words: Sequence[str]) -> Column:
     """Lower-case words of two or more letters or digits, without stop words."""
     words = F.split(F.lower(text), BETWEEN_WORDS)

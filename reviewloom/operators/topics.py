@@ -7,14 +7,16 @@ the number of words and never with the number of review pairs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.terms import default_stop_words, keyword_lists, topic_terms, with_terms
-from reviewloom.session import broadcast_if_small, cut
+from reviewloom.operators.upsert import assign_ids
+from reviewloom.session import broadcast_if_small, cut, land
 
 OUTLIER = -1
 
@@ -26,21 +28,23 @@ class TopicSettings:
     min_topic_size: int = 5
     ngram_max: int = 2
     min_share: float = 0.0  # a term must occur in this share of the branch's reviews …
-    max_share: float = 0.5  # … and in no more than this share
-    stop_words: tuple[str, ...] | None = field(default=None, compare=False)
+    max_share: float = 1.0  # … and in no more than this share; idf weighs common terms down as it is
+    stop_words: tuple[str, ...] | None = None
 
     def words(self) -> Sequence[str]:
         return default_stop_words() if self.stop_words is None else self.stop_words
 
 
 def settings_json(settings: TopicSettings) -> Column:
-    """``{"min_topic_size":5,"ngram_range":[1,2]}``"""
-    return F.to_json(
-        F.struct(
-            F.lit(settings.min_topic_size).alias("min_topic_size"),
-            F.array(F.lit(1), F.lit(settings.ngram_max)).alias("ngram_range"),
-        )
-    )
+    """All settings as one JSON object; stop words are ``"english"`` or the list in use."""
+    values = {
+        "min_topic_size": settings.min_topic_size,
+        "ngram_range": [1, settings.ngram_max],
+        "min_share": settings.min_share,
+        "max_share": settings.max_share,
+        "stop_words": "english" if settings.stop_words is None else list(settings.stop_words),
+    }
+    return F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False))
 
 
 def assign_topics(reviews: DataFrame, settings: TopicSettings = TopicSettings(), text_col: str = "normalized_text") -> DataFrame:
@@ -54,12 +58,12 @@ def assign_topics(reviews: DataFrame, settings: TopicSettings = TopicSettings(),
     4. Topics are numbered from 0 by size; reviews without one get -1.
     """
     keys = ["branch_id", "review_id"]
-    # one shuffle of the texts; counting, scoring and choosing per review then stay where they are
-    spread = reviews.select(*keys, text_col).repartition(*keys)
-    counted = (
-        with_terms(spread, text_col, settings.words(), settings.ngram_max)
+    # texts are taken apart in one job; everything after it reads the written counts
+    counted = land(
+        with_terms(reviews.select(*keys, text_col), text_col, settings.words(), settings.ngram_max)
         .groupBy(*keys, "term")
-        .agg(F.count("*").alias("tf"))
+        .agg(F.count("*").alias("tf")),
+        "term-counts",
     )
     sizes = reviews.groupBy("branch_id").agg(F.count("*").alias("n"))
     low = F.greatest(F.lit(settings.min_topic_size), F.ceil(F.col("n") * settings.min_share))
@@ -71,10 +75,8 @@ def assign_topics(reviews: DataFrame, settings: TopicSettings = TopicSettings(),
         .filter((F.col("df") >= low) & (F.col("df") <= F.col("n") * settings.max_share))
         .select("branch_id", "term", F.log(F.col("n") / F.col("df")).alias("idf"))
     )
-    scored = cut(
-        counted.join(broadcast_if_small(candidates), ["branch_id", "term"]).select(
-            *keys, "term", (F.col("tf") * F.col("idf")).alias("score")
-        )
+    scored = counted.join(broadcast_if_small(candidates), ["branch_id", "term"]).select(
+        *keys, "term", (F.col("tf") * F.col("idf")).alias("score")
     )
     first_choice = _choose(scored)
     kept = cut(
@@ -99,9 +101,16 @@ def _choose(scored: DataFrame) -> DataFrame:
 
 
 def _number(sizes: DataFrame) -> DataFrame:
-    """Topics of each branch numbered from 0, the largest first."""
-    window = Window.partitionBy("branch_id").orderBy(F.desc("size"), "anchor")
-    return sizes.select("branch_id", "anchor", (F.row_number().over(window) - 1).alias("topic"))
+    """Topics of each branch numbered from 0, the largest first.
+
+    All topics are numbered in one distributed sort; a branch's numbers follow
+    each other in it, so only the first of each has to be known.
+    """
+    ranked = assign_ids(sizes, ["branch_id", F.desc("size"), "anchor"], "_rank")
+    first = ranked.groupBy(F.col("branch_id").alias("_branch")).agg(F.min("_rank").alias("_first"))
+    return ranked.join(first, F.col("branch_id").eqNullSafe(F.col("_branch"))).select(
+        "branch_id", "anchor", (F.col("_rank") - F.col("_first")).cast("int").alias("topic")
+    )
 
 
 def all_outliers(reviews: DataFrame) -> DataFrame:
@@ -118,6 +127,11 @@ def topic_shares(topics: DataFrame, group: str = "branch_id", topic_col: str = "
     return counts.withColumn("percentage", percentage(F.col("size"), total))
 
 
+def topics_by_size(topics: DataFrame, group: str = "branch_id", topic_col: str = "topic") -> DataFrame:
+    """:func:`topic_shares` in order: branch by branch, the largest topic first."""
+    return topic_shares(topics, group, topic_col).orderBy(group, F.desc("size"), topic_col)
+
+
 def percentage(part: Column, total: Column) -> Column:
     """Exact decimal percentage with two places."""
     exact = part.cast("decimal(18,0)") * 100 / total.cast("decimal(18,0)")
@@ -130,3 +144,8 @@ def topic_overview(topics: DataFrame, settings: TopicSettings = TopicSettings(),
     words = topic_terms(topics, text_col, stop_words=settings.words(), ngram_max=settings.ngram_max)
     sizes = topics.groupBy(*keys).agg(F.count("*").alias("size"))
     return sizes.join(keyword_lists(words, keys), keys, "left")
+
+
+def overview_head(overview: DataFrame, n: int = 5) -> DataFrame:
+    """The first topics of an overview, by size over all branches."""
+    return overview.orderBy(F.desc("size"), "branch_id", "topic").limit(n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,16 +11,17 @@ from pyspark.sql import functions as F
 from reviewloom.functions.text import or_default, text_key
 from reviewloom.functions.urls import place_id
 from reviewloom.operators.dedupe import keep_first
-from reviewloom.session import cut
+from reviewloom.session import land
 
 
-def assign_ids(df: DataFrame, order: Sequence[str], id_col: str, start: Column | int = 0) -> DataFrame:
+def assign_ids(df: DataFrame, order: Sequence[str | Column], id_col: str, start: Column | int = 0) -> DataFrame:
     """Consecutive ids ``start + 1, start + 2, …`` in the given order.
 
-    Rows are range-partitioned and numbered inside their partition; only the
-    partition sizes are summed up, so no task sees the whole table.
+    Rows are written, range-partitioned and numbered inside their partition;
+    only the partition sizes are summed up, so no task sees the whole table and
+    the sampling of the ranges does not compute the rows again.
     """
-    spread = cut(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    spread = land(land(df, "ids").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ids")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition
     offsets = spread.groupBy("_part").agg(F.count("*").alias("_n")).withColumn(
@@ -47,7 +49,10 @@ def upsert(base: DataFrame, batch: DataFrame, keys: Sequence[str], latest_last:
     broadcast and the table is passed through without a shuffle.
     """
     winners = keep_first(batch, keys, [_reversed(c) for c in latest_last]).select(*base.columns)
-    return base.join(winners.select(*keys), list(keys), "left_anti").select(*base.columns).unionByName(winners)
+    # a null key is a key like any other, so that applying a batch twice changes nothing
+    named = winners.select(*(F.col(k).alias(f"_{k}") for k in keys))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys))
+    return base.join(named, same, "left_anti").select(*base.columns).unionByName(winners)
 
 
 def _reversed(column: str | Column) -> Column:
@@ -89,8 +94,9 @@ def upsert_branches_by_url(branches: DataFrame, batch: DataFrame, order: Sequenc
 
     ``batch`` is ``(name, url, scraped_at)``; the last row per link counts, but
     an empty name never replaces a stored one.  A link stored more than once is
-    refreshed at its lowest id.
+    refreshed at its lowest id.  Rows without a link are left out.
     """
+    batch = batch.filter(F.col("url").isNotNull())
     named = F.max_by(F.nullif("name", F.lit("")), F.when(F.nullif("name", F.lit("")).isNotNull(), F.struct(*order)))
     seen = batch.groupBy("url").agg(
         named.alias("_name"), F.max_by("scraped_at", F.struct(*order)).alias("_scraped_at")
@@ -118,8 +124,10 @@ def upsert_branches_by_place(branches: DataFrame, batch: DataFrame, order: Seque
     ``batch`` is ``(name, url, scraped_at)``.  A place that is stored under its
     place id or its link only gets a new date (at the lowest matching id); of
     the others the first per place id is added.  Two equi-joins stand for the
-    ``or``, which would otherwise need a nested-loop join.
+    ``or``, which would otherwise need a nested-loop join.  Rows without a link
+    are left out.
     """
+    batch = batch.filter(F.col("url").isNotNull())
     places = batch.withColumn("place_id", place_id(F.col("url")))
     keys = places.groupBy("place_id", "url").agg(F.max("scraped_at").alias("scraped_at"))
     by_place = keys.join(branches.select("place_id", F.col("id").alias("match")), "place_id")

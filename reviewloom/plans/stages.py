@@ -6,20 +6,25 @@ all branches in one job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.functions.text import is_arabic
+from reviewloom.functions.text import is_arabic, normalize_simple
+from reviewloom.functions.urls import place_id
 from reviewloom.operators.analysis import analysis_requests, analysis_results, run_headers
-from reviewloom.operators.extract import reviews_v1
-from reviewloom.operators.language import translate_from
-from reviewloom.operators.reports import collection_status, nested_insights, reviews_by_branch
+from reviewloom.operators.dedupe import first_n, keep_first
+from reviewloom.operators.extract import page_errors, parsed_v1, parsed_v2, place_records, same_text
+from reviewloom.operators.language import LanguageModel, detect_language, translate_from
+from reviewloom.operators.reports import branch_verdicts, collection_status, english_reviews, nested_insights, reviews_by_branch
 from reviewloom.operators.topics import TopicSettings, all_outliers, assign_topics
-from reviewloom.operators.upsert import assign_ids, new_reviews, next_id, upsert, upsert_branches_by_url
-from reviewloom.session import cut
+from reviewloom.operators.upsert import (
+    assign_ids, new_reviews, next_id, split_oversize, upsert, upsert_branches_by_place, upsert_branches_by_url,
+)
+from reviewloom.schemas import WIDTHS
+from reviewloom.session import cut, land
 from reviewloom.sinks.store import ReviewStore
 from reviewloom.sources.tables import branch_ids_of, normalized_texts, reviews_for_normalising
 
@@ -28,7 +33,10 @@ from reviewloom.sources.tables import branch_ids_of, normalized_texts, reviews_f
 class RunOptions:
     """What a user may switch on, off or limit."""
 
-    max_reviews: int = 50
+    max_reviews: int | None = None
+    layout: int = 1
+    keep_english: bool = False
+    detect: LanguageModel | None = None
     model_topics: bool = True
     analyse: bool = True
     topics: TopicSettings = TopicSettings()
@@ -38,22 +46,91 @@ def collect(store: ReviewStore, branches: DataFrame, pages: DataFrame, options:
     """Store the branches and new reviews of the pages; returns the status per branch.
 
     ``branches`` is ``(name, url)``; ``pages`` follows :data:`reviewloom.schemas.PAGES`.
+    A branch that was blocked at any snapshot is skipped whole: it is neither
+    stored nor dated and none of its reviews are.
     """
-    named = pages.join(branches.select("name", "url"), "url")
-    found = cut(reviews_v1(named, options.max_reviews))
-    seen = named.groupBy("url", "name").agg(F.max("fetched_at").alias("scraped_at"))
+    named = pages.join(branches.select("name", "url").dropDuplicates(["url"]), "url")
+    good, found = collected_reviews(named, options)
+    found = land(found, "found")
+    seen = good.groupBy("url", "name").agg(F.max("fetched_at").alias("scraped_at"))
     store.replace("branches", upsert_branches_by_url(store.read("branches"), seen, ["scraped_at", "name"]))
     rows = branch_ids_of(found, store.read("branches")).withColumn("scraped_at", F.col("fetched_at"))
     part = f"run-{run}"
-    order = ["page_id", "block_no"]
-    store.append("reviews", new_reviews(rows, store.read("reviews", without_part=part), order), part)
-    return collection_status(named, found.groupBy("url").agg(F.count("*").alias("found")))
+    fits, rejected = split_oversize(rows, WIDTHS["reviews"])
+    fresh = land(new_reviews(fits, store.read("reviews", without_part=part), ["snapshot_no", "page_id", "block_no"]), "new")
+    store.append("reviews", fresh, part)
+    land(rejected.select("url", "author", "text", "review_date", "oversize"), "rejected-reviews")
+    links = store.read("branches").select(F.col("id").alias("branch_id"), "url")
+    added = fresh.groupBy("branch_id").agg(F.count("*").alias("new")).join(links, "branch_id").select("url", "new")
+    counts = found.groupBy("url").agg(F.count("*").alias("found")).join(added, "url", "left")
+    return collection_status(named, counts, page_errors(named))
 
 
-def normalise(store: ReviewStore, memory: DataFrame, needs: Callable[[Column], Column] = is_arabic) -> None:
-    """Refresh the normalised reviews from the reviews table and the translation memory."""
+def collected_reviews(named: DataFrame, options: RunOptions) -> tuple[DataFrame, DataFrame]:
+    """The pages of branches that were never blocked, and their reviews, each once per branch.
+
+    Snapshots accumulate: of a review seen more than once the first sighting
+    counts.  A limit applies to the reviews of a branch.
+    """
+    passed = branch_verdicts(named).filter(~F.col("skipped")).select("url")
+    good = named.join(passed, "url", "left_semi")
+    if options.layout == 1:
+        parsed = parsed_v1(good).withColumn("_key", same_text(F.col("text")))
+    else:
+        parsed = parsed_v2(good).withColumn("_key", F.col("review_id"))
+    if options.keep_english:
+        parsed = english_reviews(parsed)
+    order = ["snapshot_no", "page_id", "block_no"]
+    unique = keep_first(parsed, ["url", "_key"], order).drop("_key")
+    return good, unique if options.max_reviews is None else first_n(unique, ["url"], order, options.max_reviews)
+
+
+def review_rows(named: DataFrame, options: RunOptions = RunOptions(layout=2, keep_english=True)) -> DataFrame:
+    """Collected reviews as rows of the review CSV: second layout, English part, named by branch."""
+    _, found = collected_reviews(named, options)
+    return found.select(
+        F.col("name").alias("branch_name"), F.col("url").alias("branch_url"), "review_id", "author", "rating", "text",
+        "review_date", "date_raw", "scraped_at",
+    )
+
+
+def collect_places(store: ReviewStore, pages: DataFrame, run: str) -> None:
+    """The search flow: place records become branches by place id or link, their reviews are added."""
+    records = land(place_records(pages).join(pages.select("page_id", "fetched_at", "snapshot_no"), "page_id"), "places")
+    batch = records.select("name", "url", F.col("fetched_at").alias("scraped_at"))
+    store.replace("branches", upsert_branches_by_place(store.read("branches"), batch, ["scraped_at", "name", "url"]))
+    found = records.select("url", "page_id", "snapshot_no", "fetched_at", F.posexplode("reviews").alias("block_no", "review"))
+    known = store.read("branches").select(F.col("place_id").alias("_place"), F.col("id").alias("_by_place"))
+    rows = found.select("*", "review.*", place_id(F.col("url")).alias("_place")).drop("review")
+    rows = branch_ids_of(rows, store.read("branches")).join(known.groupBy("_place").agg(F.min("_by_place").alias("_by_place")), "_place", "left")
+    rows = rows.withColumn("branch_id", F.coalesce("branch_id", "_by_place")).withColumn("scraped_at", F.col("fetched_at"))
+    part = f"run-{run}"
+    fresh = new_reviews(rows, store.read("reviews", without_part=part), ["snapshot_no", "page_id", "block_no"])
+    store.append("reviews", fresh, part)
+
+
+def normalise(
+    store: ReviewStore,
+    memory: DataFrame,
+    needs: Callable[[Column], Column] = is_arabic,
+    model: LanguageModel | None = None,
+    foreign: Sequence[str] = ("ar",),
+    simple: bool = False,
+) -> None:
+    """Refresh the normalised reviews from the reviews table and the translation memory.
+
+    Which texts want a translation is told by ``needs``, a test of the script,
+    or by a fitted language ``model`` and the ``foreign`` languages.  ``simple``
+    is the fallback without any translation: one line in lower case.
+    """
     rows = reviews_for_normalising(store.read("reviews"))
-    translated = translate_from(rows, memory, needs(F.col("original_text")))
+    if simple:
+        translated = rows.withColumn("normalized_text", normalize_simple(F.col("original_text")))
+    elif model is not None:
+        guessed = detect_language(rows, model, "original_text")
+        translated = translate_from(guessed, memory, F.col("lang_guess").isin(*foreign)).drop("lang_guess")
+    else:
+        translated = translate_from(rows, memory, needs(F.col("original_text")))
     store.replace("normalized_reviews", upsert(store.read("normalized_reviews"), translated, ["review_id"], ["scraped_at"]))
 
 
@@ -97,7 +174,7 @@ def run(
     """
     store.ensure()
     status = collect(store, branches, pages, options, name)
-    normalise(store, memory)
+    normalise(store, memory, model=options.detect)
     topics = cut(find_topics(store, options))
     if options.model_topics and options.analyse:
         save_insights(store, topics, answer(analysis_requests(topics, options.topics)), options, name)

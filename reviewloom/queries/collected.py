@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from reviewloom.functions.text import text_key
 from reviewloom.operators import extract, reports
 from reviewloom.operators.dedupe import first_n, keep_first, new_per_round, not_seen, union_first_seen
+from reviewloom.plans import stages
 from reviewloom.queries.registry import query
 from reviewloom.queries.views import PAGED, REVIEWS, escaped, pages_of, reviews, table
+from reviewloom.session import scratch_path
+from reviewloom.sinks.store import ReviewStore
 from reviewloom.sources.branch_list import branches_of
 from reviewloom.sources.tables import branch_ids_of, normalized_texts, reviews_for_normalising
 
@@ -83,14 +87,13 @@ def pages_v1(spark, sf):
 
 
 @query(f"""WITH {PAGED}, usable AS (
-  SELECT *, row_number() OVER (PARTITION BY page_id, substring(stripped, 1, 160) ORDER BY block_no) AS nth
-  FROM paged WHERE length(stripped) >= 10), kept AS (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY block_no) AS n FROM usable WHERE nth = 1)
+  SELECT *, row_number() OVER (PARTITION BY page_id, stripped ORDER BY block_no) AS nth
+  FROM paged WHERE length(stripped) >= 10)
 SELECT page_id, url, block_no, CASE WHEN review_id % 5 = 0 THEN 'Unknown' ELSE author END AS author,
   CASE review_id % 7 WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 4 WHEN 5 THEN 3 ELSE 0 END AS rating,
-  stripped AS text, {READ_DATE_V1} AS review_date FROM kept WHERE n <= 10""")
+  stripped AS text, {READ_DATE_V1} AS review_date FROM usable WHERE nth = 1""")
 def page_reviews_v1(spark, sf):
-    found = extract.reviews_v1(pages_v1(spark, sf), max_reviews=10)
+    found = extract.reviews_v1(pages_v1(spark, sf))
     return found.select("page_id", "url", "block_no", "author", "rating", "text", "review_date")
 
 
@@ -141,13 +144,12 @@ def pages_v2(spark, sf):
     CASE review_id % 3 WHEN 0 THEN '2 weeks ago' WHEN 1 THEN 'March 2024' ELSE 'edited 2 days ago' END AS date_raw,
     CASE review_id % 3 WHEN 0 THEN '2025-10-01' WHEN 1 THEN 'march 2024' ELSE '2025-10-13' END AS review_date,
     CASE WHEN page_no % 4 = 0 THEN 'r' || (review_id % 160) END AS given FROM paged WHERE length(stripped) >= 10),
-keyed AS (SELECT *, coalesce(given, 'snippet:' || substring(text, 1, 160) || '|author:' || author) AS review_id FROM read),
-once AS (SELECT *, row_number() OVER (PARTITION BY page_id, review_id ORDER BY block_no) AS nth FROM keyed),
-kept AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY block_no) AS n FROM once WHERE nth = 1)
+keyed AS (SELECT *, coalesce(given, 'text:' || sha256(text) || '|author:' || author) AS review_id FROM read),
+once AS (SELECT *, row_number() OVER (PARTITION BY page_id, review_id ORDER BY block_no) AS nth FROM keyed)
 SELECT page_id, url, block_no, review_id, author, rating, text, date_raw, review_date, '2025-10-15 12:00:00' AS scraped_at
-FROM kept WHERE n <= 200""")
+FROM once WHERE nth = 1""")
 def page_reviews_v2(spark, sf):
-    found = extract.reviews_v2(pages_v2(spark, sf), max_reviews=200)
+    found = extract.reviews_v2(pages_v2(spark, sf))
     return found.select(
         "page_id", "url", "block_no", "review_id", "author", "rating", "text", "date_raw", "review_date", "scraped_at"
     )
@@ -166,8 +168,8 @@ def pages_search(spark, sf):
 
 
 SEARCH_ROWS = f"""{PAGED}, found AS (
-  SELECT page_id, url, branch_id, block_no, author, CAST(review_id % 6 AS INT) AS rating, substring(stripped, 1, 2000) AS text
-  FROM paged WHERE block_no < 10)"""
+  SELECT page_id, url, branch_id, block_no, author, CAST(review_id % 6 AS INT) AS rating, stripped AS text,
+    replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS source_text FROM paged)"""
 
 
 @query(f"WITH {SEARCH_ROWS} SELECT page_id, url, block_no, author, rating, text, '' AS review_date FROM found")
@@ -176,20 +178,24 @@ def search_page_reviews(spark, sf):
 
 
 @query(f"""WITH {SEARCH_ROWS} SELECT page_id, 'Place ' || branch_id AS name, url, url AS place_id,
-  string_agg(author || '|' || rating || '|' || text, '~' ORDER BY block_no) AS reviews
+  string_agg(author || '|' || rating || '|' || text, '~' ORDER BY block_no) AS reviews,
+  sha256('<html><head><title> Place ' || branch_id || ' </title></head>' || string_agg('<span role="link">' || author
+    || '</span><i>x</i><div aria-label="Rated ' || rating || ' stars">' || source_text || '</div>', '' ORDER BY block_no)
+    || '<p>end</body></html>') AS raw_sha256
 FROM found GROUP BY page_id, branch_id, url""")
 def place_records(spark, sf):
     records = extract.place_records(pages_search(spark, sf))
     lines = F.transform("reviews", lambda r: F.concat_ws("|", r["author"], r["rating"], r["text"]))
-    return records.select("page_id", "name", "url", "place_id", F.array_join(lines, "~").alias("reviews"))
+    return records.select(
+        "page_id", "name", "url", "place_id", F.array_join(lines, "~").alias("reviews"), F.sha2("raw_html", 256).alias("raw_sha256")
+    )
 
 
 @query(f"""WITH {PAGED}, hrefs AS (
   SELECT page_id, url, 2 * block_no AS link_no, 'https://www.google.com/maps/place/' || (review_id % 7) AS href FROM paged
   WHERE review_id % 3 <> 2), firsts AS (
-  SELECT page_id, url, href, min(link_no) AS link_no FROM hrefs GROUP BY ALL), kept AS (
-  SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY link_no) AS n FROM firsts)
-SELECT page_id, url, link_no, href FROM kept WHERE n <= 5""")
+  SELECT page_id, url, href, min(link_no) AS link_no FROM hrefs GROUP BY ALL)
+SELECT page_id, url, link_no, href FROM firsts""")
 def place_links(spark, sf):
     target = F.concat(F.lit("https://www.google.com/maps/place/"), F.col("review_id") % 7)
     kind = F.col("review_id") % 3
@@ -199,7 +205,7 @@ def place_links(spark, sf):
         .otherwise(F.concat(F.lit("/search/"), "review_id"))
     )
     block = F.concat(F.lit("<a href='"), href, F.lit("'>place</a><a href=/help>help</a><a>none</a>"))
-    return extract.place_links(pages_of(spark, sf, block), max_places=5)
+    return extract.place_links(pages_of(spark, sf, block))
 
 
 @query("""SELECT page_id, url, CAST(i - 1 AS INT) AS link_no, hrefs[i] AS href FROM (
@@ -228,7 +234,7 @@ def pages_growing(spark, sf):
 
 @query(f"""WITH {PAGED}, ids AS (SELECT page_id, CAST(CASE review_id % 4 WHEN 0 THEN CAST(review_id AS VARCHAR)
     WHEN 1 THEN 'review-number-' || review_id
-    WHEN 2 THEN substring(author || ' ' || stripped, 1, 160) || '|4 stars|' || author
+    WHEN 2 THEN author || ' ' || stripped || '|4 stars|' || author
     ELSE review_id || '||' END AS VARCHAR) AS review_key FROM paged)
 SELECT page_id, review_key FROM ids WHERE length(review_key) > 10""")
 def dialog_review_ids(spark, sf):
@@ -236,7 +242,7 @@ def dialog_review_ids(spark, sf):
 
 
 @query(f"""WITH {PAGED} SELECT page_id, CASE review_id % 4 WHEN 0 THEN CAST(review_id AS VARCHAR)
-    WHEN 1 THEN 'review-number-' || review_id ELSE substring(author || ' ' || stripped, 1, 160) END AS review_key
+    WHEN 1 THEN 'review-number-' || review_id ELSE author || ' ' || stripped END AS review_key
 FROM paged WHERE review_id % 4 <> 3""")
 def scrolled_review_ids(spark, sf):
     return extract.live_review_ids(pages_growing(spark, sf)).select("page_id", "review_key")
@@ -268,13 +274,16 @@ def _status(spark, sf):
     after = pages.withColumn("snapshot_no", F.lit(1)).withColumn(
         "html", F.when(F.col("page_id") % 7 == 1, F.concat("html", F.lit("recaptcha"))).otherwise(F.col("html"))
     )
-    found = extract.links(pages).groupBy("url").agg(F.count("*").alias("found"))
+    fresh = F.count_if(F.col("link_no") % 2 == 0).alias("new")
+    found = extract.links(pages).groupBy("url").agg(F.count("*").alias("found"), fresh)
     return reports.collection_status(before.unionByName(after), found)
 
 
 STATUS_SQL = """status AS (SELECT 'place ' || page_id AS name, url, page_id % 7 IN (0, 1) AS skipped,
   CASE page_id % 7 WHEN 0 THEN 'captcha' WHEN 1 THEN 'captcha_after_scroll' END AS reason,
-  CASE WHEN page_id % 7 > 1 THEN len(regexp_extract_all(html, '<a href=')) END AS found FROM pages)"""
+  CASE WHEN page_id % 7 > 1 THEN len(regexp_extract_all(html, '<a href=')) END AS found,
+  CASE WHEN page_id % 7 > 1 THEN (len(regexp_extract_all(html, '<a href=')) + 1) // 2 END AS new,
+  CASE WHEN page_id % 7 > 1 THEN 0 END AS errors FROM pages)"""
 
 
 @query(f"WITH {STATUS_SQL} SELECT * FROM status")
@@ -287,6 +296,57 @@ def completed_share(spark, sf):
     return reports.completed_percent(_status(spark, sf))
 
 
+# --- whole collections ------------------------------------------------------------------------
+
+
+def _broken(pages, every):
+    """Some pages end in markup that the parser gives up on."""
+    return pages.withColumn("html", F.when(F.col("page_id") % every == 0, F.concat("html", F.lit("<![foo[x]]>"))).otherwise(F.col("html")))
+
+
+@query("""SELECT page_id, url, 'AssertionError' AS error FROM pages WHERE page_id % 5 = 0""")
+def page_errors(spark, sf):
+    return extract.page_errors(_broken(table(spark, sf, "pages"), 5))
+
+
+def _collection(spark, sf):
+    """Three snapshots of every page: the first half of its reviews, all of them, and one that some branches are blocked at."""
+    pages = pages_v1(spark, sf)
+    named = pages.withColumn("name", F.concat(F.lit("place "), "page_id"))
+    again = named.withColumn("snapshot_no", F.lit(1)).withColumn("page_id", F.col("page_id") + 1_000_000)
+    last = named.withColumn("snapshot_no", F.lit(2)).withColumn("page_id", F.col("page_id") + 2_000_000).withColumn(
+        "html", F.when(F.col("page_id") % 3 == 0, "Recaptcha").otherwise(F.col("html"))
+    )
+    return named.unionByName(again).unionByName(last)
+
+
+COLLECTED_SQL = f"""{PAGED}, passed AS (SELECT * FROM paged WHERE (page_id + 2000000) % 3 <> 0 AND length(stripped) >= 10),
+usable AS (SELECT *, row_number() OVER (PARTITION BY url, stripped ORDER BY block_no) AS nth FROM passed)"""
+
+
+@query(f"""WITH {COLLECTED_SQL} SELECT url, page_id, block_no, stripped AS text FROM usable WHERE nth = 1""")
+def collected_reviews(spark, sf):
+    _, found = stages.collected_reviews(_collection(spark, sf), stages.RunOptions())
+    return found.select("url", "page_id", "block_no", "text")
+
+
+@query(f"""WITH {COLLECTED_SQL}, urls AS (SELECT DISTINCT url, page_id FROM paged),
+found AS (SELECT url, count(*) AS found FROM usable WHERE nth = 1 GROUP BY url)
+SELECT 'place ' || page_id AS name, url, (page_id + 2000000) % 3 = 0 AS skipped,
+  CASE WHEN (page_id + 2000000) % 3 = 0 THEN 'captcha_after_scroll' END AS reason,
+  CASE WHEN (page_id + 2000000) % 3 <> 0 THEN coalesce(found, 0) END AS found,
+  CASE WHEN (page_id + 2000000) % 3 <> 0 THEN coalesce(found, 0) END AS new,
+  CASE WHEN (page_id + 2000000) % 3 <> 0 THEN 0 END AS errors,
+  (page_id + 2000000) % 3 <> 0 AS stored FROM urls LEFT JOIN found USING (url)""")
+def collected_branches(spark, sf):
+    pages = _collection(spark, sf)
+    store = ReviewStore(spark, scratch_path(spark, "collected-branches"))
+    listed = pages.filter("snapshot_no = 0").select("name", "url")
+    status = stages.collect(store, listed, pages.drop("name"), stages.RunOptions(), "one")
+    known = store.read("branches").select("url", F.lit(True).alias("stored"))
+    return status.join(known, "url", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 # --- first-wins choices over tables ---------------------------------------------------------
 
 
@@ -297,7 +357,7 @@ def dedupe_by_opening(spark, sf):
     return keep_first(rows, ["branch_id", "opening"], ["review_id"]).select("branch_id", "opening", "review_id")
 
 
-@query(f"""WITH {REVIEWS} SELECT 'snippet:' || substring(text, 1, 160) || '|author:' || source AS review_key, min(review_id) AS review_id
+@query(f"""WITH {REVIEWS} SELECT 'text:' || sha256(text) || '|author:' || source AS review_key, min(review_id) AS review_id
 FROM reviews GROUP BY ALL""")
 def dedupe_by_review_key(spark, sf):
     key = extract.review_key(F.lit(""), F.col("text"), F.col("source"))
@@ -313,17 +373,17 @@ def first_reviews_per_branch(spark, sf):
 
 def _sightings(spark, sf):
     docs = reviews(spark, sf).select(
-        "branch_id", (F.col("review_id") % 12).alias("snapshot_no"), extract.snippet(F.col("text")).alias("review_key")
+        "branch_id", (F.col("review_id") % 12).alias("snapshot_no"), text_key(F.col("text")).alias("review_key")
     )
     talks = table(spark, sf, "conversations").select(
-        (F.col("conv_id") % 20).alias("branch_id"), "turn", extract.snippet(F.col("text")).alias("review_key")
+        (F.col("conv_id") % 20).alias("branch_id"), "turn", text_key(F.col("text")).alias("review_key")
     )
     return docs, talks.withColumnRenamed("turn", "snapshot_no")
 
 
 SIGHTINGS_SQL = f"""{REVIEWS}, sightings AS (
-  SELECT branch_id, review_id % 12 AS snapshot_no, substring(text, 1, 160) AS review_key FROM reviews
-  UNION ALL SELECT conv_id % 20, turn, substring(text, 1, 160) FROM conversations)"""
+  SELECT branch_id, review_id % 12 AS snapshot_no, sha256(text) AS review_key FROM reviews
+  UNION ALL SELECT conv_id % 20, turn, sha256(text) FROM conversations)"""
 
 
 @query(f"WITH {SIGHTINGS_SQL} SELECT branch_id, review_key, min(snapshot_no) AS snapshot_no FROM sightings GROUP BY ALL")

@@ -126,18 +126,22 @@ def place_ids(spark, sf):
     return table(spark, sf, "pages").select("page_id", place_id(F.expr(LINK_SQL)).alias("place_id"))
 
 
-@query("""SELECT page_id, url AS target FROM pages WHERE page_id IS NOT NULL""")
+@query("""SELECT page_id, CASE page_id % 3 WHEN 2 THEN url ELSE regexp_extract(url, '^[^&]*') END AS target FROM pages""")
 def unwrapped_redirects(spark, sf):
-    # a link with '&' is cut at it when redirected, so only its own part up to there comes back
-    wrapped = F.concat(F.lit("/url?q="), F.replace("url", F.lit("&"), F.lit("%26")), F.lit("&sa=U&ved=2"))
-    pages = table(spark, sf, "pages").select("page_id", unwrap_redirect(wrapped).alias("target"))
-    return pages.select("page_id", F.replace("target", F.lit("%26"), F.lit("&")).alias("target"))
+    # a redirected link is cut at its first '&', a plain one is not
+    kind = F.col("page_id") % 3
+    href = (
+        F.when(kind == 0, F.concat(F.lit("/url?q="), "url", F.lit("&sa=U&ved=2")))
+        .when(kind == 1, F.concat(F.lit("/url?q="), "url"))
+        .otherwise(F.col("url"))
+    )
+    return table(spark, sf, "pages").select("page_id", unwrap_redirect(href).alias("target"))
 
 
 @query(f"""WITH {REVIEWS} SELECT review_id, substring(text, 1, 160) AS opening, length(substring(text, 1, 2000)) AS head_length,
   sha256(text) AS text_key, coalesce(nullif(CASE WHEN rating = 0 THEN '' ELSE author END, ''), source) AS shown_author,
   strftime(scraped_at, '%Y-%m-%d %H:%M:%S') AS scraped_at,
-  '{{"min_topic_size":5,"ngram_range":[1,2]}}' AS parameters FROM reviews""")
+  '{{"min_topic_size":5,"ngram_range":[1,2],"min_share":0.0,"max_share":1.0,"stop_words":"english"}}' AS parameters FROM reviews""")
 def text_keys_and_defaults(spark, sf):
     return reviews(spark, sf).select(
         "review_id",

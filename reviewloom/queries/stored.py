@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from reviewloom.functions.text import text_key
 from reviewloom.operators import reports, upsert
-from reviewloom.operators.extract import snippet
 from reviewloom.queries.registry import query
-from reviewloom.queries.views import BRANCHES, INSIGHTS, META, REVIEWS, branches, insights, meta, reviews, table
+from reviewloom.plans.stages import review_rows
+from reviewloom.queries.collected import pages_v2
+from reviewloom.queries.views import BRANCHES, INSIGHTS, META, PAGED, REVIEWS, branches, insights, meta, reviews, table
 from reviewloom.queries.scalars import MARKED_SQL, SQL_ENGLISH, marked
-from reviewloom.session import cut, scratch_path
-from reviewloom.sinks.files import nested_json
+from reviewloom.schemas import REVIEW_CSV, TABLES
+from reviewloom.session import cut, land, remove_folder, scratch_path
+from reviewloom.sinks.files import export_insights_csv, nested_json, read_reviews_csv, write_nested_json, write_reviews_csv
 from reviewloom.sinks.store import ReviewStore
-from reviewloom.streaming.snapshots import each_batch, land_reviews, run_to_parquet, unique_over_time
+from reviewloom.operators.extract import parsed_v2
+from reviewloom.sources.branch_list import read_branch_lines, write_branch_list
+from reviewloom.sources.pages import stream_pages
+from reviewloom.streaming.snapshots import each_batch, land_first, land_reviews, read_landed, run_to_parquet, unique_over_time
 
 # --- reports --------------------------------------------------------------------------------
 
 
 @query(f"""WITH {REVIEWS}, {MARKED_SQL}, cleaned AS (SELECT review_id, {SQL_ENGLISH} AS text FROM marked),
 unique_texts AS (SELECT branch_id, min(review_id) AS review_id FROM cleaned JOIN (SELECT review_id, branch_id FROM reviews) USING (review_id)
-  WHERE length(cleaned.text) >= 10 GROUP BY branch_id, substring(cleaned.text, 1, 160)),
+  WHERE length(cleaned.text) >= 10 GROUP BY branch_id, cleaned.text),
 kept AS (SELECT r.review_id, r.branch_id, r.rating, r.scraped_at, c.text,
   row_number() OVER (PARTITION BY r.branch_id ORDER BY r.review_id) AS n
   FROM unique_texts u JOIN reviews r USING (review_id) JOIN cleaned c USING (review_id))
@@ -34,7 +40,7 @@ def reviews_by_branch(spark, sf):
     kept = reports.english_reviews(marked(spark, sf)).filter(F.length("text") >= 10)
     columns = ["review_id", "branch_id", "rating", "scraped_at", "text"]
     # the report reads the unique reviews twice: for its counts and for its samples
-    once = cut(reports.keep_first(kept.select(*columns), ["branch_id", snippet(F.col("text"))], ["review_id"]))
+    once = cut(reports.keep_first(kept.select(*columns), ["branch_id", text_key(F.col("text"))], ["review_id"]))
     report = reports.reviews_by_branch(once)
     shown = {c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("first_scraped", "last_scraped")}
     return report.withColumns({**shown, "samples": F.array_join("samples", "~")})
@@ -61,7 +67,7 @@ LATEST_SQL = f"""{META}, latest AS (SELECT * FROM meta ORDER BY analysis_date DE
     ORDER BY topic_id, percentage, top_keywords, gemini_aspect, gemini_sentiment, gemini_summary, gemini_recommendation)) AS topics
   FROM insights GROUP BY meta_id)
 SELECT '{{"branch_id":' || branch_id || ',"branch_name":"' || branch_name || '","analysis_date":"'
-  || strftime(analysis_date, '%Y-%m-%dT%H:%M:%S') || '","topics":' || coalesce(CAST(topics AS VARCHAR), '[]') || '}}' AS value
+  || CASE WHEN microsecond(analysis_date) % 1000000 = 0 THEN strftime(analysis_date, '%Y-%m-%dT%H:%M:%S') ELSE strftime(analysis_date, '%Y-%m-%dT%H:%M:%S.%f') END || '","topics":' || coalesce(CAST(topics AS VARCHAR), '[]') || '}}' AS value
 FROM latest LEFT JOIN nested USING (meta_id)""")
 def insights_nested(spark, sf):
     return nested_json(reports.nested_insights(insights(spark, sf), meta(spark, sf), 20))
@@ -223,10 +229,10 @@ def _stream(spark, sf, name):
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
 
 
-@query(f"WITH {REVIEWS} SELECT DISTINCT branch_id, substring(text, 1, 160) AS review_key FROM reviews")
+@query(f"WITH {REVIEWS} SELECT DISTINCT branch_id, sha256(text) AS review_key FROM reviews")
 def stream_unique_reviews(spark, sf):
     rows = _stream(spark, sf, "documents").select(
-        F.expr("try_cast(substring(source, 4) AS BIGINT)").alias("branch_id"), snippet(F.col("text")).alias("review_key")
+        F.expr("try_cast(substring(source, 4) AS BIGINT)").alias("branch_id"), text_key(F.col("text")).alias("review_key")
     )
     out = scratch_path(spark, "stream-unique")
     unique = unique_over_time(rows, ["branch_id", "review_key"])
@@ -234,10 +240,19 @@ def stream_unique_reviews(spark, sf):
     return spark.read.parquet(f"{out}/rows")
 
 
-@query("""WITH rows AS (SELECT TRY_CAST(substr(source, 4) AS BIGINT) AS branch_id, text FROM documents)
-SELECT branch_id, CAST(0 AS BIGINT) AS round, count(*) AS found, count(DISTINCT text) AS new FROM rows GROUP BY branch_id""")
+def _in_rounds(rows, path, rounds, part):
+    """Rows written file by file: round r holds the parts up to r, so later rounds repeat what earlier ones brought."""
+    for r in range(rounds):
+        rows.filter(part <= r).withColumn("round", F.lit(r)).coalesce(1).write.mode("append").parquet(path)
+
+
+@query("""WITH rows AS (SELECT TRY_CAST(substr(source, 4) AS BIGINT) AS branch_id, text, doc_id % 3 AS part FROM documents),
+rounds AS (SELECT unnest(range(3)) AS round), seen AS (SELECT * FROM rows JOIN rounds ON part <= round),
+firsts AS (SELECT branch_id, text, min(part) AS round FROM rows GROUP BY ALL),
+fresh AS (SELECT branch_id, round, count(*) AS new FROM firsts GROUP BY ALL)
+SELECT branch_id, round, count(*) AS found, any_value(coalesce(new, 0)) AS new FROM seen LEFT JOIN fresh USING (branch_id, round) GROUP BY ALL""")
 def stream_landed_counts(spark, sf):
-    rows = _stream(spark, sf, "documents").select(
+    rows = table(spark, sf, "documents").select(
         F.col("doc_id").alias("review_id"),
         F.expr("try_cast(substring(source, 4) AS BIGINT)").alias("branch_id"),
         F.lit("author").alias("author"),
@@ -247,6 +262,101 @@ def stream_landed_counts(spark, sf):
         F.expr("timestamp'2025-10-15 00:00:00' + doc_id * interval '1' minute").alias("scraped_at"),
     )
     out = scratch_path(spark, "stream-landed")
+    _in_rounds(rows, f"{out}/in", 3, F.col("review_id") % 3)
+    stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     handler = land_reviews(ReviewStore(spark, f"{out}/store"), f"{out}/counts", ["review_id"])
-    each_batch(rows, handler, f"{out}/progress").awaitTermination()
+    each_batch(stream, handler, f"{out}/progress").awaitTermination()
+    for spent in ("in", "progress", "store"):
+        remove_folder(spark, f"{out}/{spent}")
     return spark.read.parquet(f"{out}/counts/*")
+
+
+@query(f"""WITH {PAGED}, read AS (SELECT url, page_no, review_id AS n, stripped AS text, CASE WHEN review_id % 4 = 3 THEN 'Unknown' ELSE author END AS author
+  FROM paged WHERE length(stripped) >= 10)
+SELECT DISTINCT url, CASE WHEN page_no % 4 = 0 THEN 'r' || (n % 160) ELSE 'text:' || sha256(text) || '|author:' || author END AS review_id,
+  CAST(page_no % 3 AS INT) AS snapshot_no FROM read""")
+def stream_page_reviews(spark, sf):
+    """Pages that arrive in three snapshots: parsed, de-duplicated behind a watermark, landed batch by batch."""
+    pages = pages_v2(spark, sf)
+    number = F.expr("cast(page_id / 1000 AS BIGINT)") % 3
+    out = scratch_path(spark, "stream-pages")
+    for r in range(3):
+        arrived = pages.filter(number <= r).withColumn("snapshot_no", F.lit(r))
+        later = F.col("fetched_at") + F.make_dt_interval(mins=F.lit(r))
+        arrived.withColumn("fetched_at", later).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    parsed = parsed_v2(stream_pages(spark, f"{out}/in", files_per_trigger=1))
+    unique = unique_over_time(parsed, ["url", "review_id"], "fetched_at", "1 day")
+    land = lambda batch, batch_id: land_first(batch, batch_id, f"{out}/rows", ["url", "review_id"], ["block_no"])
+    each_batch(unique, land, f"{out}/progress").awaitTermination()
+    for spent in ("in", "progress"):
+        remove_folder(spark, f"{out}/{spent}")
+    return read_landed(spark, f"{out}/rows").select("url", "review_id", "snapshot_no")
+
+
+# --- writers: written, read back, compared ----------------------------------------------------------
+
+
+@query(f"""WITH {PAGED}, read AS (SELECT page_id, url, block_no, CASE WHEN review_id % 4 = 3 THEN 'Unknown' ELSE author END AS author,
+    stripped AS text, CASE WHEN page_no % 4 = 0 THEN 'r' || (review_id % 160) END AS given FROM paged WHERE length(stripped) >= 10),
+keyed AS (SELECT page_id, url, block_no, author, coalesce(given, 'text:' || sha256(text) || '|author:' || author) AS review_id, {SQL_ENGLISH} AS text FROM read),
+once AS (SELECT *, row_number() OVER (PARTITION BY url, review_id ORDER BY block_no) AS nth FROM keyed WHERE text <> '')
+SELECT 'place ' || page_id AS branch_name, url AS branch_url, review_id, author, text, '2025-10-15 12:00:00' AS scraped_at FROM once WHERE nth = 1""")
+def review_csv(spark, sf):
+    pages = pages_v2(spark, sf).withColumn("name", F.concat(F.lit("place "), "page_id"))
+    path = scratch_path(spark, "review-csv")
+    write_reviews_csv(review_rows(pages), path)
+    return read_reviews_csv(spark, path, REVIEW_CSV).select(
+        "branch_name", "branch_url", "review_id", "author", "text", "scraped_at"
+    )
+
+
+@query(f"""WITH {META}, {INSIGHTS} SELECT branch_id, topic_id, gemini_summary FROM insights JOIN meta USING (meta_id)""")
+def insights_csv(spark, sf):
+    path = scratch_path(spark, "insights-csv")
+    export_insights_csv(insights(spark, sf), meta(spark, sf), path)
+    kinds = "topic_id INT, percentage DECIMAL(5,2), top_keywords STRING, gemini_aspect STRING, gemini_sentiment STRING, gemini_summary STRING, gemini_recommendation STRING, branch_id BIGINT"
+    back = spark.read.schema(kinds).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return back.select("branch_id", "topic_id", "gemini_summary")
+
+
+@query("""SELECT coalesce(nullif(CASE WHEN page_id % 2 = 0 THEN '' ELSE 'page ' || page_id END, ''), url) AS name, url FROM pages""")
+def branch_list_file(spark, sf):
+    path = scratch_path(spark, "branch-list")
+    name = F.when(F.col("page_id") % 2 == 0, "").otherwise(F.concat(F.lit("page "), "page_id"))
+    write_branch_list(table(spark, sf, "pages").select(name.alias("name"), "url"), path)
+    return read_branch_lines(spark, path)
+
+
+@query(f"""WITH {LATEST_SQL}, counted AS (SELECT meta_id, count(*) AS n FROM insights_rows GROUP BY meta_id)
+SELECT latest.branch_id, branch_name, coalesce(n, 0) AS topics FROM latest LEFT JOIN counted USING (meta_id)""".replace(
+    "counted AS", f"{INSIGHTS.replace('insights AS', 'insights_rows AS')}, counted AS"))
+def nested_json_file(spark, sf):
+    path = scratch_path(spark, "nested-json")
+    write_nested_json(reports.nested_insights(insights(spark, sf), meta(spark, sf), 20), path)
+    kinds = "branch_id BIGINT, branch_name STRING, analysis_date STRING, topics ARRAY<STRUCT<topic_id: INT>>"
+    return spark.read.schema(kinds).json(path).select("branch_id", "branch_name", F.size("topics").cast("long").alias("topics"))
+
+
+@query("""SELECT 'branches' AS name, count(*) AS before, 0 AS after FROM customer UNION ALL SELECT 'reviews', count(*), 0 FROM documents
+UNION ALL SELECT 'normalized_reviews', 0, 0 UNION ALL SELECT 'insights_meta', count(*), 0 FROM orders UNION ALL SELECT 'insights', 0, 0""")
+def tables_created_and_reset(spark, sf):
+    store = ReviewStore(spark, scratch_path(spark, "tables"))
+    store.ensure()
+    store.append("branches", branches(spark, sf), "a")
+    store.append("reviews", reviews(spark, sf), "a")
+    headers = meta(spark, sf).withColumns(
+        {"number_of_reviews_processed": F.lit(1), "number_of_topics": F.lit(0), "bertopic_parameters": F.lit("{}")}
+    )
+    store.append("insights_meta", headers, "a")
+    before = _table_sizes(store).withColumnRenamed("n", "before")
+    before = land(before, "sizes")
+    store.reset()
+    return before.join(_table_sizes(store).withColumnRenamed("n", "after"), "name")
+
+
+def _table_sizes(store):
+    sizes = [store.read(t).agg(F.lit(t).alias("name"), F.count("*").alias("n")) for t in TABLES]
+    total = sizes[0]
+    for size in sizes[1:]:
+        total = total.unionByName(size)
+    return total

@@ -8,33 +8,52 @@ from reviewloom.functions.replies import REQUEST_HEAD, REQUEST_SAMPLES, REQUEST_
 from reviewloom.functions.text import is_arabic
 from reviewloom.operators import reports
 from reviewloom.operators.analysis import analysis_requests, analysis_results, run_headers
-from reviewloom.operators.language import detect_language, fit_profiles, pending_translations, translate_from
+from reviewloom.operators.language import agreement, detect_language, fit_language, pending_translations, translate_from
 from reviewloom.operators.terms import first_texts, keyword_lists, topic_terms
-from reviewloom.operators.topics import TopicSettings, all_outliers, assign_topics, topic_overview, topic_shares
+from reviewloom.operators.topics import TopicSettings, all_outliers, assign_topics, overview_head, topic_overview, topic_shares, topics_by_size
+from reviewloom.operators.upsert import assign_ids
 from reviewloom.queries.registry import query
 from reviewloom.queries.views import REVIEWS, STOP_LIST, STOP_WORDS, reviews, table
 from reviewloom.session import cut
 
 SETTINGS = TopicSettings(min_topic_size=5, min_share=0.0, max_share=0.5, stop_words=STOP_WORDS)
 
+SETTINGS_SQL = "'{\"min_topic_size\":5,\"ngram_range\":[1,2],\"min_share\":0.0,\"max_share\":0.5,\"stop_words\":[" + ",".join(
+    f'"{w}"' for w in STOP_WORDS
+) + "]}'"
+
 # --- language and translation -------------------------------------------------------------
 
-GRAMS_SQL = """grams AS (SELECT doc_id, lang, unnest(list_transform(range(1, len(chars) - 1), lambda i: chars[i] || chars[i + 1] || chars[i + 2])) AS gram
-  FROM (SELECT doc_id, lang, string_split(lower(text), '') AS chars FROM documents) WHERE len(chars) >= 3)"""
+GRAMS_SQL = """grams AS (SELECT doc_id, lang, held_out, unnest(list_transform(range(1, len(chars) - 1), lambda i: chars[i] || chars[i + 1] || chars[i + 2])) AS gram
+  FROM (SELECT doc_id, lang, substr(md5(text), 1, 1) < '4' AS held_out, string_split(lower(text), '') AS chars FROM documents) WHERE len(chars) >= 3)"""
+
+
+HELD_OUT_SQL = "substr(md5(text), 1, 1) < '4'"
+GUESS_SQL = f"""{GRAMS_SQL}, known AS (SELECT * FROM grams WHERE NOT held_out), counts AS (SELECT lang, gram, count(*) AS n FROM known GROUP BY ALL),
+vocabulary AS (SELECT DISTINCT gram FROM counts), langs AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM documents WHERE NOT {HELD_OUT_SQL})) AS prior
+  FROM documents WHERE NOT {HELD_OUT_SQL} GROUP BY lang),
+bases AS (SELECT lang, -ln(sum(n) + (SELECT count(*) FROM vocabulary)) AS base FROM counts GROUP BY lang),
+texts AS (SELECT doc_id, gram, count(*) AS times FROM grams JOIN vocabulary USING (gram) GROUP BY ALL),
+scores AS (SELECT doc_id, b.lang, sum(times * (ln(1 + coalesce(n, 0)) + base)) + any_value(prior) AS score
+  FROM texts CROSS JOIN bases b JOIN langs USING (lang) LEFT JOIN counts c ON c.lang = b.lang AND c.gram = texts.gram GROUP BY ALL),
+best AS (SELECT doc_id, max_by(lang, score) AS lang_guess FROM scores GROUP BY doc_id),
+guesses AS (SELECT doc_id, lang, {HELD_OUT_SQL} AS held_out, lang_guess FROM documents LEFT JOIN best USING (doc_id))"""
+
 
+def _guesses(spark, sf):
+    """Language of all documents by a model of those whose text hash is not held out; copies stay on one side."""
+    documents = table(spark, sf, "documents").select("doc_id", "text", "lang", F.expr(HELD_OUT_SQL).alias("held_out"))
+    return detect_language(documents, fit_language(documents.filter(~F.col("held_out")))).drop("text")
 
-@query(f"""WITH {GRAMS_SQL}, counts AS (SELECT lang, gram, count(*) AS n FROM grams GROUP BY ALL),
-vocabulary AS (SELECT count(DISTINCT gram) AS v FROM counts),
-bases AS (SELECT lang, -ln(sum(n) + (SELECT v FROM vocabulary)) AS base FROM counts GROUP BY lang),
-texts AS (SELECT doc_id, gram, count(*) AS times FROM grams GROUP BY ALL),
-lengths AS (SELECT doc_id, sum(times) AS runs FROM texts GROUP BY doc_id),
-gains AS (SELECT doc_id, lang, sum(times * ln(1 + n)) AS gain FROM texts JOIN counts USING (gram) GROUP BY ALL),
-scores AS (SELECT doc_id, lang, gain + runs * base AS score FROM gains JOIN lengths USING (doc_id) JOIN bases USING (lang)),
-best AS (SELECT doc_id, max_by(lang, score) AS lang_guess FROM scores GROUP BY doc_id)
-SELECT doc_id, lang_guess FROM documents LEFT JOIN best USING (doc_id)""")
+
+@query(f"WITH {GUESS_SQL} SELECT doc_id, held_out, lang_guess FROM guesses")
 def language_id(spark, sf):
-    documents = table(spark, sf, "documents")
-    return detect_language(documents.select("doc_id", "text"), fit_profiles(documents), "doc_id")
+    return _guesses(spark, sf).select("doc_id", "held_out", "lang_guess")
+
+
+@query(f"""WITH {GUESS_SQL} SELECT held_out, lang, count(*) AS texts, count(*) FILTER (lang_guess = lang) AS "right" FROM guesses GROUP BY ALL""")
+def language_agreement(spark, sf):
+    return agreement(_guesses(spark, sf), ["held_out", "lang"])
 
 
 def _bilingual(spark, sf):
@@ -96,6 +115,14 @@ def topics_overview(spark, sf):
     return topic_overview(_given_topics(spark, sf), SETTINGS)
 
 
+@query(f"""WITH {REVIEWS}, {GIVEN_SQL}, {TERMS_SQL}, {CTFIDF_SQL},
+sizes AS (SELECT branch_id, topic, count(*) AS size FROM topics GROUP BY ALL)
+SELECT branch_id, topic, size, top_keywords FROM sizes LEFT JOIN keywords USING (branch_id, topic)
+ORDER BY size DESC, branch_id, topic LIMIT 5""")
+def topics_overview_head(spark, sf):
+    return overview_head(topic_overview(_given_topics(spark, sf), SETTINGS))
+
+
 @query("""WITH c AS (SELECT vec_id % 20 AS branch_id, label AS topic, count(*) AS size FROM embeddings GROUP BY ALL)
 SELECT branch_id, topic, size, CAST(round(CAST(size AS DECIMAL(18,0)) * 100 / sum(size) OVER (PARTITION BY branch_id), 2) AS DECIMAL(5,2)) AS percentage
 FROM c""")
@@ -104,6 +131,16 @@ def topic_share(spark, sf):
     return topic_shares(labelled)
 
 
+@query("""WITH c AS (SELECT vec_id % 20 AS branch_id, label AS topic, count(*) AS size FROM embeddings GROUP BY ALL)
+SELECT branch_id, topic, size, CAST(round(CAST(size AS DECIMAL(18,0)) * 100 / sum(size) OVER (PARTITION BY branch_id), 2) AS DECIMAL(5,2)) AS percentage,
+  row_number() OVER (ORDER BY branch_id, size DESC, topic) - 1 AS place FROM c""")
+def topics_largest_first(spark, sf):
+    labelled = table(spark, sf, "embeddings").select((F.col("vec_id") % 20).alias("branch_id"), F.col("label").alias("topic"))
+    # the place shows the order that is kept in the rows
+    ordered = topics_by_size(labelled)
+    return assign_ids(ordered, ["branch_id", F.desc("size"), "topic"], "place", -1)
+
+
 @query(f"""WITH {REVIEWS}, {GIVEN_SQL}, firsts AS (
   SELECT branch_id, topic, review_id, text, row_number() OVER (PARTITION BY branch_id, topic ORDER BY review_id) AS n
   FROM topics JOIN texts USING (review_id))
@@ -209,7 +246,7 @@ def topic_analysis_results(spark, sf):
 @query(f"""WITH {RESULTS_SQL}, analysed AS (SELECT branch_id, CAST(count(*) AS INT) AS number_of_topics FROM results GROUP BY ALL),
 processed AS (SELECT branch_id, CAST(count(*) AS INT) AS number_of_reviews_processed FROM topics GROUP BY ALL)
 SELECT branch_id, number_of_topics, number_of_reviews_processed, s_name AS branch_name,
-  '{{"min_topic_size":5,"ngram_range":[1,2]}}' AS bertopic_parameters
+  {SETTINGS_SQL} AS bertopic_parameters
 FROM analysed JOIN processed USING (branch_id) JOIN supplier ON s_suppkey = branch_id""")
 def analysis_run_headers(spark, sf):
     topics, requests = _requests(spark, sf)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import SPACE
-from reviewloom.sources.tables import read_spread
 
 # parameters of the text queries
 STOP_WORDS = ("the", "and", "for", "with", "that", "les", "des", "que", "der", "die", "und", "los", "las", "una")
@@ -16,7 +15,15 @@ STOP_LIST = ", ".join(f"'{w}'" for w in STOP_WORDS)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_spread(spark, f"{sf_dir}/{name}.parquet")
+    """A table of the driver.
+
+    Its small files are one split each; a session that sets
+    ``spark.reviewloom.spread`` (the local runs do, a cluster does not) deals
+    their rows over that many tasks.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    parts = spark.conf.get("spark.reviewloom.spread", None)
+    return rows.repartition(int(parts)) if parts else rows
 
 
 def sql_strip(text: str) -> str:
@@ -84,13 +91,13 @@ def meta(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("meta_id"),
         F.col("o_custkey").alias("branch_id"),
         F.concat(F.lit("branch "), F.col("o_custkey") % 500).alias("branch_name"),
-        F.col("o_orderdate").alias("analysis_date"),
+        F.expr("o_orderdate + make_dt_interval(0, 0, 0, (o_orderkey % 3) / 1000000bd)").alias("analysis_date"),
     )
 
 
 META = """meta AS (
   SELECT o_orderkey AS meta_id, o_custkey AS branch_id, 'branch ' || (o_custkey % 500) AS branch_name,
-         o_orderdate AS analysis_date FROM orders)"""
+         o_orderdate + to_microseconds(o_orderkey % 3) AS analysis_date FROM orders)"""
 
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,7 +43,7 @@ REVIEW_CSV = _table(
     review_date="string", date_raw="string", scraped_at="string",
 )
 COLLECTION_STATUS = _table(
-    name="string", url="string", skipped="boolean", reason="string", found="long", new="long"
+    name="string", url="string", skipped="boolean", reason="string", found="long", new="long", errors="long"
 )
 PAGES = _table(page_id="long", url="string", html="string", snapshot_no="int", fetched_at="timestamp")
 ANALYSIS_RESPONSES = _table(branch_id="long", topic_id="int", reply="string", error="string")

@@ -46,7 +46,7 @@ VOID = frozenset(
     "basefont bgsound command frame image isindex nextid spacer".split()
 )
 HIDDEN_TEXT = frozenset(("script", "style", "template"))
-TEXT, HIDDEN, COMMENT = "#text", "#hidden", "#comment"
+TEXT, HIDDEN, COMMENT, ERROR = "#text", "#hidden", "#comment", "#error"
 _ASCII_SPACE = " \t\n\r\f\v"
 
 
@@ -117,13 +117,18 @@ def _page_nodes(html: str | None) -> list[dict] | None:
     if html is None:
         return None
     parser = _Nodes()
-    parser.feed(html)
+    try:
+        parser.feed(html)
+        rows = parser.finish()
+    except (AssertionError, ValueError, IndexError, RecursionError) as error:
+        # a page the parser gives up on is one node that says so; the pages around it go on
+        rows = [[ERROR, type(error).__name__, {}, None, 0, 0]]
     return [
         {
             "pos": pos, "tag": tag, "text": text, "attrs": list(attrs.items()),
             "classes": attrs.get("class", "").split(), "parent": parent, "last": last, "depth": depth,
         }
-        for pos, (tag, text, attrs, parent, last, depth) in enumerate(parser.finish())
+        for pos, (tag, text, attrs, parent, last, depth) in enumerate(rows)
     ]
 
 

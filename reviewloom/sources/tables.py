@@ -6,16 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_spread(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table; one that fills fewer tasks than there are cores is spread over them.
-
-    Large tables already come in many splits and are left as they are.
-    """
-    rows = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
-
-
 def read_jdbc(spark: SparkSession, url: str, table: str, split_on: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
     """Parallel read of a database table; driver and credentials come from the caller."""
     reader = spark.read.format("jdbc").options(

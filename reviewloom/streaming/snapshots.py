@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -80,6 +80,23 @@ def upsert_each_batch(store: ReviewStore, table: str, keys: Sequence[str], order
     return handle
 
 
-def first_per_batch(keys: Sequence[str], order: Sequence[str | Column]) -> Callable[[DataFrame], DataFrame]:
-    """Deterministic choice inside a micro-batch, which streaming de-duplication leaves open."""
-    return lambda batch: keep_first(batch, keys, order)
+def land_first(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str], order: Sequence[str | Column]) -> None:
+    """Write the rows of a batch whose key has not landed in an earlier one; a batch that runs again replaces its part.
+
+    State behind a watermark forgets old keys, and de-duplication leaves open
+    which row of a batch stays; both are settled here.
+    """
+    once = keep_first(batch, keys, order)
+    before = _landed_before(batch.sparkSession, path, batch_id)
+    fresh = once if before is None else once.join(before.select(*keys), list(keys), "left_anti")
+    fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+
+def _landed_before(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    earlier = [f"{path}/batch={k}" for k in range(batch_id)]
+    return spark.read.parquet(*earlier) if earlier else None
+
+
+def read_landed(spark: SparkSession, path: str) -> DataFrame:
+    """All landed rows with their ``batch``."""
+    return spark.read.parquet(path)

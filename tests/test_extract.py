@@ -1,6 +1,7 @@
 """Extraction rules on hand-written pages."""
 
 import datetime as dt
+from hashlib import sha256
 
 import pytest
 from pyspark.sql import functions as F
@@ -60,9 +61,29 @@ def test_v1_rules(pages):
         (0, "Ann", 5, "A very good gym", "2025-10-01"),
         (0, "Unknown", 0, "ten chars!", ""),
         (0, "Ann", 5, long + " first", "2025-10-01"),
+        (0, "Ann", 5, long + " second", "2025-10-01"),
         (0, "Ann", 4, "قبل كل شيء ممتاز", "2025-10-12"),
+        (0, "Ann", 5, "Far in the past", "9999999 years ago"),
     ]
     assert rows(extract.reviews_v1(df, 2), "block_no") == [(0,), (2,)]
+    # the first characters decide only where a caller says so
+    assert rows(extract.reviews_v1(df, opening=160), "block_no") == [(0,), (2,), (3,), (5,), (6,)]
+
+
+def test_markup_in_any_case(pages):
+    upper = '<DIV DATA-REVIEW-ID="r"><DIV CLASS="MyEned">An upper-case page</DIV></DIV>'
+    entity = '<div class="jftiE&#102;"><span class="wiI7pd">A class with an entity</span></div>'
+    df = pages(upper, entity, "<A Href='/maps/place/X'>x</A>")
+    assert rows(extract.reviews_v1(df), "page_id", "text") == [(0, "An upper-case page")]
+    assert rows(extract.reviews_v2(df), "page_id", "text") == [(0, "An upper-case page"), (1, "A class with an entity")]
+    assert [r.href for r in extract.links(df).collect()] == ["/maps/place/X"]
+
+
+def test_a_broken_page_leaves_the_others(pages):
+    good = v1_block("r1", "A very good gym")
+    df = pages(good, "<![foo[x]]>" + good, good)
+    assert rows(extract.reviews_v1(df), "page_id") == [(0,), (2,)]
+    assert [(r.page_id, r.error) for r in extract.page_errors(df).collect()] == [(1, "AssertionError")]
 
 
 def test_v1_nested_block_counts_on_its_own(pages):
@@ -81,12 +102,12 @@ def test_v2_layout_cascade(pages):
         block("a", 'data-review-id="1"') + block("jftiEf"), block("jftiEf") + block("hjmQqc"),
         block("hjmQqc") + block("VjjEkf"), block("VjjEkf"), block("other"),
     )
-    assert rows(extract.reviews_v2(df), "page_id", "text", "review_id") == [
-        (0, "Review in layout a", "1"),
-        (1, "Review in layout jftiEf", "snippet:Review in layout jftiEf|author:Unknown"),
-        (2, "Review in layout hjmQqc", "snippet:Review in layout hjmQqc|author:Unknown"),
-        (3, "Review in layout VjjEkf", "snippet:Review in layout VjjEkf|author:Unknown"),
+    assert rows(extract.reviews_v2(df), "page_id", "text", "review_id") == [(0, "Review in layout a", "1")] + [
+        (k, f"Review in layout {name}", f"text:{sha256(f'Review in layout {name}'.encode()).hexdigest()}|author:Unknown")
+        for k, name in ((1, "jftiEf"), (2, "hjmQqc"), (3, "VjjEkf"))
     ]
+    short = extract.parsed_v2(df, opening=160).filter("page_id = 1")
+    assert rows(short, "review_id") == [("snippet:Review in layout jftiEf|author:Unknown",)]
 
 
 def test_v2_rule_steps(pages):
@@ -125,9 +146,9 @@ def test_search_layout(pages):
     plain = f'<div><b>{"y" * 51}</b></div><div>{"z" * 50}</div><div>{"a" * 60}<br></div>'
     df = pages(f'<title>Place</title><span role="link">Zoe</span>{rated}', plain, '<div aria-label="rated">x</div>')
     got = rows(extract.reviews_search(df), "page_id", "author", "rating", "text")
-    assert got == [(0, "Zoe", i % 5 + 1, f"text {i}") for i in range(10)] + [(1, "Unknown", 0, "y" * 51)]
-    record = extract.place_records(df).orderBy("page_id").first()
-    assert (record.name, record.place_id, len(record.reviews)) == ("Place", "https://h/p/0", 10)
+    assert got == [(0, "Zoe", i % 5 + 1, f"text {i}") for i in range(12)] + [(1, "Unknown", 0, "y" * 51)]
+    record = extract.place_records(df, max_blocks=10, max_text=20).orderBy("page_id").first()
+    assert (record.name, record.place_id, len(record.reviews), len(record.raw_html)) == ("Place", "https://h/p/0", 10, 20)
 
 
 def test_place_links(pages):

@@ -1,14 +1,20 @@
 """Upserts, the store, streams and whole runs on small tables."""
 
 import datetime as dt
+import os
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators import upsert
-from reviewloom.operators.language import detect_language, fit_profiles
+from reviewloom.operators.language import detect_language, fit_language
 from reviewloom.operators.reports import branch_choice, collection_status, nested_insights
 from reviewloom.operators.topics import TopicSettings, assign_topics, topic_shares
+from reviewloom.operators.terms import read_stop_words
+from reviewloom.plans import stages
 from reviewloom.plans.stages import RunOptions, insights_or_run, run, stored_insights
 from reviewloom.sinks.files import read_reviews_csv, write_reviews_csv
 from reviewloom.sinks.store import ReviewStore
@@ -95,9 +101,10 @@ def test_status_reasons(spark):
         [("a", "u1", "ok", 0), ("a", "u1", "recaptcha", 1), ("b", "u2", "recaptcha", 0), ("c", "u3", "ok", 0)],
         "name string, url string, html string, snapshot_no int",
     )
-    found = spark.createDataFrame([("u3", 4)], "url string, found long")
-    assert as_set(collection_status(pages, found), "url", "skipped", "reason", "found") == {
-        ("u1", True, "captcha_after_scroll", None), ("u2", True, "captcha", None), ("u3", False, None, 4),
+    found = spark.createDataFrame([("u3", 4, 2)], "url string, found long, new long")
+    assert as_set(collection_status(pages, found), "url", "skipped", "reason", "found", "new", "errors") == {
+        ("u1", True, "captcha_after_scroll", None, None, None), ("u2", True, "captcha", None, None, None),
+        ("u3", False, None, 4, 2, 0),
     }
 
 
@@ -109,6 +116,13 @@ def test_topics_keep_their_contract(spark):
     assert topics.count() == len(rows)
     sizes = {r.topic: r["count"] for r in topics.filter("branch_id = 1").groupBy("topic").count().collect()}
     assert sizes.pop(-1) == 2 and set(sizes) == {0, 1, 2} and sizes[0] >= sizes[1] >= sizes[2] >= 5
+    # nine reviews that say the same are one topic, and so is the smaller part of ten
+    small = spark.createDataFrame(
+        [(3, i, "pool") for i in range(9)] + [(4, i, "pool" if i < 6 else "sauna here") for i in range(11)],
+        "branch_id long, review_id long, normalized_text string",
+    )
+    chosen = as_set(assign_topics(small, TopicSettings(stop_words=())), "branch_id", "topic")
+    assert chosen == {(3, 0), (4, 0), (4, 1)}
     total = topic_shares(topics).filter("branch_id = 1").agg(F.sum("percentage")).first()[0]
     assert abs(float(total) - 100) <= 0.03
 
@@ -116,8 +130,11 @@ def test_topics_keep_their_contract(spark):
 def test_language_of_unknown_and_short_texts(spark):
     known = spark.createDataFrame([("the gym is great", "en"), ("das ist sehr gut", "de")], "text string, lang string")
     texts = spark.createDataFrame([(1, "great gym"), (2, "ist gut"), (3, "ab"), (4, None), (5, "xyzxyz")], "k int, text string")
-    got = as_set(detect_language(texts, fit_profiles(known), "k"), "k", "lang_guess")
-    assert got == {(1, "en"), (2, "de"), (3, None), (4, None), (5, None)}
+    model = fit_language(known)
+    plan = detect_language(texts, model)
+    got = as_set(plan, "k", "lang_guess")
+    assert got >= {(1, "en"), (2, "de"), (3, None), (4, None)} and len(got) == 5
+    assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
 def test_branch_list_files(spark, tmp_path):
@@ -176,6 +193,9 @@ def test_landing_a_stream_twice_changes_nothing(spark, tmp_path):
     handler(last, 7)
     handler(last, 7)
     assert store.read("reviews").count() == len(landed) + 1
+    nameless = spark.createDataFrame([review(None, 0, "no id")], REVIEWS)
+    once = upsert.upsert(nameless, nameless, ["review_id"], ["scraped_at"])
+    assert once.count() == 1
     merge = upsert_each_batch(store, "reviews", ["review_id"], ["scraped_at"])
     merge(store.read("reviews").limit(3), 0)
     assert store.read("reviews").count() == len(landed) + 1
@@ -188,10 +208,12 @@ def page_html(topic, count):
 
 def test_whole_run(spark, tmp_path):
     store = ReviewStore(spark, str(tmp_path / "store"))
-    branches = spark.createDataFrame([("One", "u1"), ("Two", "u2"), ("Three", "u3")], "name string, url string")
+    branches = spark.createDataFrame([("One", "u1"), ("Two", "u2"), ("Three", "u3"), ("Four", "u4")], "name string, url string")
     html = page_html("swimming", 7) + page_html("parking", 6)
     pages = spark.createDataFrame(
-        [(1, "u1", html, 0, T0), (2, "u2", "recaptcha", 0, T0), (3, "u3", page_html("swimming", 2), 0, T0)], PAGES
+        [(1, "u1", html, 0, T0), (2, "u2", "recaptcha", 0, T0), (3, "u3", page_html("swimming", 2), 0, T0),
+         (4, "u1", html, 1, at(5)), (5, "u4", page_html("sauna", 3), 0, T0), (6, "u4", "recaptcha", 1, at(1)),
+         (7, "u3", "<![foo[x]]>", 1, at(1))], PAGES
     )
     memory = spark.createDataFrame([], "text string, translated string")
     options = RunOptions(topics=TopicSettings(stop_words=("the", "here", "is", "indeed"), max_share=0.8))
@@ -204,15 +226,65 @@ def test_whole_run(spark, tmp_path):
         return run(store, branches, pages, memory, answer, name, options)
 
     assert stored_insights(store)[0] == "aggregated_reviews"
-    assert as_set(compute(), "name", "skipped", "found") == {("One", False, 13), ("Two", True, None), ("Three", False, 2)}
+    # snapshots accumulate without doubling; a branch blocked at any of them is neither stored nor dated
+    assert as_set(compute(), "name", "reason", "found", "new", "errors") == {
+        ("One", None, 13, 13, 0), ("Two", "captcha", None, None, None), ("Three", None, 2, 2, 1),
+        ("Four", "captcha_after_scroll", None, None, None),
+    }
+    assert as_set(store.read("branches"), "name") == {("One",), ("Three",)}
     kind, nested = insights_or_run(store, compute)
     rows = nested.collect()
     assert kind == "insights_table" and [r.branch_name for r in rows] == ["One"]
     assert [t.topic_id for t in rows[0].topics] == [0, 1] and {t.aspect for t in rows[0].topics} == {"a"}
     assert [t.percentage for t in rows[0].topics] == [53.85, 46.15]
     before = {t: store.read(t).count() for t in ("branches", "reviews", "normalized_reviews", "insights_meta", "insights")}
-    assert before == {"branches": 3, "reviews": 15, "normalized_reviews": 15, "insights_meta": 1, "insights": 2}
+    assert before == {"branches": 2, "reviews": 15, "normalized_reviews": 15, "insights_meta": 1, "insights": 2}
     compute("one")
     assert {t: store.read(t).count() for t in before} == before
     compute("two")
     assert store.read("insights_meta").count() == 2 and store.read("reviews").count() == 15
+
+
+def test_search_flow_and_fallback_normalising(spark, tmp_path):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    store.ensure()
+    html = "<title>Spa</title>" + "".join(f'<div aria-label="Rated {i} stars">A TEXT  of place {i}</div>' for i in range(3))
+    pages = spark.createDataFrame([(1, "h?cid=7", html, 0, T0), (2, "i?cid=7", html, 1, at(1))], PAGES)
+    stages.collect_places(store, pages, "one")
+    stages.collect_places(store, pages, "one")
+    assert as_set(store.read("branches"), "name", "place_id") == {("Spa", "7")}
+    assert store.read("reviews").count() == 3
+    stages.normalise(store, spark.createDataFrame([], "text string, translated string"), simple=True)
+    assert as_set(store.read("normalized_reviews"), "normalized_text") == {(f"a text of place {i}",) for i in range(3)}
+
+
+def test_normalising_by_language_model(spark, tmp_path):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    store.append("reviews", spark.createDataFrame([review(1, 1, "das ist gut"), review(2, 1, "it is good")], REVIEWS), "a")
+    model = fit_language(spark.createDataFrame([("das ist sehr gut", "de"), ("it is very good", "en")], "text string, lang string"))
+    memory = spark.createDataFrame([("das ist gut", "that is good"), ("it is good", "wrong")], "text string, translated string")
+    stages.normalise(store, memory, model=model, foreign=("de",))
+    assert as_set(store.read("normalized_reviews"), "normalized_text") == {("that is good",), ("it is good",)}
+
+
+def test_scratch_folder_without_a_preset(tmp_path):
+    """A local session without any default gets a folder of its own; a cluster must name one."""
+    code = (
+        "from reviewloom.session import build_session, cut, land, scratch_root\n"
+        "s = build_session('t', 'local[1]', spark__ui__enabled='false')\n"
+        "assert cut(s.range(3)).count() == 3 and land(s.range(3), 'x').count() == 3\n"
+        "assert scratch_root(s)\n"
+    )
+    env = {**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": str(Path(__file__).resolve().parents[1])}
+    subprocess.run([sys.executable, "-c", code], check=True, env=env, timeout=120)
+
+
+def test_stop_words_from_a_file(spark, tmp_path):
+    (tmp_path / "words.txt").write_text("The\n\n and \n")
+    assert read_stop_words(spark, str(tmp_path / "words.txt")) == ("and", "the")
+
+
+def test_texts_are_taken_apart_in_one_job(spark):
+    rows = spark.createDataFrame([(1, i, "pool water") for i in range(9)], "branch_id long, review_id long, normalized_text string")
+    plan = assign_topics(rows, TopicSettings())._jdf.queryExecution().executedPlan().toString()
+    assert "split(lower(" not in plan and "term-counts" in plan
