@@ -12,7 +12,9 @@ from reviewloom.llm.common import NO_WORD, ascii_lower, ceil_div, landed, shuffl
 # grow with the number of documents.
 LOW_SHARE, HIGH_SHARE, MIN_DOCS = 0.001, 0.2, 2
 # Halvings of the lexicon, one subset each: subset k keeps a term with probability 2 ** -HALVINGS[k].
-HALVINGS = (0, 1, 2, 2, 3, 3, 3, 3, 4, 4, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 7, 7, 7, 7, 8, 8, 8, 9, 9, 9)
+HALVINGS = (0, 1, 2, 3, 3, 4, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 7, 7, 7, 8, 8, 9, 9)
+# Subsets of at least so many halvings are looked for among the terms that are in any of them.
+SPARSE = 5
 # Fixed value: punctuation that is cut off both ends of a word.
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#|"
 # Characters of text that one bucket of neighbouring documents should hold.
@@ -21,9 +23,10 @@ EMPTY = "-"
 
 
 def terms_of(text: Column) -> Column:
-    """Distinct terms: words, lower-cased, without punctuation at their ends."""
+    """Distinct terms in order: words, lower-cased, without punctuation at their ends."""
     words = F.split(ascii_lower(text), NO_WORD)
-    return F.array_distinct(F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != ""))
+    trimmed = F.filter(F.transform(words, lambda w: F.btrim(w, F.lit(PUNCTUATION))), lambda w: w != "")
+    return F.sort_array(F.array_distinct(trimmed))
 
 
 def _subset_bit(k: int, halvings: int) -> str:
@@ -47,24 +50,30 @@ def lexicon(terms: DataFrame, n_docs: int, low: float = LOW_SHARE, high: float =
     return counted.filter(inside).select("term", F.expr(subset_mask_sql()).alias("mask"))
 
 
-def _subset(banded: Column, bit: int) -> Column:
-    return F.filter(banded, lambda x: x["mask"].bitwiseAND(F.lit(bit)) != 0)
+def _tagged(terms: Column, tag: int) -> Column:
+    """Terms with the number of their text, and before them one element that holds the digest of them all."""
+    whole = F.struct(F.lit(-1 - tag).alias("of"), _digest(terms).alias("term"))
+    return F.concat(F.array(whole), F.transform(terms, lambda t: F.struct(F.lit(tag).alias("of"), t.alias("term"))))
 
 
-def _tagged(terms: Column, tag: int) -> Column:
-    return F.transform(terms, lambda t: F.struct(F.lit(tag).alias("column"), t.alias("term")))
+def _with_any(band: Column, bits: int) -> Column:
+    return F.filter(band, lambda x: x["mask"].bitwiseAND(F.lit(bits)) != 0)
 
 
-def signature(banded: Column, fallback: Column) -> Column:
-    """The subsets' hashes joined by ``.``; a text without any term of the band hashes all its terms in place 0."""
-    parts = [_subset(banded, 1 << k) for k in range(len(HALVINGS))]
-    hashes = [
-        F.when(F.size(p) == 0, F.lit(EMPTY)).otherwise(
-            F.substring(F.md5(F.array_join(F.transform(p, lambda x: x["term"]), " ")), 1, 16)
-        )
-        for p in parts
-    ]
-    hashes[0] = F.when(F.size(banded) == 0, fallback).otherwise(hashes[0])
+def _digest(terms: Column) -> Column:
+    return F.when(F.size(terms) == 0, F.lit(EMPTY)).otherwise(F.substring(F.md5(F.array_join(terms, " ")), 1, 16))
+
+
+def signature(whole: Column, band: Column, sparse: Column) -> Column:
+    """The subsets' hashes joined by ``.``; a text without any term of the band has ``whole`` in place 0.
+
+    ``sparse`` holds the terms of ``band`` that any of the sparse subsets keeps.
+    """
+    hashes = []
+    for k, halvings in enumerate(HALVINGS):
+        kept = _with_any(sparse if halvings >= SPARSE else band, 1 << k)
+        hashes.append(_digest(F.transform(kept, lambda x: x["term"])))
+    hashes[0] = F.when(F.size(band) == 0, whole).otherwise(hashes[0])
     return F.array_join(F.array(*hashes), ".")
 
 
@@ -141,40 +150,32 @@ def edited(text: Column, next_text: Column) -> Column:
 
 
 def fingerprint(docs: DataFrame, lex: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
-    """Fingerprints of several text columns at once.
+    """``keys`` and the fingerprints of several text columns at once; ``keys`` name each row uniquely.
 
-    ``texts`` maps text columns to the names of their fingerprints, ``keys``
-    name each row uniquely.  Terms are exploded with a bit per column, meet the
-    lexicon by broadcast (bounded, see ``LOW_SHARE``) and gather per row.
+    Terms are exploded with little besides, meet the lexicon by broadcast
+    (bounded, see ``LOW_SHARE``) and those of the band gather per row; where the
+    rows lie together by some of the keys already, nothing is shuffled.
     """
     columns = list(texts)
-    work = docs.select(*keys, *(terms_of(F.col(c)).alias(f"_{i}") for i, c in enumerate(columns)))
-    work = work.select(
-        *keys,
-        *(
-            F.when(F.size(f"_{i}") == 0, F.lit(EMPTY))
-            .otherwise(F.substring(F.md5(F.array_join(F.array_sort(f"_{i}"), " ")), 1, 16))
-            .alias(f"_all{i}")
-            for i in range(len(columns))
-        ),
-        F.concat(
-            # one row without a term, so that a text without terms of the band keeps its row
-            F.array(F.struct(F.lit(0).alias("column"), F.lit(None).cast("string").alias("term"))),
-            *(_tagged(F.col(f"_{i}"), i) for i in range(len(columns))),
-        ).alias("_terms"),
+    places = range(len(columns))
+    tagged = F.concat(*(_tagged(terms_of(F.col(c)), i) for i, c in enumerate(columns)))
+    met = (
+        docs.select(*keys, F.explode(tagged).alias("_t"))
+        .select(*keys, "_t.of", "_t.term")
+        .join(F.broadcast(lex), "term", "left")
+        .filter((F.col("of") < 0) | F.col("mask").isNotNull())
     )
-    alls = [f"_all{i}" for i in range(len(columns))]
-    exploded = work.select(*keys, *alls, F.explode("_terms").alias("_t")).select(*keys, *alls, "_t.column", "_t.term")
-    met = exploded.join(F.broadcast(lex), "term", "left").filter(F.col("term").isNull() | F.col("mask").isNotNull())
-    gathered = met.groupBy(*keys, *alls).agg(
-        *(
-            F.array_sort(
-                F.collect_list(F.when((F.col("column") == i) & F.col("term").isNotNull(), F.struct("term", "mask")))
-            ).alias(f"_band{i}")
-            for i in range(len(columns))
-        )
+    gathered = met.groupBy(*keys).agg(
+        *(F.max(F.when(F.col("of") == -1 - i, F.col("term"))).alias(f"_whole{i}") for i in places),
+        *(F.collect_list(F.when(F.col("of") == i, F.struct("term", "mask"))).alias(f"_found{i}") for i in places),
+    )
+    sparse = sum(1 << k for k, halvings in enumerate(HALVINGS) if halvings >= SPARSE)
+    bands = gathered.select("*", *(F.sort_array(f"_found{i}").alias(f"_band{i}") for i in places))
+    bands = bands.select("*", *(_with_any(F.col(f"_band{i}"), sparse).alias(f"_sparse{i}") for i in places))
+    return bands.select(
+        *keys,
+        *(signature(F.col(f"_whole{i}"), F.col(f"_band{i}"), F.col(f"_sparse{i}")).alias(texts[c]) for i, c in enumerate(columns)),
     )
-    return gathered.select(*keys, *(signature(F.col(f"_band{i}"), F.col(f"_all{i}")).alias(texts[c]) for i, c in enumerate(columns)))
 
 
 def document_lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -197,12 +198,12 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = with_next_text(docs, id_col, text_col).select(
         "bucket", "place", "id", "text", edited(F.col("text"), F.col("next_text")).alias("edit")
     )
-    keys = ["bucket", "place", "id", "n_chars", "edited_sha256"]
+    keys = ["bucket", "place"]
     rows = pairs.select(
-        "bucket", "place", "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"),
-        "text", "edit",
+        *keys, "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256")
     )
-    prints = landed(fingerprint(rows, lex, keys, {"text": "fingerprint", "edit": "edited_fingerprint"}), "fingerprints")
+    found = fingerprint(pairs.select(*keys, "text", "edit"), lex, keys, {"text": "fingerprint", "edit": "edited_fingerprint"})
+    prints = landed(rows.join(found, keys), "fingerprints")
     return _with_next_print(prints).select(
         F.col("id").alias(id_col),
         "n_chars",
