@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,7 @@ PUNCTUATION = ".,;:!?\"'()[]{}<>*#|"
 # Characters of text that one bucket of neighbouring documents should hold.
 BUCKET_CHARS = 32 << 20
 EMPTY = "-"
+NO_TERMS = hashlib.md5(b"").hexdigest()[:16]
 
 
 def terms_of(text: Column) -> Column:
@@ -50,6 +53,11 @@ def lexicon(terms: DataFrame, n_docs: int, low: float = LOW_SHARE, high: float =
     return counted.filter(inside).select("term", F.expr(subset_mask_sql()).alias("mask"))
 
 
+def _digest(terms: Column) -> Column:
+    """Hash of ordered terms; ``NO_TERMS`` for none."""
+    return F.substring(F.md5(F.array_join(terms, " ")), 1, 16)
+
+
 def _tagged(terms: Column, tag: int) -> Column:
     """Terms with the number of their text, and before them one element that holds the digest of them all."""
     whole = F.struct(F.lit(-1 - tag).alias("of"), _digest(terms).alias("term"))
@@ -60,8 +68,6 @@ def _with_any(band: Column, bits: int) -> Column:
     return F.filter(band, lambda x: x["mask"].bitwiseAND(F.lit(bits)) != 0)
 
 
-def _digest(terms: Column) -> Column:
-    return F.when(F.size(terms) == 0, F.lit(EMPTY)).otherwise(F.substring(F.md5(F.array_join(terms, " ")), 1, 16))
 
 
 def signature(whole: Column, band: Column, sparse: Column) -> Column:
@@ -74,7 +80,7 @@ def signature(whole: Column, band: Column, sparse: Column) -> Column:
         kept = _with_any(sparse if halvings >= SPARSE else band, 1 << k)
         hashes.append(_digest(F.transform(kept, lambda x: x["term"])))
     hashes[0] = F.when(F.size(band) == 0, whole).otherwise(hashes[0])
-    return F.array_join(F.array(*hashes), ".")
+    return F.replace(F.array_join(F.array(*hashes), "."), F.lit(NO_TERMS), F.lit(EMPTY))
 
 
 def likeness(left: Column, right: Column) -> Column:
@@ -158,9 +164,10 @@ def fingerprint(docs: DataFrame, lex: DataFrame, keys: list[str], texts: dict[st
     """
     columns = list(texts)
     places = range(len(columns))
-    tagged = F.concat(*(_tagged(terms_of(F.col(c)), i) for i, c in enumerate(columns)))
+    termed = docs.select(*keys, *(terms_of(F.col(c)).alias(f"_terms{i}") for i, c in enumerate(columns)))
+    tagged = F.concat(*(_tagged(F.col(f"_terms{i}"), i) for i in places))
     met = (
-        docs.select(*keys, F.explode(tagged).alias("_t"))
+        termed.select(*keys, F.explode(tagged).alias("_t"))
         .select(*keys, "_t.of", "_t.term")
         .join(F.broadcast(lex), "term", "left")
         .filter((F.col("of") < 0) | F.col("mask").isNotNull())
