@@ -49,9 +49,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Identifiers of every document, and whether they decode to its text."""
-    encoded = pieces.encode(docs, carry=("text", "source"))
-    decoded = pieces.decode(encoded, carry=("ids", "text", "source"))
-    return decoded.select(
+    encoded = pieces.encode(docs, carry=("text", "source"), with_decoded=True)
+    return encoded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids",
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )

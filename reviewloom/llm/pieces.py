@@ -5,21 +5,21 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import sliced
+from reviewloom.llm.common import SLICE_ROWS
 
 # Fixed value: the mark that stands for a space.
 MARK = "▁"
 # Distinct words whose pieces a worker keeps, and pairs of pieces it remembers.
-KEPT_WORDS = 700_000
-KEPT_PAIRS = 2_000_000
+KEPT_WORDS = 600_000
+KEPT_PAIRS = 500_000
 
 
 def default_model() -> str:
@@ -29,6 +29,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def packed(ids: list[int]) -> bytes:
+    return np.array(ids, "<i4").tobytes()
+
+
 def word_pattern(pieces: Iterable[str]) -> re.Pattern:
     """Marked words: a run of marks and what follows it; a character of no longer piece stands alone."""
     joined = {c for piece in pieces if len(piece) > 1 for c in piece} - {MARK}
@@ -59,7 +63,7 @@ class Lattice:
         # pieces by number; characters that are no piece are numbered as they come
         self.names = [name for name in pieces if kind == "unigram" or self.merged(name) == [name]]
         self.numbers = {name: k for k, name in enumerate(self.names)}
-        self.own = [(pieces[name][0],) for name in self.names]
+        self.own = [packed([pieces[name][0]]) for name in self.names]
         self.matcher = ahocorasick.Automaton()
         for name, k in self.numbers.items():
             self.matcher.add_word(name, (len(name), k, pieces[name][1]))
@@ -126,21 +130,21 @@ class Lattice:
         """State of a prefix whose last character is in no piece that ends there."""
         return (states[end - 1][0] + self.least, end - 1, self.number(word[end - 1]))
 
-    def ids(self, number: int) -> tuple[int, ...]:
+    def ids(self, number: int) -> bytes:
         """Identifier of a piece, or those of a character's bytes."""
         if number < len(self.own):
             return self.own[number]
         name = self.names[number].encode()
-        return tuple(self.byte_ids[b] for b in name) if self.byte_ids else (self.unknown,)
+        return packed([self.byte_ids[b] for b in name] if self.byte_ids else [self.unknown])
 
-    def encode_words(self, words: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Identifiers of every distinct word.
+    def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
+        """Identifiers of every distinct word, as 32-bit numbers.
 
         The sorted words are the depth-first order of their trie: the stack of
         forward states is cut back to the prefix shared with the word before,
         and only the characters after it get new ones.
         """
-        found: dict[str, tuple[int, ...]] = {}
+        found: dict[str, bytes] = {}
         states: list[tuple] = [(0.0, 0, -1)]
         before, ids = "", self.ids
         for word in sorted(set(words)):
@@ -156,7 +160,7 @@ class Lattice:
                 _, end, number = states[end]
                 numbers.append(number)
             numbers.reverse()
-            found[word] = tuple(chain.from_iterable(map(ids, numbers)))
+            found[word] = b"".join(map(ids, numbers))
             before = word
         return found
 
@@ -208,25 +212,22 @@ class Codec:
             raise ValueError("pieces that reach over a word's end are not supported")
         self.words = word_pattern(pieces).findall
         self.lattice = Lattice(pieces, model_kind(path), bytes_first, model.unk_id())
-        self.texts = ["" if i in special else names[i].replace(MARK, " ") for i in range(size)]
-        self.bytes = {i: bytes([k]) for k, i in enumerate(bytes_first)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.raw = [b"" if i in special else names[i].replace(MARK, " ").encode() for i in range(size)]
+        for value, i in enumerate(bytes_first):
+            self.raw[i] = bytes([value])
+        self.known: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Identifiers of several texts; their new distinct words are encoded together."""
         split = [self.words(marked(t)) for t in texts]
         if len(self.known) > KEPT_WORDS:
             self.known.clear()
         self.known |= self.lattice.encode_words(set().union(*split) - self.known.keys())
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
-
-    def decode(self, ids: list[int]) -> str:
-        """The text of identifiers; runs of byte pieces are UTF-8, and the first mark is not part of the text."""
-        if self.bytes.keys().isdisjoint(ids):
-            text = "".join(map(self.texts.__getitem__, ids))
-        else:
-            data = b"".join(self.bytes.get(i) or self.texts[i].encode() for i in ids)
-            text = data.decode("utf-8", "replace")
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<i4") for words in split]
+
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of identifiers; byte pieces join to UTF-8, and the first mark is not part of the text."""
+        text = b"".join(map(self.raw.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -235,11 +236,19 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    model: str | None = None,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    carry: tuple = (),
+    with_decoded: bool = False,
+) -> DataFrame:
     """Pieces of every whole text, as the model's own encoder gives them.
 
-    Returns ``id_col``, ``ids`` and the ``carry`` columns.  ``model`` is a path
-    every executor can read; the model must keep texts as they are (identity
+    Returns ``id_col``, ``ids``, with ``with_decoded`` also ``decoded``, the text
+    made from them again, and the ``carry`` columns.  ``model`` is a path every
+    executor can read; the model must keep texts as they are (identity
     normalisation, a mark put in front).  A null or empty text has no pieces.
     Repeated rows give repeated results, an empty table an empty one.  Other
     columns are not read.
@@ -251,16 +260,21 @@ def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, (texts,) in zip(range(0, batch.num_rows, 256), sliced([batch], ["text"])):
-                part = batch.slice(at, 256)
-                ids = codec(path).encode([t or "" for t in texts])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), part.column("carry"), pa.array(ids, pa.list_(pa.int32()))], ["id", "carry", "ids"]
-                )
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                ids = codec(path).encode([t or "" for t in part.column("text").to_pylist()])
+                ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
+                columns = [part.column("id"), part.column("carry"), lists]
+                if with_decoded:
+                    columns.append(pa.array(map(codec(path).decode, ids), pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["id", "carry", "ids", "decoded"][: len(columns)])
 
     carry_kind = rows.schema["carry"].dataType.simpleString()
-    encoded = rows.mapInArrow(run, f"id {kind}, carry {carry_kind}, ids array<int>")
-    return encoded.select(F.col("id").alias(id_col), "ids", *(F.col(f"carry.{c}").alias(c) for c in carry))
+    schema = f"id {kind}, carry {carry_kind}, ids array<int>" + ", decoded string" * with_decoded
+    encoded = rows.mapInArrow(run, schema)
+    decoded = ["decoded"] if with_decoded else []
+    return encoded.select(F.col("id").alias(id_col), "ids", *decoded, *(F.col(f"carry.{c}").alias(c) for c in carry))
 
 
 def decode(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id", ids_col: str = "ids", carry: tuple = ()) -> DataFrame:
@@ -272,9 +286,10 @@ def decode(encoded: DataFrame, model: str | None = None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, (lists,) in zip(range(0, batch.num_rows, 256), sliced([batch], ["ids"])):
-                part = batch.slice(at, 256)
-                texts = pa.array([codec(path).decode(ids or []) for ids in lists], pa.string())
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                lists = [np.array(ids or [], np.int32) for ids in part.column("ids").to_pylist()]
+                texts = pa.array(map(codec(path).decode, lists), pa.string())
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("carry"), texts], ["id", "carry", "decoded"])
 
     carry_kind = rows.schema["carry"].dataType.simpleString()

@@ -55,9 +55,8 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of every document and the text decoded from them, as digests."""
-    encoded = pieces.encode(documents(spark, sf_dir))
-    decoded = pieces.decode(encoded, carry=("ids",))
-    return decoded.select(
+    encoded = pieces.encode(documents(spark, sf_dir), with_decoded=True)
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_pieces"),
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
