@@ -17,7 +17,7 @@ MAX_COPIES = 2
 TOLERANCE = 1e-7
 MAX_STEPS = 60
 # Documents of one source and size that are ranked in one task.
-CELL_ROWS = 1000
+CELL_ROWS = 100
 
 
 def source_key(source: Column) -> Column:
@@ -193,8 +193,9 @@ def mix_sources(
         rounded(balanced(cells, goals, cap)).join(goals, "key"),
         "copies",
     )
+    # dealt by the salt too, so that the documents of one source and size need not meet in one task
     met = rows.join(copies, ["key", "size"]).withColumn("salt", F.pmod("draw", F.col("salts")).cast("int"))
-    return _dealt(met).select(
+    return _dealt(met.repartition("key", "size", "salt")).select(
         F.col("id").alias(id_col), "size", "source_size", "target", "copies",
         (F.col("copies") * F.col("size")).alias("taken"), *(F.col(f"carry.{c}").alias(c) for c in carry),
     )
