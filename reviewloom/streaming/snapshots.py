@@ -57,7 +57,7 @@ def land_reviews(store: ReviewStore, counts_path: str, order: Sequence[str | Col
         fresh = new_reviews(batch, store.read("reviews", without_part=part), order)
         store.append("reviews", fresh, part)
         found = batch.groupBy("branch_id").agg(F.count("*").alias("found"))
-        landed = store.spark.read.parquet(*_part_files(store, part)).groupBy("branch_id").agg(F.count("*").alias("new"))
+        landed = store.spark.read.parquet(*store.part_files("reviews", part)).groupBy("branch_id").agg(F.count("*").alias("new"))
         counts = found.join(landed, "branch_id", "left").select(
             "branch_id", F.lit(batch_id).cast("long").alias("round"), "found", F.coalesce("new", F.lit(0)).alias("new")
         )
@@ -67,10 +67,6 @@ def land_reviews(store: ReviewStore, counts_path: str, order: Sequence[str | Col
     return handle
 
 
-def _part_files(store: ReviewStore, part: str) -> list[str]:
-    return [f"{store._folder('reviews', version)}/{name}" for version, name in store._parts("reviews") if name == part]
-
-
 def upsert_each_batch(store: ReviewStore, table: str, keys: Sequence[str], order: Sequence[str | Column]) -> Callable[[DataFrame, int], None]:
     """Batch handler: put the rows of a batch in place of stored ones; applying a batch twice changes nothing."""
 

@@ -165,6 +165,11 @@ def test_store_versions_parts_and_failed_writes(spark, tmp_path):
     store.append("reviews", spark.createDataFrame([review(3, 1, "two again")], REVIEWS), "b")
     assert as_set(store.read("reviews"), "review_id") == {(1,), (3,)}
     assert as_set(store.read("reviews", without_part="b"), "review_id") == {(1,)}
+    # a retry that breaks off leaves the part as it was
+    torn = spark.createDataFrame([review(4, 1, "torn")], REVIEWS).withColumn("rating", F.raise_error(F.lit("torn")).cast("int"))
+    with pytest.raises(Exception, match="torn"):
+        store.append("reviews", torn, "b")
+    assert as_set(store.read("reviews"), "review_id") == {(1,), (3,)}
     store.replace("reviews", store.read("reviews").filter("review_id = 1"))
     assert as_set(store.read("reviews"), "review_id") == {(1,)}
     broken = store.read("reviews").withColumn("rating", F.raise_error(F.lit("broken")).cast("int"))
@@ -173,6 +178,8 @@ def test_store_versions_parts_and_failed_writes(spark, tmp_path):
     assert as_set(store.read("reviews"), "review_id") == {(1,)}
     store.reset()
     assert store.read("reviews").count() == 0
+    store.reset()
+    assert len(list((tmp_path / "store" / "reviews").iterdir())) <= 3
 
 
 def test_landing_a_stream_twice_changes_nothing(spark, tmp_path):
