@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.dates import relative_date
 from reviewloom.functions.ratings import rating_from_label, rating_single_digit
-from reviewloom.functions.replies import parse_reply
+from reviewloom.functions.replies import UNPARSED, parse_reply
 from reviewloom.functions.text import arabic_share, keep_english, normalize_simple, or_default, snippet, text_key
 from reviewloom.functions.urls import place_id, unwrap_redirect
 from reviewloom.operators import reports
@@ -154,15 +154,15 @@ def text_keys_and_defaults(spark, sf):
     )
 
 
-@query("""WITH r AS (SELECT doc_id, text, replace(replace(text, chr(92), '/'), '"', '''') AS plain, doc_id % 7 AS kind FROM documents)
+@query(f"""WITH r AS (SELECT doc_id, text, replace(replace(text, chr(92), '/'), '"', '''') AS plain, doc_id % 7 AS kind FROM documents)
 SELECT doc_id,
-  CASE WHEN kind IN (0, 1) THEN lower(lang) WHEN kind IN (2, 3, 6) THEN 'Parsing Error' WHEN kind = 4 THEN '' END AS aspect,
+  CASE WHEN kind IN (0, 1) THEN lower(lang) WHEN kind IN (2, 3, 6) THEN '{UNPARSED["aspect"]}' WHEN kind = 4 THEN '' END AS aspect,
   CASE WHEN kind IN (0, 1) THEN 'positive' WHEN kind IN (2, 3, 6) THEN 'mixed' ELSE '' END AS sentiment,
   CASE WHEN kind IN (0, 1, 4, 5) THEN text
-       WHEN kind = 2 THEN 'Could not parse Gemini JSON. Raw response: ```' || chr(10) || '{"aspect":"x"}' || chr(10) || '```'
-       WHEN kind = 3 THEN 'Could not parse Gemini JSON. Raw response: {"aspect": ' || text
-       ELSE 'Could not parse Gemini JSON. Raw response: ["' || doc_id || '"]' END AS summary,
-  CASE WHEN kind IN (0, 1) THEN 'keep' WHEN kind IN (2, 3, 6) THEN 'Inspect raw output.' ELSE '' END AS recommendation
+       WHEN kind = 2 THEN '{UNPARSED["summary"]}```' || chr(10) || '{{"aspect":"x"}}' || chr(10) || '```'
+       WHEN kind = 3 THEN '{UNPARSED["summary"]}{{"aspect": ' || text
+       ELSE '{UNPARSED["summary"]}["' || doc_id || '"]' END AS summary,
+  CASE WHEN kind IN (0, 1) THEN 'keep' WHEN kind IN (2, 3, 6) THEN '{UNPARSED["recommendation"]}' ELSE '' END AS recommendation
 FROM r JOIN (SELECT doc_id, lang FROM documents) USING (doc_id)""")
 def analysis_replies(spark, sf):
     kind, text = F.col("doc_id") % 7, F.col("text")

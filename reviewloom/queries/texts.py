@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from reviewloom.functions.replies import REQUEST_HEAD, REQUEST_SAMPLES, REQUEST_TASK
+from reviewloom.functions.replies import FAILED, REQUEST_HEAD, REQUEST_SAMPLES, REQUEST_TASK, UNPARSED
 from reviewloom.functions.text import is_arabic
 from reviewloom.operators import reports
 from reviewloom.operators.analysis import analysis_requests, analysis_results, run_headers
@@ -229,11 +229,11 @@ def _responses(requests):
 
 
 RESULTS_SQL = f"""{REQUESTS_SQL}, results AS (SELECT branch_id, topic, percentage, top_keywords,
-  CASE WHEN topic % 4 < 2 THEN top_keywords WHEN topic % 4 = 2 THEN 'Parsing Error' ELSE 'AI Generation Error' END AS gemini_aspect,
+  CASE WHEN topic % 4 < 2 THEN top_keywords WHEN topic % 4 = 2 THEN {_sql_text(UNPARSED["aspect"])} ELSE {_sql_text(FAILED["aspect"])} END AS gemini_aspect,
   'mixed' AS gemini_sentiment,
-  CASE WHEN topic % 4 < 2 THEN '' WHEN topic % 4 = 2 THEN 'Could not parse Gemini JSON. Raw response: no answer'
-    ELSE 'Error generating summary: timeout ' || size END AS gemini_summary,
-  CASE WHEN topic % 4 < 2 THEN '' WHEN topic % 4 = 2 THEN 'Inspect raw output.' ELSE 'Rerun pipeline.' END AS gemini_recommendation
+  CASE WHEN topic % 4 < 2 THEN '' WHEN topic % 4 = 2 THEN {_sql_text(UNPARSED["summary"] + "no answer")}
+    ELSE {_sql_text(FAILED["summary"] + "timeout ")} || size END AS gemini_summary,
+  CASE WHEN topic % 4 < 2 THEN '' WHEN topic % 4 = 2 THEN {_sql_text(UNPARSED["recommendation"])} ELSE {_sql_text(FAILED["recommendation"])} END AS gemini_recommendation
   FROM requests)"""
 
 

@@ -93,6 +93,8 @@ def test_reply(apply):
     assert parsed(apply, f"  ```json\n{body}\n```  ") == whole
     assert parsed(apply, "{}") == ("", "", "", "")
     assert parsed(apply, '{"aspect": null, "summary": "u"}') == (None, "", "u", "")
+    # readers that take repeated keys keep the last value
+    assert parsed(apply, '{"aspect": "a", "aspect": "b", "summary": NaN}')[:2] == ("b", "")
     for broken in (f"```\n{body}\n```", "[1]", "no json", "", f"```JSON\n{body}\n```"):
         assert parsed(apply, broken) == (
             "Parsing Error", "mixed", "Could not parse Gemini JSON. Raw response: " + broken, "Inspect raw output.",
