@@ -47,7 +47,8 @@ def collect(store: ReviewStore, branches: DataFrame, pages: DataFrame, options:
 
     ``branches`` is ``(name, url)``; ``pages`` follows :data:`reviewloom.schemas.PAGES`.
     A branch that was blocked at any snapshot is skipped whole: it is neither
-    stored nor dated and none of its reviews are.
+    stored nor dated and none of its reviews are.  Reviews with a value wider
+    than its column are set aside with the names of those columns.
     """
     named = pages.join(branches.select("name", "url").dropDuplicates(["url"]), "url")
     good, found = collected_reviews(named, options)
@@ -59,7 +60,7 @@ def collect(store: ReviewStore, branches: DataFrame, pages: DataFrame, options:
     fits, rejected = split_oversize(rows, WIDTHS["reviews"])
     fresh = land(new_reviews(fits, store.read("reviews", without_part=part), ["snapshot_no", "page_id", "block_no"]), "new")
     store.append("reviews", fresh, part)
-    land(rejected.select("url", "author", "text", "review_date", "oversize"), "rejected-reviews")
+    store.reject("reviews", rejected.select("url", "author", "text", "review_date", "oversize"), part)
     links = store.read("branches").select(F.col("id").alias("branch_id"), "url")
     added = fresh.groupBy("branch_id").agg(F.count("*").alias("new")).join(links, "branch_id").select("url", "new")
     counts = found.groupBy("url").agg(F.count("*").alias("found")).join(added, "url", "left")

@@ -58,6 +58,13 @@ class ReviewStore:
         if before:
             remove_folder(self.spark, f"{self._folder(table, version)}/{part}/{before}")
 
+    def reject(self, table: str, rows: DataFrame, part: str) -> None:
+        """Set rows aside that do not fit the table; repeating a part replaces it."""
+        rows.write.mode("overwrite").parquet(self.rejected_folder(table, part))
+
+    def rejected_folder(self, table: str, part: str) -> str:
+        return f"{self.root}/rejected_{table}/{part}"
+
     def ensure(self, tables: Sequence[str] = tuple(TABLES)) -> None:
         """Create the tables that do not exist yet."""
         for table in tables:

@@ -239,6 +239,7 @@ def test_whole_run(spark, tmp_path):
         ("Four", "captcha_after_scroll", None, None, None),
     }
     assert as_set(store.read("branches"), "name") == {("One",), ("Three",)}
+    assert spark.read.parquet(store.rejected_folder("reviews", "run-one")).count() == 0
     kind, nested = insights_or_run(store, compute)
     rows = nested.collect()
     assert kind == "insights_table" and [r.branch_name for r in rows] == ["One"]
