@@ -119,17 +119,28 @@ def train(counts: np.ndarray, labels: np.ndarray, languages: list[str], held: np
 
 
 def labelled_sample(docs: DataFrame, labels_of: DataFrame, id_col: str, text_col: str, lang_col: str, limit: int) -> tuple:
-    """Counts, labels and languages of a bounded sample: for every language the documents with the smallest id hashes."""
-    names = [r[0] for r in labels_of.select(lang_col).distinct().orderBy(lang_col).limit(MAX_LANGUAGES + 1).collect()]
-    if len(names) > MAX_LANGUAGES:
+    """Counts, labels and languages of a bounded sample: for every language the documents with the smallest id hashes.
+
+    Hashes are even, so those of a language that can be among its smallest lie
+    below a bound that follows from its number of documents; only about twice
+    as many rows as are wanted pass it and meet to be ranked.
+    """
+    counted = labels_of.groupBy(lang_col).agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()
+    sizes = {r[lang_col]: r["n"] for r in counted}
+    if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; clean the column first")
+    names = sorted(sizes)
     if not names:
         return np.zeros((0, BUCKETS), np.float32), np.zeros(0, np.int64), [], np.zeros(0, bool)
+    wanted = max(1, limit // len(names))
+    bounds = {n: -(2.0**63) + 2.0**64 * min(1.0, (2 * wanted + 50) / sizes[n]) for n in names}
+    bound = F.try_element_at(F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair)), F.col("lang"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "id"))
     chosen = (
         labels_of.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col).alias("draw"))
+        .filter(F.col("draw") <= bound)
         .withColumn("place", place)
-        .filter(F.col("place") <= max(1, limit // len(names)))
+        .filter(F.col("place") <= wanted)
         .select("id", "lang", "draw")
     )
     # at most ``limit`` ids; a repeated id counts once
