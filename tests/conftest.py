@@ -11,7 +11,7 @@ from reviewloom.session import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "tests", "local[4]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__reviewloom__spread="8",
+        "tests", "local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false", spark__reviewloom__spread="8",
         spark__driver__memory="8g", spark__sql__streaming__stateStore__providerClass=
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     )
