@@ -18,7 +18,7 @@ from reviewloom.llm.common import SLICE_ROWS
 # Fixed value: the mark that stands for a space.
 MARK = "▁"
 # Distinct words whose pieces a worker keeps, and pairs of pieces it remembers.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 400_000
 KEPT_PAIRS = 500_000
 
 
