@@ -109,6 +109,44 @@ def test_license_rules(spark, text, rules):
     assert {r.rules for r in license_scan.scan_licenses(df).collect()} == {rules}
 
 
+CANONICAL = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an
+"AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and limitations under the License.
+"""
+GPL_3 = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+
+
+def test_licenses_in_other_wordings(spark):
+    own = "{mit-grant}:\n\n{mit-notice}.\n\n{mit-warranty}. IN NO EVENT SHALL SOME PERSON BE LIABLE FOR ANY CLAIM."
+    for name, sentence in license_scan.SENTENCES.items():
+        own = own.replace("{" + name + "}", sentence)
+    cases = [
+        ("This project is released under the MIT License.", "MIT"),
+        ("Licensed under the GNU GPL v3", "GPL-3.0-only"),
+        ("Licensed under the Apache License 2.0", "Apache-2.0"),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"),
+        ("Distributed under the GNU Lesser General Public License, version 2.1 or later.", "LGPL-2.1-or-later"),
+        ("This software is licensed under the Eclipse Public License v2.0.", "EPL-2.0"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        (f"This program is free software: {GPL_3}either version 3 of the License, or (at your option) any later version.", "GPL-3.0-or-later"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "MPL-2.0"),
+        ("GNU AFFERO GENERAL PUBLIC LICENSE\n   Version 3, 19 November 2007\n\nPreamble", "AGPL-3.0-only"),
+        (CANONICAL, "Apache-2.0"),
+        (own, "MIT"),
+        ("We talked about the MIT License and the GPL at lunch.", ""),
+    ]
+    found = license_scan.scan_licenses(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string"))
+    rows = {r.doc_id: r for r in found.collect()}
+    assert [rows[i].licenses for i in range(len(cases))] == [licence for _, licence in cases]
+    assert rows[10].rules == "apache-header-lines" and rows[10].unmatched == ""
+
+
 # SimHash
 
 
