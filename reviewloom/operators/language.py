@@ -8,14 +8,15 @@ from dataclasses import dataclass
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import NaiveBayes
 from pyspark.ml.feature import CountVectorizer, NGram
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import text_key
 
 GRAM = 3
-# Runs and languages a model may know; both reach the driver.
-MAX_RUNS, MAX_LANGUAGES = 1 << 18, 1_000
+# Languages a model may know, and the most a vocabulary can be asked for; both reach the driver.
+MAX_LANGUAGES, ALL_RUNS = 1_000, (1 << 31) - 1
 
 
 @dataclass(frozen=True)
@@ -32,8 +33,12 @@ def _chars(df: DataFrame, text_col: str) -> DataFrame:
     return df.withColumn("_chars", chars)
 
 
-def fit_language(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", max_runs: int = MAX_RUNS) -> LanguageModel:
-    """Naive Bayes over overlapping runs of three characters, fitted on labelled texts."""
+def fit_language(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", max_runs: int | None = None) -> LanguageModel:
+    """Naive Bayes over overlapping runs of three characters, fitted on labelled texts.
+
+    All runs count.  They reach the driver, a string and a number per language
+    each; where a caller sets ``max_runs``, more of them are an error.
+    """
     labelled = samples.filter(F.col(lang_col).isNotNull())
     languages = sorted(r[0] for r in labelled.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
@@ -43,23 +48,30 @@ def fit_language(samples: DataFrame, text_col: str = "text", lang_col: str = "la
     stages = Pipeline(
         stages=[
             NGram(n=GRAM, inputCol="_chars", outputCol="_runs"),
-            CountVectorizer(vocabSize=max_runs, inputCol="_runs", outputCol="_counts"),
+            CountVectorizer(vocabSize=ALL_RUNS if max_runs is None else max_runs + 1, inputCol="_runs", outputCol="_counts"),
             NaiveBayes(featuresCol="_counts", labelCol="_label", predictionCol="_language", smoothing=1.0),
         ]
     ).fit(rows)
+    if max_runs is not None and len(stages.stages[1].vocabulary) > max_runs:
+        raise ValueError(f"more than {max_runs} runs of {GRAM} characters")
     return LanguageModel(stages, tuple(languages))
 
 
 def detect_language(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_guess``, the most likely language of the whole text; null for a text of fewer than three characters.
+    """``df`` with ``lang_guess``, the most likely language of the whole text; null for a text without any known run.
 
     Scoring is one step over the rows: nothing is exploded, joined or shuffled.
     """
     kept = df.columns
     scored = model.stages.transform(_chars(df, text_col))
     guess = F.get(F.array(*map(F.lit, model.languages)), F.col("_language").cast("int"))
-    # without a known run all counts are zero and only the languages' frequencies would speak
-    has_run = F.col("_language").isNotNull() & (F.size("_runs") > 0)
+    # without a known run all counts are zero and only the languages' frequencies would speak; a known one lowers every
+    # score, unless it is the only one there is
+    frequency, vocabulary = float(model.stages.stages[2].pi[0]), model.stages.stages[1].vocabulary
+    if len(vocabulary) == 1:
+        has_run = F.array_contains("_runs", vocabulary[0])
+    else:
+        has_run = F.get(vector_to_array("rawPrediction"), F.lit(0)) < frequency
     return scored.select(*kept, F.when(has_run, guess).alias("lang_guess"))
 
 

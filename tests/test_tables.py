@@ -2,6 +2,7 @@
 
 import datetime as dt
 import os
+import random
 import subprocess
 import sys
 from pathlib import Path
@@ -137,6 +138,19 @@ def test_language_of_unknown_and_short_texts(spark):
     assert "Generate" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_language_knows_every_run(spark):
+    """More distinct runs than 2 ** 18, each seen once; a text of unknown runs has no language."""
+    draw = random.Random(4)
+    rare = "".join(chr(draw.randrange(0x4E00, 0x9FFF)) for _ in range(100_000))
+    common = ["".join(chr(draw.randrange(0xAC00, 0xD7A3)) for _ in range(100_000)) for _ in range(2)]
+    model = fit_language(spark.createDataFrame([(rare, "z"), *((t, "a") for t in common)], "text string, lang string"))
+    texts = spark.createDataFrame([(rare[i : i + 3],) for i in range(0, 99_000, 500)], "text string")
+    assert {r.lang_guess for r in detect_language(texts, model).collect()} == {"z"}
+    assert detect_language(spark.createDataFrame([("xyzxyz",)], "text string"), model).first().lang_guess is None
+    with pytest.raises(ValueError, match="more than 3 runs"):
+        fit_language(spark.createDataFrame([("abcdef", "a"), ("ghi", "b")], "text string, lang string"), max_runs=3)
+
+
 def test_branch_list_files(spark, tmp_path):
     path = tmp_path / "list.json"
     path.write_text('[{"name":"A","url":"u1"},{"url":"u2"},{"name":"","url":"u3"},"u4",{"name":"B"},{"url":""},7,null]')
