@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import imatch, langid, license_scan, line_dedup, mixing, pieces, quality, simhash, tokens, warc
-from reviewloom.llm.common import documents
+from reviewloom.llm import imatch, langid, license_scan, line_dedup, mixing, pieces, quality, simhash, substrings, tokens, warc
+from reviewloom.llm.common import WORD, documents
 from reviewloom.llm.registry import query
 
 LOWER = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -147,6 +147,24 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS key
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS p FROM texts)),
+ranked AS (SELECT doc_id, p, row_number() OVER (PARTITION BY key ORDER BY doc_id, p) AS r FROM windows),
+covered AS (SELECT DISTINCT doc_id, unnest(range(p, p + 20)) AS i FROM ranked WHERE r > 1),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM texts),
+kept AS (SELECT words.doc_id, count(covered.i) AS n_removed,
+    sha256(coalesce(string_agg(word, ' ' ORDER BY words.i) FILTER (covered.i IS NULL), '')) AS kept_sha256
+    FROM words LEFT JOIN covered USING (doc_id, i) GROUP BY words.doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed, coalesce(kept_sha256, sha256('')) AS kept_sha256
+FROM texts LEFT JOIN kept USING (doc_id)""")
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of passages that occur earlier."""
+    found = substrings.drop_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` one after another."""

@@ -10,6 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[2] / "tools"))
 import __spark_entry__ as entry  # noqa: E402
 import check_oracle  # noqa: E402
 import corpus_pipeline  # noqa: E402
+from reviewloom.llm import substrings  # noqa: E402
 from reviewloom.llm.registry import ORACLES, QUERIES  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
@@ -17,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
+    assert {f"op{n}" for n in (*range(1, 11), 12)} == {q.split("_")[0] for q in QUERIES if q != "pipeline"}
 
 
 @pytest.mark.parametrize("name", ORACLES)
@@ -49,3 +50,12 @@ def test_pipeline(spark):
     assert after.groupBy("doc_id").count().agg({"count": "max"}).first()[0] == 2
     assert docs.count() == after.count() and docs.filter("not round_trip").count() == 0
     assert corpus_pipeline.run(spark, SF).count() == docs.count()
+
+
+def test_substrings_over_many_shards_and_groups(spark, monkeypatch):
+    """Small limits: several shards, split prefix groups and anchor buckets give the same rows."""
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 20_000)
+    monkeypatch.setattr(substrings, "GROUP_SUFFIXES", 64)
+    monkeypatch.setattr(substrings, "ANCHOR_WORDS", 4_000)
+    good, note, _, _ = check_oracle.compare(spark, check_oracle.connect(SF), SF, "op12_substring_dedup", QUERIES, ORACLES)
+    assert good, note
