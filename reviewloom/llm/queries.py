@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.llm import imatch, langid, license_scan, line_dedup, mixing, pieces, quality, simhash, substrings, tokens, warc
+from reviewloom.llm import conversation_trie, filter_audit, imatch, langid, license_scan, line_dedup, mixing, pieces, quality, simhash, substrings, tokens, warc
 from reviewloom.llm.common import WORD, documents
 from reviewloom.llm.registry import query
 
@@ -147,6 +147,35 @@ def op10_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(f"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
+told AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+tests AS (SELECT t.doc_id, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text),
+     regexp_matches(text, '[#$%&*|]'), coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS fails
+    FROM texts t LEFT JOIN told USING (doc_id)),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest([1, 2, 3, 4, 5])::INTEGER AS step FROM orders),
+cells AS (SELECT part, fails, good, toxic, count(*) AS n FROM tests GROUP BY ALL),
+judged AS (SELECT part, good, toxic, n, filter_order, step, filter_order[step] AS letter, fails[ascii(filter_order[step]) - 64] AS bad,
+    list_bool_or([false] || list_transform(string_split(filter_order[1:step - 1], ''), lambda x: x <> '' AND fails[greatest(ascii(x) - 64, 1)])) AS gone,
+    len(list_filter(fails, lambda f: f)) AS n_fails FROM cells, steps),
+counted AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT bad THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN bad AND NOT gone THEN n ELSE 0 END)::BIGINT AS removed, sum(CASE WHEN bad AND gone THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN bad AND n_fails = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN bad AND NOT gone AND good = 1 THEN n ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN bad AND NOT gone AND toxic = 1 THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM judged GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM counted""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes at every step of all 120 orders, by language."""
+    failed = filter_audit.failed_filters(documents(spark, sf_dir))
+    return filter_audit.audit(failed, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 @query(f"""
 WITH texts AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS w FROM documents),
 windows AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 19], ' ')) AS key
@@ -165,6 +194,39 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def _trie_sql() -> str:
+    # CRC-32 of the decimal id, bit by bit; the first element is what the fold begins with
+    step = "list_reduce([xor(s, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))"
+    digits = "list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)"
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, {digits}), lambda s, b: {step}), 4294967295)"
+    return f"""
+WITH turns AS (SELECT conv_id, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS said,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT conv_id, list(said ORDER BY pos) AS said, ({crc} % 9)::BIGINT AS h FROM turns GROUP BY conv_id),
+built AS (SELECT c.conv_id, list_concat(coalesce(b.said[1:c.h], []), c.said[c.h + 1:]) AS said
+    FROM convs c LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+paths AS (SELECT conv_id, said, len(said) AS n, unnest(range(0, len(said) + 1)) AS depth FROM built),
+keyed AS (SELECT conv_id, n, depth, sha256(to_json(said[1:depth])::VARCHAR) AS key,
+    CASE WHEN depth > 0 THEN sha256(to_json(said[1:depth - 1])::VARCHAR) END AS up, strlen(said[depth].t) AS size FROM paths),
+nodes AS (SELECT depth, key, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(any_value(size), 0) AS size,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM keyed GROUP BY depth, key),
+kids AS (SELECT up AS key, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+whole AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (key, depth)),
+-- a node and all below it: those on the path of its smallest members
+chains AS (SELECT DISTINCT a.key, a.depth, b.key AS below, b.depth AS below_depth FROM keyed a JOIN keyed b ON a.conv_id = b.conv_id AND b.depth >= a.depth),
+sums AS (SELECT c.key, c.depth, sum((w.n_convs - 1) * w.size)::BIGINT AS saved_tokens, count(*) FILTER (w.n_children = 0) AS n_leaves
+    FROM chains c JOIN whole w ON w.key = c.below AND w.depth = c.below_depth GROUP BY ALL)
+SELECT w.conv_id, w.depth, p.conv_id AS parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+FROM whole w JOIN sums s USING (key, depth) LEFT JOIN nodes p ON p.key = w.up AND p.depth = w.depth - 1"""
+
+
+@query(_trie_sql())
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the prefix trie of the rebuilt conversations."""
+    convs, turns = conversation_trie.rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return conversation_trie.conversation_trie(convs, turns)
+
+
 @query()
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of ``corpus_pipeline`` one after another."""
