@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewloom.session import ship_package
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -16,7 +19,11 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name, with the SQL that must give the same rows."""
 
     def add(fn: Query) -> Query:
-        QUERIES[fn.__name__] = fn
+        @wraps(fn)
+        def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(ship_package(spark), sf_dir)
+
+        QUERIES[fn.__name__] = shipped
         if sql is not None:
             ORACLES[fn.__name__] = sql
         return fn
