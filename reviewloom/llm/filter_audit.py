@@ -59,13 +59,18 @@ class _Shard:
         )
 
     def csr(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Row borders, word numbers in ascending order within a row, and counts."""
+        """Row borders, steps between the ascending word numbers of a row, and counts, in narrow types."""
         lengths = [len(w) for w in self.words]
         cells = np.sort((np.repeat(np.arange(len(lengths)), lengths) << 32) + np.concatenate(self.words))
         first = np.flatnonzero(np.append(True, cells[1:] != cells[:-1])) if len(cells) else np.zeros(0, np.int64)
         counts = np.diff(np.append(first, len(cells)))
         borders = np.searchsorted(cells[first] >> 32, np.arange(len(lengths) + 1))
-        return borders.astype(np.int32), (cells[first] & 0xFFFFFFFF).astype(np.int32), counts.astype(np.int32)
+        words = cells[first] & 0xFFFFFFFF
+        steps = np.diff(words, prepend=0)
+        starts = borders[:-1][np.diff(borders) > 0]
+        steps[starts] = words[starts]
+        # most steps are 1, to the word that is new in the shard, so that they compress well
+        return borders.astype(np.int32), steps.astype(np.uint32), counts.astype(np.min_scalar_type(counts.max(initial=0)))
 
 
 def local_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "lang") -> DataFrame:
@@ -160,8 +165,11 @@ def _global(row: dict, known: pa.Table, n_buckets: int) -> tuple[np.ndarray, np.
     ids = np.empty(len(order), np.int64)
     for bucket, data in zip(known.column("bucket").to_pylist(), known.column("ids").to_pylist()):
         ids[order[edges[bucket] : edges[bucket + 1]]] = np.frombuffer(data, np.int64)
-    borders, words, counts = (np.frombuffer(row[c], np.int32) for c in ("borders", "words", "counts"))
-    return borders, ids[words], counts
+    borders, steps = np.frombuffer(row["borders"], np.int32), np.frombuffer(row["words"], np.uint32).astype(np.int64)
+    width = len(row["counts"]) // max(1, len(steps))
+    sums = np.cumsum(steps)
+    rows = np.repeat(np.append(0, sums)[borders[:-1]], np.diff(borders))
+    return borders, ids[sums - rows], np.frombuffer(row["counts"], f"u{max(1, width)}").astype(np.int32)
 
 
 def _sums(values: np.ndarray, borders: np.ndarray) -> np.ndarray:
