@@ -35,14 +35,15 @@ def dedupe_lines(
 
     Returns ``id_col``, ``n_lines``, ``n_dropped``, ``kept_text`` and the
     ``carry`` columns, one row per input row.  Only hashes are exploded and
-    counted, once per document, so a line that is in every document is summed
-    up before the shuffle; the text itself is shuffled once, to meet its dropped
-    positions.
+    counted, once per row, so a line that is in every document is summed up
+    before the shuffle; whether those rows are different documents is counted
+    for lines of enough rows only.  The text itself is shuffled once, to meet
+    its dropped positions.
 
-    A null or empty text is one empty line.  Rows that repeat count as
-    documents of their own and get the same result.  An empty table gives an
-    empty result.  Null ids are kept.  Other columns are not read, whatever
-    their names.
+    A null or empty text is one empty line.  Rows that share an id are one
+    document for the count, rows without an id one each; all of them get their
+    result.  An empty table gives an empty result.  Other columns are not read,
+    whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     hashes = docs.select(
@@ -57,14 +58,27 @@ def dedupe_lines(
         .select("a", "b"),
         "frequent-lines",
     )
-    dropped = (
+    found = landed(
         hashes.select("id", "of", F.posexplode("lines").alias("pos", "line"))
         .filter(F.col("line").isNotNull())
         .select("id", "of", "pos", "line.a", "line.b")
-        .join(frequent, ["a", "b"], "left_semi")
-        .groupBy("id", "of")
-        .agg(F.collect_set("pos").alias("dropped"))
+        .join(frequent, ["a", "b"], "left_semi"),
+        "line-places",
     )
+    named = found.filter(F.col("id").isNotNull()).groupBy("a", "b", "id").agg(F.lit(1).alias("n"))
+    nameless = (
+        hashes.filter(F.col("id").isNull())
+        .select(F.explode(F.array_distinct("lines")).alias("line"))
+        .filter(F.col("line").isNotNull())
+        .groupBy("line.a", "line.b")
+        .agg(F.count("*").alias("n"))
+    )
+    shared = landed(
+        named.select("a", "b", "n").unionByName(nameless).groupBy("a", "b").agg(F.sum("n").alias("n"))
+        .filter(F.col("n") >= min_docs).select("a", "b"),
+        "shared-lines",
+    )
+    dropped = found.join(shared, ["a", "b"], "left_semi").groupBy("id", "of").agg(F.collect_set("pos").alias("dropped"))
     rows = docs.select(
         F.col(id_col).alias("id"),
         text.alias("text"),
