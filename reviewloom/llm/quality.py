@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -10,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import sliced
+from reviewloom.llm.common import SLICE_ROWS
 
 # Characters counted as symbols.
 SYMBOLS = b"#*$%&|<>"
@@ -23,16 +22,17 @@ INVERSE = pow(BASE, -1, 1 << 64)
 class Rules:
     """Thresholds; shares are of the characters in words.  All may be changed by a caller.
 
-    A short text that repeats one line at its head and foot stays well below them.
+    The shares are the published ones.  Only later occurrences count, the first one is no repetition, and words of a
+    repeated line count for the share of lines alone: a short text with the same line at its head and foot stays below.
     """
 
     min_words: int = 20
     window: int = 8
     max_repeat_percent: int = 30
     duplicate_share: dict[int, float] = field(
-        default_factory=lambda: {5: 0.30, 6: 0.29, 7: 0.28, 8: 0.27, 9: 0.26, 10: 0.25}
+        default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10}
     )
-    duplicate_line_share: float = 0.30
+    duplicate_line_share: float = 0.20
 
 
 def _powers(base: int, n: int, cache: dict[int, np.ndarray] = {}) -> np.ndarray:  # noqa: B006 - kept per worker
@@ -53,15 +53,16 @@ def rolling(values: np.ndarray, lengths: list[int]) -> dict[int, np.ndarray]:
         return {k: (prefix[k:] - prefix[:-k]) * shift[: n - k + 1] for k in lengths if k <= n}
 
 
-def repeated(hashes: np.ndarray) -> np.ndarray:
-    """Which runs occur at least twice, the first included."""
+def repeated(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which runs occur at least twice, and which of them have occurred before."""
     order = np.argsort(hashes, kind="stable")
     ordered = hashes[order]
     same = ordered[1:] == ordered[:-1]
-    twice = np.zeros(len(hashes), bool)
-    twice[order[1:]] = same
+    later = np.zeros(len(hashes), bool)
+    later[order[1:]] = same
+    twice = later.copy()
     twice[order[:-1]] |= same
-    return twice
+    return twice, later
 
 
 def covered(runs: np.ndarray, length: int, n_words: int) -> np.ndarray:
@@ -74,18 +75,18 @@ def covered(runs: np.ndarray, length: int, n_words: int) -> np.ndarray:
 
 
 def measure(text: str | None, rules: Rules) -> tuple:
-    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, then shares per length and of lines."""
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``, shares per length, of lines, and of later runs outside them."""
     data = (text or "").encode()
     words = data.split()
     n = len(words)
-    seen, n_dup_lines, dup_chars = set(), 0, 0
+    seen, again, n_dup_lines, dup_chars = set(), [], 0, 0
     for line in data.split(b"\n"):
         if (line and not line.isspace()) and line.split():
             if line in seen:
                 n_dup_lines += 1
                 dup_chars += sum(len(w.decode()) for w in line.split())
-            else:
-                seen.add(line)
+            again.append((line, line in seen))
+            seen.add(line)
     n_symbols = sum(map(data.count, [bytes([c]) for c in SYMBOLS]))
     if data.isascii():
         chars = np.fromiter(map(len, words), np.int64, n)
@@ -101,18 +102,23 @@ def measure(text: str | None, rules: Rules) -> tuple:
         values ^= values >> np.uint64(29)
         values *= np.uint64(0xA0761D6478BD642F)
         values ^= values >> np.uint64(32)
-    shares, n_repeat = dict.fromkeys(rules.duplicate_share, 0.0), 0
+    elsewhere = np.ones(n, bool)
+    if n_dup_lines:
+        elsewhere = np.repeat([not twice for _, twice in again], [len(line.split()) for line, _ in again])
+    shares, extra, n_repeat = dict.fromkeys(rules.duplicate_share, 0.0), dict.fromkeys(rules.duplicate_share, 0.0), 0
     for k, hashes in sorted(rolling(values, lengths).items()):
-        runs = repeated(hashes)
-        if not runs.any():
+        twice, later = repeated(hashes)
+        if not later.any():
             # no longer run can occur twice either
             break
-        inside = covered(runs, k, n)
+        inside = covered(twice, k, n)
         if k == rules.window:
             n_repeat = int(inside.sum())
         if k in shares:
             shares[k] = float(chars[inside].sum() / total)
-    return n, total, n_symbols, n_dup_lines, n_repeat, [shares[k] for k in sorted(shares)], dup_chars / total if total else 0.0
+            extra[k] = float(chars[covered(later, k, n) & elsewhere].sum() / total)
+    by_length = [[part[k] for k in sorted(part)] for part in (shares, extra)]
+    return n, total, n_symbols, n_dup_lines, n_repeat, by_length[0], dup_chars / total if total else 0.0, by_length[1]
 
 
 def apply_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_id", text_col: str = "text", carry: tuple = ()) -> DataFrame:
@@ -120,45 +126,47 @@ def apply_rules(docs: DataFrame, rules: Rules | None = None, id_col: str = "doc_
 
     Returns ``id_col``, ``n_words``, ``word_chars``, ``n_symbols``,
     ``n_dup_lines``, ``n_repeat_words``, ``dup_ngram_shares`` (by run length in
-    ascending order), ``dup_line_share``, ``base_failed``, ``kept`` and the
-    ``carry`` columns.  A text is kept when the base rule holds and neither the
-    characters inside runs of words that occur twice nor those in repeated lines
+    ascending order, all occurrences), ``dup_line_share``, ``later_ngram_shares``
+    (occurrences after the first, outside repeated lines), ``base_failed``,
+    ``kept`` and the ``carry`` columns.  A text is kept when the base rule holds
+    and neither the characters inside later runs nor those in repeated lines
     exceed their share.
 
     A null text is an empty one: no words, so the base rule fails.  Repeated rows
     give repeated results, an empty table an empty one.  Texts are measured one
-    at a time and whole.  Other columns are not read.
+    at a time and whole.  Only the text goes to the Python workers and only the
+    measures come back; other columns stay where they are.
     """
     rules = rules or Rules()
-    kind = docs.schema[id_col].dataType.simpleString()
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_ngram_shares", "dup_line_share"]
-    types = [*[pa.int64()] * 5, pa.list_(pa.float64()), pa.float64()]
-    carried = F.struct(*(F.col(c) for c in carry)) if carry else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), carried.alias("carry"))
-    carry_kind = rows.schema["carry"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [measure(t, rules) for (texts,) in sliced([batch], ["text"]) for t in texts]
-            columns = [pa.array([f[i] for f in found], kind) for i, kind in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("carry"), *columns], ["id", "carry", *names])
-
-    measured = rows.mapInArrow(
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "dup_ngram_shares", "dup_line_share", "later_ngram_shares"]
+    types = [*[pa.int64()] * 5, pa.list_(pa.float64()), pa.float64(), pa.list_(pa.float64())]
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [measure(t, rules) for at in range(0, len(texts), SLICE_ROWS) for t in texts.slice(at, SLICE_ROWS).to_pylist()]
+        return pa.StructArray.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate(types)], names)
+
+    # set for the return type and the argument, which annotations would hide behind strings
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    measured = F.arrow_udf(
         run,
-        f"id {kind}, carry {carry_kind}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, dup_ngram_shares array<double>, dup_line_share double",
+        "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+        "dup_ngram_shares array<double>, dup_line_share double, later_ngram_shares array<double>",
     )
-    limits = [rules.duplicate_share[k] for k in sorted(rules.duplicate_share)]
-    failed = (F.col("n_words") < rules.min_words) | (
-        100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        F.struct(F.lit(0).alias("_"), *(F.col(c) for c in carry)).alias("carry"),
+        measured(F.col(text_col).cast("string")).alias("measures"),
     )
+    limits = [rules.duplicate_share[k] for k in sorted(rules.duplicate_share)]
+    m = F.col("measures")
+    failed = (m["n_words"] < rules.min_words) | (100 * m["n_repeat_words"] > rules.max_repeat_percent * m["n_words"])
     within = F.forall(
-        F.zip_with("dup_ngram_shares", F.lit(limits), lambda share, limit: share <= limit), lambda good: good
+        F.zip_with(m["later_ngram_shares"], F.lit(limits), lambda share, limit: share <= limit), lambda good: good
     )
-    return measured.select(
+    return rows.select(
         F.col("id").alias(id_col),
-        *names,
+        *(m[n].alias(n) for n in names),
         failed.alias("base_failed"),
-        (~failed & within & (F.col("dup_line_share") <= rules.duplicate_line_share)).alias("kept"),
+        (~failed & within & (m["dup_line_share"] <= rules.duplicate_line_share)).alias("kept"),
         *(F.col(f"carry.{c}").alias(c) for c in carry),
     )

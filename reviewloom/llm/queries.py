@@ -38,7 +38,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.apply_rules(documents(spark, sf_dir))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "dup_ngram_shares", "dup_line_share",
+        "dup_ngram_shares", "dup_line_share", "later_ngram_shares",
     )
 
 
