@@ -19,13 +19,21 @@ LABELS = ("lang", "source")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep.
+
+    A null or empty text has no words and goes.  Rows that repeat are judged
+    alike and all stay or go; null ids and labels change nothing.
+    """
     judged = quality.apply_rules(docs, carry=("text", "lang", "source", "n_chars"))
     return judged.filter("kept").select(*COLUMNS)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that at least ten of them hold; the text may become empty."""
+    """Documents without the lines that at least ten of them hold.
+
+    Every row stays; a text that was null, or all of whose lines went, is empty.
+    Rows that share an id count as one document, those without an id each as one.
+    """
     kept = line_dedup.dedupe_lines(docs, carry=LABELS)
     return kept.select(
         "doc_id", F.col("kept_text").alias("text"), *LABELS, F.char_length("kept_text").cast("long").alias("n_chars")
@@ -33,26 +41,37 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest id; rows without an id stay."""
-    found = simhash.near_duplicates(docs)
-    chosen = found.filter(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    firsts = docs.join(chosen, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return firsts.unionByName(docs.filter(F.col("doc_id").isNull())).select(*COLUMNS)
+    """One document of each group of texts that share four fifths of their five-word shingles.
+
+    The smallest id stays; documents without an id are compared like all others
+    and stay only when no member has one.  All texts without a word are one
+    group.  Rows with one id and different texts are different documents.
+    """
+    return simhash.keep_one(docs.select(*COLUMNS), (*LABELS, "n_chars"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as bring the sources to their weights."""
+    """As many copies of each document as bring the sources to their weights.
+
+    Documents without a word weigh nothing and may go or stay; a null source is
+    a source of its own.  Rows that repeat are mixed one by one.
+    """
     mixed = mixing.mix_sources(docs, carry=("text", "lang", "source", "n_chars"))
     copies = F.explode(F.array_repeat(F.lit(True), F.col("copies").cast("int")))
     return mixed.filter(F.col("copies") > 0).withColumn("_copy", copies).select(*COLUMNS)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Identifiers of every document, and whether they decode to its text."""
-    encoded = pieces.encode(docs, carry=("text", "source"), with_decoded=True)
+    """Identifiers of every document, and whether they decode to its text.
+
+    A null or empty text has no identifiers and comes back empty.  Texts go to
+    the workers only; a digest of each stands beside what they decode to.
+    """
+    digests = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
+    encoded = pieces.encode(digests, carry=("_digest", "source"), with_decoded=True)
     return encoded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_pieces"), "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
+        (F.sha2("decoded", 256) == F.col("_digest")).alias("round_trip"),
     )
 
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import landed, shuffle_partitions, sliced
+from reviewloom.llm.common import SLICE_ROWS, landed, shuffle_partitions, sliced
+from reviewloom.llm.words import Runs, hashed_words, inverse, mixed, powers
 
 # Words in a shingle, hash seed, differing bits of a link.
 SHINGLE_WORDS = 4
@@ -288,3 +291,285 @@ def near_duplicates(
         "classes",
     )
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
+
+
+# --- similar texts: wide fingerprints, trees under random masks, exact check --------------------------------------------
+
+# Words of a shingle, likeness of shingle sets, bits of a fingerprint, and the share of pairs just that alike that a
+# search is to meet in some tree.
+SIMILAR_WORDS, SIMILARITY, WIDE_BITS, MET = 5, 0.8, 128, 0.97
+# Fingerprints of a shard that are compared row by row with their neighbours, and what a mask leaves in a shard on average.
+SMALL_SHARD, SHARD_MEAN = 64, 16
+_LANE = 0xA24BAED4963EE407
+
+
+def _shingles(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the texts' shingles in order and where each text's begin; a shorter text is one shingle, no words none."""
+    hashes, begins = hashed_words(pc.ascii_lower(texts))
+    sums = Runs(hashes)
+    sizes = np.diff(begins)
+    counts = np.where(sizes >= words, sizes - words + 1, np.minimum(sizes, 1))
+    borders = np.append(0, np.cumsum(counts))
+    at = np.repeat(begins[:-1] - borders[:-1], counts) + np.arange(borders[-1])
+    length = np.repeat(np.minimum(sizes, words), counts)
+    with np.errstate(over="ignore"):
+        return mixed((sums.sums[at + length] - sums.sums[at]) * powers(inverse(sums.base), max(1, len(hashes)))[at]), borders
+
+
+def _wide(texts: pa.Array, words: int) -> np.ndarray:
+    """Two 64-bit SimHashes of every text, from independent hashes of its shingles."""
+    shingles, borders = _shingles(texts, words)
+    out = np.zeros((2, len(texts)), np.uint64)
+    for lane in range(2):
+        values = mixed(shingles ^ np.uint64(_LANE)) if lane else shingles
+        for k, (a, b) in enumerate(zip(borders[:-1].tolist(), borders[1:].tolist())):
+            ones = np.zeros(64, np.int64)
+            for at in range(a, b, 65_536):
+                part = np.ascontiguousarray(values[at : min(b, at + 65_536)]).view(np.uint8).reshape(-1, 8)
+                ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            out[lane, k] = np.packbits(2 * ones > b - a, bitorder="little").view(np.uint64)[0]
+    return out
+
+
+def search_plan(n: int, similarity: float = SIMILARITY, met: float = MET) -> tuple[int, int, int]:
+    """Bits of a mask, number of trees and differing bits of a candidate, for ``n`` fingerprints.
+
+    Sets with Jaccard likeness s have the cosine 2 s / (1 + s) when they are
+    equally large, and each bit differs with the angle's share of a half turn.
+    Masks grow with the logarithm of ``n`` so that shards don't; the trees are as
+    many as it takes for two texts just that alike to be equal under one of the
+    masks; candidates may differ in two standard deviations more than the mean.
+    """
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = min(48, max(12, math.ceil(math.log2(max(2, n / SHARD_MEAN)))))
+    trees = math.ceil(math.log(1 - met) / math.log(1 - (1 - differ) ** bits))
+    return bits, trees, math.floor(WIDE_BITS * differ + 2 * math.sqrt(WIDE_BITS * differ * (1 - differ)))
+
+
+def random_masks(bits: int, count: int) -> list[int]:
+    """Fixed pseudo-random masks of so many bits; even trees watch the first half of a fingerprint, odd ones the second."""
+    draw = np.random.default_rng(SEED)
+    return [sum(1 << int(b) for b in draw.choice(64, bits, replace=False)) for _ in range(count)]
+
+
+def spanning(n: int, i: np.ndarray, j: np.ndarray, distance: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Indices of the pairs of a shortest spanning forest; ``label`` names the trees so far and is brought up to date.
+
+    In each round every tree takes its shortest pair to another one.
+    """
+    rank = np.empty(len(i), np.int64)
+    rank[np.lexsort((j, i, distance))] = np.arange(len(i))
+    left, chosen = np.arange(len(i)), []
+    while True:
+        left = left[label[i[left]] != label[j[left]]]
+        if not len(left):
+            return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
+        a, b = label[i[left]], label[j[left]]
+        tree, other, pair = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([left, left])
+        order = np.lexsort((rank[pair], tree))
+        first = order[np.append(True, tree[order][1:] != tree[order][:-1])]
+        chosen.append(np.unique(pair[first]))
+        parent = np.arange(n)
+        parent[tree[first]] = other[first]
+        both = parent[parent] == np.arange(n)
+        parent[both] = np.minimum(parent[both], np.arange(n)[both])
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
+        label[:] = parent[label]
+
+
+def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within ``max_bits`` that hold the groups of one shard together, by a vantage-point tree.
+
+    Inside and outside of the median distance to a vantage point are searched on
+    their own; across the border only what lies within ``max_bits`` of it meets.
+    """
+    label = np.arange(fps.shape[1])
+    found = []
+
+    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return sum(np.bitwise_count(lane[a][:, None] ^ lane[b][None, :]).astype(np.int16) for lane in fps)
+
+    def join(a: np.ndarray, b: np.ndarray) -> None:
+        for at in range(0, len(a), 128):
+            part = a[at : at + 128]
+            distance = apart(part, b)
+            i, j = np.nonzero((distance <= max_bits) & (label[part][:, None] != label[b][None, :]))
+            pairs = spanning(len(label), part[i], b[j], distance[i, j], label)
+            found.append(np.stack([part[i[pairs]], b[j[pairs]]]))
+
+    stack = [label.copy()]
+    while stack:
+        here = stack.pop()
+        distance = apart(here[:1], here)[0] if len(here) > LEAF_ROWS else np.zeros(0)
+        radius = np.median(distance) if len(distance) else 0
+        inner = distance <= radius
+        if not len(distance) or inner.all():
+            join(here, here)
+            continue
+        stack += [here[inner], here[~inner]]
+        join(here[inner & (distance > radius - max_bits)], here[~inner & (distance <= radius + max_bits)])
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+    return pairs[0], pairs[1]
+
+
+def _near_pairs(rows: np.ndarray, max_bits: int) -> list[np.ndarray]:
+    """Pairs of fingerprints that hold the groups of whole shards together; ``rows`` is tree, shard, part and two lanes."""
+    n = rows.shape[1]
+    starts = np.flatnonzero(np.append(True, (np.diff(rows[:3], axis=1) != 0).any(axis=0))) if n else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, n))
+    fps = rows[3:].view(np.uint64)
+    pairs = []
+    small = np.repeat(sizes <= SMALL_SHARD, sizes)
+    ends = np.repeat(starts + sizes, sizes)
+    i, j, distance = [], [], []
+    for step in range(1, min(SMALL_SHARD, int(sizes.max(initial=1)))):
+        at = np.flatnonzero(small[: n - step] & (np.arange(n - step) + step < ends[: n - step]))
+        if not len(at):
+            break
+        apart = sum(np.bitwise_count(lane[at] ^ lane[at + step]).astype(np.int16) for lane in fps)
+        near = apart <= max_bits
+        i.append(at[near]), j.append(at[near] + step), distance.append(apart[near])
+    if i:
+        i, j, distance = map(np.concatenate, (i, j, distance))
+        kept = spanning(n, i, j, distance, np.arange(n))
+        pairs.append(np.concatenate([rows[3:, i[kept]], rows[3:, j[kept]]]))
+    for a, size in zip(starts.tolist(), sizes.tolist()):
+        if size > SMALL_SHARD:
+            part = rows[3:, a : a + size]
+            i, j = _forest(part.view(np.uint64), max_bits)
+            pairs.append(np.concatenate([part[:, i], part[:, j]]))
+    return pairs
+
+
+def _candidates(distinct: DataFrame, similarity: float) -> DataFrame:
+    """``(a1, a2, b1, b2)``: pairs of fingerprints to be checked, a forest per shard of every tree."""
+    bits, trees, max_bits = search_plan(distinct.count(), similarity)
+    masks = random_masks(bits, trees)
+
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 20_000):
+                part = batch.slice(at, 20_000)
+                lanes = [part.column(c).to_numpy(zero_copy_only=False) for c in ("f1", "f2")]
+                for tree, mask in enumerate(masks):
+                    columns = [np.full(part.num_rows, tree, np.int32), shard_of(lanes[tree % 2].view(np.uint64), mask), *lanes]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tree", "shard", "f1", "f2"])
+
+    sharded = landed(distinct.select("f1", "f2").mapInArrow(shards, "tree int, shard long, f1 long, f2 long"), "wide-shards")
+    large = (
+        sharded.groupBy("tree", "shard").count().filter(F.col("count") > SHARD_ROWS)
+        .select("tree", "shard", F.ceil(2 * F.col("count") / SHARD_ROWS).cast("int").alias("parts"))
+    )
+    mine = F.pmod(F.xxhash64("f1", "f2"), F.col("parts")).cast("int")
+    each = F.transform(
+        F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other)
+    )
+    dealt = sharded.join(large, ["tree", "shard"], "left").select(
+        "tree", "shard", "f1", "f2", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(each)).alias("part")
+    )
+    key = ["tree", "shard", "part"]
+    together = dealt.repartition(shuffle_partitions(distinct), *key).sortWithinPartitions(*key)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = np.empty((5, 0), np.int64)
+        tables = (np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key, "f1", "f2")]) for b in batches)
+        for batch in chain(tables, [None]):
+            rows = kept if batch is None else np.concatenate([kept, batch], axis=1)
+            changes = np.flatnonzero((np.diff(rows[:3], axis=1) != 0).any(axis=0)) + 1
+            whole = rows.shape[1] if batch is None else int(changes[-1]) if len(changes) else 0
+            pairs = _near_pairs(np.ascontiguousarray(rows[:, :whole]), max_bits)
+            kept = rows[:, whole:]
+            if pairs:
+                found = np.concatenate(pairs, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["a1", "a2", "b1", "b2"])
+
+    return together.select(*key, "f1", "f2").mapInArrow(search, "a1 long, a2 long, b1 long, b2 long").distinct()
+
+
+def similar_documents(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    words: int = SIMILAR_WORDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``(id, hash, group)`` of every document: its id, a 64-bit hash of its text, and its group of similar texts.
+
+    Two texts are linked when their sets of ``words``-word shingles, A-Z lower
+    case, have a Jaccard likeness of ``similarity`` or more, which is checked on
+    the whole texts; groups are what links connect.  Candidates come from
+    128-bit fingerprints that meet in some tree and differ in few bits.  Each
+    shard sends a shortest spanning forest instead of all its pairs, so a group
+    of n copies costs n pairs in each tree.  A pair just that alike is met with
+    probability ``MET`` and has few enough differing bits in all but a few of a
+    hundred cases; more alike ones are missed more rarely.
+
+    Texts of fewer words are one shingle.  Null and empty texts and those of
+    white space alone have no shingle and are one group.  Equal texts are in one
+    group whatever their ids; repeated rows give repeated results, an empty
+    table an empty one.  Other columns are not read.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col).cast("string")
+
+    def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                lanes = _wide(part.column("text"), words).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("hash"), *map(pa.array, lanes)], ["id", "hash", "f1", "f2"])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("hash"), text.alias("text"))
+    prints = landed(rows.mapInArrow(fingerprint, f"id {kind}, hash long, f1 long, f2 long"), "wide-prints")
+    distinct = landed(prints.select("f1", "f2").distinct(), "wide-distinct")
+    pairs = landed(_candidates(distinct, similarity), "pairs")
+    # one row stands for each fingerprint that takes part in a pair
+    ends = pairs.select(F.col("a1").alias("f1"), F.col("a2").alias("f2")).union(pairs.select("b1", "b2")).distinct()
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    shown = landed(
+        prints.join(landed(ends, "ends"), ["f1", "f2"], "left_semi").groupBy("f1", "f2").agg(first).select("f1", "f2", "first.id", "first.hash"),
+        "shown",
+    )
+    met = rows.withColumnRenamed("id", "_id").join(shown, F.col("_id").eqNullSafe(F.col("id")) & (rows["hash"] == shown["hash"]))
+    texts = landed(met.select("f1", "f2", "text").dropDuplicates(["f1", "f2"]), "texts")
+
+    def likeness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                (left, a), (right, b) = (_shingles(part.column(c), words) for c in ("left", "right"))
+                good = []
+                for k in range(part.num_rows):
+                    one, two = np.unique(left[a[k] : a[k + 1]]), np.unique(right[b[k] : b[k + 1]])
+                    common = len(np.intersect1d(one, two, assume_unique=True))
+                    good.append(common >= similarity * (len(one) + len(two) - common) - 1e-9)
+                yield pa.RecordBatch.from_arrays([part.column("fp"), part.column("to")], ["fp", "to"]).filter(pa.array(good, pa.bool_()))
+
+    def node(a: str, b: str):
+        return F.concat_ws("-", F.hex(a), F.hex(b))
+
+    sides = [texts.select(*(F.col(c).alias(f"{side}{n}") for n, c in ((1, "f1"), (2, "f2"))), F.col("text").alias(name)) for side, name in (("a", "left"), ("b", "right"))]
+    both = pairs.join(sides[0], ["a1", "a2"]).join(sides[1], ["b1", "b2"])
+    links = both.select(node("a1", "a2").alias("fp"), node("b1", "b2").alias("to"), "left", "right").mapInArrow(likeness, "fp string, to string")
+    grouped = connected(landed(links, "similar-links"))
+    own = node("f1", "f2")
+    return prints.withColumn("node", own).join(grouped, "node", "left").select(
+        "id", "hash", F.coalesce("label", "node").alias("group")
+    )
+
+
+def keep_one(docs: DataFrame, order: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """One row of each group of :func:`similar_documents`, with all its columns.
+
+    The one with the smallest id stays (a null id comes last), of equal ids that
+    with the smallest text hash; rows that agree in both are told apart by the
+    ``order`` columns.  Nothing is left to chance.
+    """
+    found = similar_documents(docs, id_col=id_col, text_col=text_col, **settings)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "hash")).alias("first")
+    chosen = landed(found.groupBy("group").agg(first).select(F.col("first.id").alias("_id"), F.col("first.hash").alias("_hash")), "chosen")
+    hashed = docs.withColumn("_text_hash", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    kept = hashed.join(chosen, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_text_hash") == F.col("_hash")), "left_semi")
+    same = Window.partitionBy(id_col, "_text_hash").orderBy(*(F.col(c).asc_nulls_last() for c in (*order, text_col)))
+    return kept.withColumn("_place", F.row_number().over(same)).filter("_place = 1").select(*docs.columns)

@@ -12,7 +12,7 @@ import xxhash
 from tokenizers import Tokenizer
 
 import public_tokenizers
-from reviewloom.llm import imatch, langid, license_scan, line_dedup, mixing, pieces, quality, simhash, tokens, warc
+from reviewloom.llm import filter_audit, imatch, langid, license_scan, line_dedup, mixing, pieces, quality, simhash, tokens, warc
 from reviewloom.llm.registry import QUERIES
 from reviewloom.llm import queries  # noqa: F401
 
@@ -241,6 +241,24 @@ def test_quality_counts(spark, docs):
             chars.append(sum(len(words[j]) for j in hit) / max(1, expected[1]))
         assert row.dup_ngram_shares == pytest.approx(chars)
         assert not (row.kept and row.base_failed)
+        # the verdict, from words that stand in an earlier run or line
+        at, seen, again, again_chars = 0, set(), set(), 0
+        for line in lines:
+            size = len(WORD.findall(line))
+            if line in seen:
+                again |= set(range(at, at + size))
+                again_chars += sum(len(w) for w in WORD.findall(line))
+            seen.add(line)
+            at += size
+        good = again_chars <= 0.20 * max(1, expected[1])
+        for k, limit in zip(range(5, 11), (0.15, 0.14, 0.13, 0.12, 0.11, 0.10)):
+            runs, hit = set(), set()
+            for i in range(len(words) - k + 1):
+                if tuple(words[i : i + k]) in runs:
+                    hit |= set(range(i, i + k))
+                runs.add(tuple(words[i : i + k]))
+            good &= sum(len(words[j]) for j in hit - again) <= limit * max(1, expected[1])
+        assert row.kept == (good and not row.base_failed)
 
 
 def test_quality_verdict():
@@ -250,6 +268,17 @@ def test_quality_verdict():
     assert quality.measure(" ".join(map(str, range(500))), rules)[5] == [0.0] * 6
 
 
+def test_quality_rejects_one_phrase_in_a_long_text(spark):
+    """25 times one phrase among 650 other words passes the base rule and not the method's own."""
+    phrase = "buy now cheap best offer only today"
+    text = " ".join(" ".join(f"w{26 * k + i}" for i in range(26)) + " " + phrase for k in range(25))
+    head = "the same nine words stand at head and foot"
+    short = f"{head}\n" + " ".join(f"v{i}" for i in range(70)) + f"\n{head}"
+    rows = spark.createDataFrame([(1, text), (2, short)], "doc_id long, text string")
+    found = {r.doc_id: (r.base_failed, r.kept) for r in quality.apply_rules(rows).collect()}
+    assert found == {1: (False, False), 2: (False, True)}
+
+
 # language
 
 
@@ -374,3 +403,29 @@ def test_derivatives_refer_to_their_responses(spark, tmp_path):
         assert {tuple(r[c] for c in columns) for r in back.filter("not damaged").collect()} == set(wanted)
         again = warc.derivatives(back.filter("not damaged").drop("damaged"))
         assert {r.block for r in again.collect()} == {r.block for r in made.values()}
+
+
+# document-term matrix
+
+
+def test_matrix_counts_words_under_global_numbers(spark, docs, monkeypatch):
+    """Small shards and buckets: every cell is right and one word has one number in all shards."""
+    monkeypatch.setattr(filter_audit, "BUCKET_WORDS", 500)
+    rows = spark.read.parquet(f"{SF}/documents.parquet").repartition(5, "doc_id")
+    shards = filter_audit.local_shards(rows)
+    numbers = {}
+    for shard in filter_audit.matrix(shards).collect():
+        for k, doc_id in enumerate(shard.doc_ids):
+            a, b = shard.borders[k], shard.borders[k + 1]
+            words = WORD.findall(docs.text[doc_id] or "")
+            # cells stand in the order in which the shard has met their words
+            cells = dict(zip(shard.words[a:b], shard.counts[a:b]))
+            assert len(cells) == b - a and sorted(cells.values()) == sorted(Counter(words).values())
+            numbers[doc_id] = (Counter(words), cells)
+    known = {}
+    for counts, cells in sorted(numbers.values(), key=lambda x: len(x[0])):
+        for word, n in counts.items():
+            if n > 1 and list(counts.values()).count(n) == 1:
+                (number,) = [k for k, v in cells.items() if v == n]
+                assert known.setdefault(word, number) == number
+    assert len(known) > 20

@@ -5,7 +5,9 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from reviewloom.llm import imatch, langid, license_scan, line_dedup, mixing, pieces, quality, simhash, tokens, warc
+from reviewloom.llm import (
+    conversation_trie, filter_audit, imatch, langid, license_scan, line_dedup, mixing, pieces, quality, simhash, substrings, tokens, warc,
+)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 # names that the operators use inside
@@ -100,6 +102,79 @@ def test_line_dedup(docs, none):
     assert line_dedup.dedupe_lines(none).count() == 0
 
 
+def test_line_dedup_counts_documents(spark):
+    """Ten rows with one id are one document; rows without an id are one each."""
+    def kept(ids):
+        rows = spark.createDataFrame([(i, f"shared line\nown {n}") for n, i in enumerate(ids)], "doc_id long, text string")
+        return {r.kept_text.split("\n")[0] for r in line_dedup.dedupe_lines(rows).collect()}
+
+    assert kept([1] * 10) == {"shared line"} and kept([*range(9), 8]) == {"shared line"}
+    assert "shared line" not in kept(range(10)) | kept([None] * 10) | kept([*range(6), *[None] * 4])
+
+
+def test_substrings(docs, none):
+    rows = substrings.drop_repeats(docs, min_words=4).collect()
+    assert len(rows) == len(ROWS)
+    found = sorted(((r.doc_id or 0, r.n_words, r.n_removed, r.kept_text) for r in rows if r.doc_id in (1, 4, 5, 7, 8)))
+    text = " ".join(ROWS[3][1].split())
+    # the first of two equal rows stays, the other and the copy under the next id go
+    assert sorted(found) == sorted([
+        (1, 0, 0, ""), (4, 15, 0, text), (4, 15, 15, ""), (5, 15, 15, ""), (7, 3, 0, "!!! 123 ???"),
+        (8, 9, 0, "The QUICK brown fox The quick BROWN fox end"),
+    ])
+    assert {(r.spans[0].start, r.spans[0].n_words) for r in rows if r.n_removed} >= {(0, 15)}
+    assert [r.n_words for r in rows if r.doc_id == 6] == [len(LONG.split())]
+    assert substrings.drop_repeats(none).count() == 0
+
+
+def test_filter_audit(spark, docs, none):
+    failed = {(r.id, r.part): r.failed for r in filter_audit.failed_filters(docs).collect()}
+    a, b, d, e = 1, 2, 8, 16
+    assert failed[1, ""] == a and failed[2, "en"] == a | e and failed[5, "fr"] == a | e and failed[4, "en"] == a
+    assert failed[6, "en"] == 0 and failed[8, "en"] & (a | e) == a and failed[None, "de"] in (a, a | d)
+    labels = spark.createDataFrame([(4, 1, 0), (4, 0, 1), (None, 1, 1), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    rows = filter_audit.audit(filter_audit.failed_filters(docs), labels).collect()
+    assert len(rows) == 600 * len({r[2] or "" for r in ROWS})
+    first = {(r.part, r.filter_order[0]): r for r in rows if r.step == 1}
+    assert (first["en", "A"].removed, first["en", "A"].good_lost, first["en", "A"].toxic_lost) == (5, 2, 2)
+    assert all(r.kept + r.removed + r.redundant <= sum((x[2] or "") == r.part for x in ROWS) for r in rows)
+    assert filter_audit.audit(filter_audit.failed_filters(none), labels).count() == 0
+    assert filter_audit.matrix(filter_audit.local_shards(none)).count() == 0
+
+
+def test_conversation_trie(spark):
+    rows = [(0, None, "u", "a"), (0, 2, None, None), (1, 1, "u", "a"), (None, 1, "u", "lost"), (2, 7, "u", "a"), (2, 7, "u", "a")]
+    extra = ("?", "?")
+    table_of = spark.createDataFrame([r + extra for r in rows], "conv_id long, turn int, role string, text string, depth string, p1 string")
+    turns = conversation_trie.numbered_turns(table_of)
+    convs = turns.groupBy("conv_id").count().withColumnRenamed("count", "n_turns")
+    found = {(r.conv_id, r.depth): r for r in conversation_trie.conversation_trie(convs, turns).collect()}
+    # "u a" by all three, then nothing, or the same turn again
+    assert {k: (r.n_convs, r.n_children, r.n_leaves, r.saved_tokens) for k, r in found.items()} == {
+        (0, 0): (3, 1, 2, 2), (0, 1): (3, 2, 2, 2), (0, 2): (1, 0, 1, 0), (2, 2): (1, 0, 1, 0)
+    }
+    assert found[0, 1].ends_sha256 == hashlib.sha256(b"1").hexdigest() and found[0, 0].ends_sha256 == EMPTY
+    bare = spark.createDataFrame([(5, 0), (6, 0)], "conv_id long, n_turns long")
+    (root,) = conversation_trie.conversation_trie(bare, turns.limit(0)).collect()
+    assert (root.conv_id, root.n_convs, root.n_leaves, root.ends_sha256) == (5, 2, 1, hashlib.sha256(b"5,6").hexdigest())
+    assert conversation_trie.conversation_trie(bare.limit(0), turns.limit(0)).count() == 0
+    assert conversation_trie.rebuilt(table_of.limit(0))[1].count() == 0
+
+
+def test_similar_documents(spark, docs, none):
+    found = {}
+    for r in simhash.similar_documents(docs).collect():
+        found.setdefault(r.group, []).append(r.id)
+    assert sorted([sorted(ids, key=repr) for ids in found.values()], key=repr) == sorted(
+        [[1, 2, 3, None], [4, 4, 5], [None], [6], [7], [8]], key=repr
+    )
+    kept = table(simhash.keep_one(docs, ("lang", "source")), ID, "text", "lang")
+    assert len(kept) == 6 and {k[0] for k in kept} == {1, 4, 6, 7, 8, None} and simhash.keep_one(none).count() == 0
+    # two texts under one id are two documents
+    twins = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (None, "a b c d e f")], "doc_id long, text string")
+    assert table(simhash.keep_one(twins), ID, "text") == [(1, "a b c d e f"), (1, "g h i j k l")]
+
+
 def test_fingerprints(docs, none):
     rows = imatch.fingerprint_with_edits(docs).collect()
     assert len(rows) == len(ROWS)
