@@ -300,6 +300,8 @@ def near_duplicates(
 SIMILAR_WORDS, SIMILARITY, WIDE_BITS, MET = 5, 0.8, 128, 0.97
 # Fingerprints of a shard that are compared row by row with their neighbours, and what a mask leaves in a shard on average.
 SMALL_SHARD, SHARD_MEAN = 64, 16
+# Pairs that a task looks at together, and large shards that may be sent to every task.
+BLOCK_PAIRS, BROADCAST_SHARDS = 1 << 16, 100_000
 _LANE = 0xA24BAED4963EE407
 
 
@@ -391,8 +393,10 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         return sum(np.bitwise_count(lane[a][:, None] ^ lane[b][None, :]).astype(np.int16) for lane in fps)
 
     def join(a: np.ndarray, b: np.ndarray) -> None:
-        for at in range(0, len(a), 128):
-            part = a[at : at + 128]
+        # so few rows at a time that a block in which all are alike stays small
+        step = max(1, BLOCK_PAIRS // max(1, len(b)))
+        for at in range(0, len(a), step):
+            part = a[at : at + step]
             distance = apart(part, b)
             i, j = np.nonzero((distance <= max_bits) & (label[part][:, None] != label[b][None, :]))
             pairs = spanning(len(label), part[i], b[j], distance[i, j], label)
@@ -414,11 +418,11 @@ def _forest(fps: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _near_pairs(rows: np.ndarray, max_bits: int) -> list[np.ndarray]:
-    """Pairs of fingerprints that hold the groups of whole shards together; ``rows`` is tree, shard, part and two lanes."""
+    """Pairs of fingerprints that hold the groups of whole shards together; ``rows`` is shard, part and two lanes."""
     n = rows.shape[1]
-    starts = np.flatnonzero(np.append(True, (np.diff(rows[:3], axis=1) != 0).any(axis=0))) if n else np.zeros(0, np.int64)
+    starts = np.flatnonzero(np.append(True, (np.diff(rows[:2], axis=1) != 0).any(axis=0))) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, n))
-    fps = rows[3:].view(np.uint64)
+    fps = rows[2:].view(np.uint64)
     pairs = []
     small = np.repeat(sizes <= SMALL_SHARD, sizes)
     ends = np.repeat(starts + sizes, sizes)
@@ -433,10 +437,10 @@ def _near_pairs(rows: np.ndarray, max_bits: int) -> list[np.ndarray]:
     if i:
         i, j, distance = map(np.concatenate, (i, j, distance))
         kept = spanning(n, i, j, distance, np.arange(n))
-        pairs.append(np.concatenate([rows[3:, i[kept]], rows[3:, j[kept]]]))
+        pairs.append(np.concatenate([rows[2:, i[kept]], rows[2:, j[kept]]]))
     for a, size in zip(starts.tolist(), sizes.tolist()):
         if size > SMALL_SHARD:
-            part = rows[3:, a : a + size]
+            part = np.ascontiguousarray(rows[2:, a : a + size])
             i, j = _forest(part.view(np.uint64), max_bits)
             pairs.append(np.concatenate([part[:, i], part[:, j]]))
     return pairs
@@ -453,30 +457,36 @@ def _candidates(distinct: DataFrame, similarity: float) -> DataFrame:
                 part = batch.slice(at, 20_000)
                 lanes = [part.column(c).to_numpy(zero_copy_only=False) for c in ("f1", "f2")]
                 for tree, mask in enumerate(masks):
-                    columns = [np.full(part.num_rows, tree, np.int32), shard_of(lanes[tree % 2].view(np.uint64), mask), *lanes]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["tree", "shard", "f1", "f2"])
-
-    sharded = landed(distinct.select("f1", "f2").mapInArrow(shards, "tree int, shard long, f1 long, f2 long"), "wide-shards")
-    large = (
-        sharded.groupBy("tree", "shard").count().filter(F.col("count") > SHARD_ROWS)
-        .select("tree", "shard", F.ceil(2 * F.col("count") / SHARD_ROWS).cast("int").alias("parts"))
-    )
-    mine = F.pmod(F.xxhash64("f1", "f2"), F.col("parts")).cast("int")
-    each = F.transform(
-        F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other)
+                    # one number for the tree and the path in it; paths of two trees that collide only share a shard
+                    path = shard_of(lanes[tree % 2].view(np.uint64), mask).view(np.uint64)
+                    shard = mixed(path ^ np.uint64(tree * _LANE & (1 << 64) - 1)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in (shard, *lanes)], ["shard", "f1", "f2"])
+
+    sharded = landed(distinct.select("f1", "f2").mapInArrow(shards, "shard long, f1 long, f2 long"), "wide-shards")
+    large = landed(
+        sharded.groupBy("shard").count().filter(F.col("count") > SHARD_ROWS)
+        .select("shard", F.ceil(2 * F.col("count") / SHARD_ROWS).cast("int").alias("parts")),
+        "large-shards",
     )
-    dealt = sharded.join(large, ["tree", "shard"], "left").select(
-        "tree", "shard", "f1", "f2", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(each)).alias("part")
-    )
-    key = ["tree", "shard", "part"]
+    n_large = large.count()
+    if n_large:
+        mine = F.pmod(F.xxhash64("f1", "f2"), F.col("parts")).cast("int")
+        each = F.transform(
+            F.sequence(F.lit(0), F.col("parts") - 1), lambda other: F.least(mine, other) * F.col("parts") + F.greatest(mine, other)
+        )
+        met = sharded.join(F.broadcast(large) if n_large <= BROADCAST_SHARDS else large, "shard", "left")
+        dealt = met.select("shard", "f1", "f2", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(each)).alias("part"))
+    else:
+        dealt = sharded.withColumn("part", F.lit(0))
+    key = ["shard", "part"]
     together = dealt.repartition(shuffle_partitions(distinct), *key).sortWithinPartitions(*key)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = np.empty((5, 0), np.int64)
+        kept = np.empty((4, 0), np.int64)
         tables = (np.stack([b.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (*key, "f1", "f2")]) for b in batches)
         for batch in chain(tables, [None]):
             rows = kept if batch is None else np.concatenate([kept, batch], axis=1)
-            changes = np.flatnonzero((np.diff(rows[:3], axis=1) != 0).any(axis=0)) + 1
+            changes = np.flatnonzero((np.diff(rows[:2], axis=1) != 0).any(axis=0)) + 1
             whole = rows.shape[1] if batch is None else int(changes[-1]) if len(changes) else 0
             pairs = _near_pairs(np.ascontiguousarray(rows[:, :whole]), max_bits)
             kept = rows[:, whole:]
