@@ -86,7 +86,7 @@ def assign_topics(reviews: DataFrame, settings: TopicSettings = TopicSettings(),
         .select("branch_id", "term")
     )
     chosen = _choose(scored.join(broadcast_if_small(kept), ["branch_id", "term"]))
-    numbered = _number(chosen.groupBy("branch_id", "anchor").agg(F.count("*").alias("size")))
+    numbered = number_topics(chosen.groupBy("branch_id", "anchor").agg(F.count("*").alias("size")))
     return (
         reviews.select(*keys)
         .join(chosen, keys, "left")
@@ -100,7 +100,7 @@ def _choose(scored: DataFrame) -> DataFrame:
     return scored.groupBy("branch_id", "review_id").agg(best["term"].alias("anchor"))
 
 
-def _number(sizes: DataFrame) -> DataFrame:
+def number_topics(sizes: DataFrame) -> DataFrame:
     """Topics of each branch numbered from 0, the largest first.
 
     All topics are numbered in one distributed sort; a branch's numbers follow

@@ -9,6 +9,7 @@ from reviewloom.functions.text import is_arabic
 from reviewloom.operators import reports
 from reviewloom.operators.analysis import analysis_requests, analysis_results, run_headers
 from reviewloom.operators.language import agreement, detect_language, fit_language, pending_translations, translate_from
+from reviewloom.operators.similarity import SimilaritySettings, review_vectors, similar_pairs, similarity_topics
 from reviewloom.operators.terms import first_texts, keyword_lists, topic_terms
 from reviewloom.operators.topics import TopicSettings, all_outliers, assign_topics, overview_head, topic_overview, topic_shares, topics_by_size
 from reviewloom.operators.upsert import assign_ids
@@ -16,9 +17,9 @@ from reviewloom.queries.registry import query
 from reviewloom.queries.views import REVIEWS, STOP_LIST, STOP_WORDS, reviews, table
 from reviewloom.session import cut
 
-SETTINGS = TopicSettings(min_topic_size=5, min_share=0.0, max_share=0.5, stop_words=STOP_WORDS)
+SETTINGS = TopicSettings(stop_words=STOP_WORDS)
 
-SETTINGS_SQL = "'{\"min_topic_size\":5,\"ngram_range\":[1,2],\"min_share\":0.0,\"max_share\":0.5,\"stop_words\":[" + ",".join(
+SETTINGS_SQL = "'{\"min_topic_size\":5,\"ngram_range\":[1,2],\"min_share\":0.0,\"max_share\":1.0,\"stop_words\":[" + ",".join(
     f'"{w}"' for w in STOP_WORDS
 ) + "]}'"
 
@@ -155,7 +156,7 @@ def topic_samples(spark, sf):
 ASSIGN_SQL = """tf AS (SELECT branch_id, review_id, term, count(*) AS tf FROM terms JOIN reviews USING (review_id) GROUP BY ALL),
 sizes AS (SELECT branch_id, count(*) AS n FROM reviews GROUP BY ALL),
 df AS (SELECT branch_id, term, count(*) AS df FROM tf GROUP BY ALL),
-candidates AS (SELECT branch_id, term, ln(n / df) AS idf FROM df JOIN sizes USING (branch_id) WHERE df >= 5 AND df <= n * 0.5),
+candidates AS (SELECT branch_id, term, ln(n / df) AS idf FROM df JOIN sizes USING (branch_id) WHERE df >= 5),
 scored AS (SELECT branch_id, review_id, term, tf * idf AS score FROM tf JOIN candidates USING (branch_id, term)),
 first_choice AS (SELECT branch_id, review_id, max(struct_pack(score := score, term := term)).term AS anchor FROM scored GROUP BY ALL),
 kept AS (SELECT branch_id, anchor AS term FROM first_choice GROUP BY ALL HAVING count(*) >= 5),
@@ -184,6 +185,42 @@ def topic_run_counts(spark, sf):
     return reports.topic_counts(_found_topics(spark, sf)[1])
 
 
+SIMILAR = SimilaritySettings(min_topic_size=3, similarity=0.3, neighbours=5, stop_words=STOP_WORDS)
+
+SIMILAR_SQL = f"""{REVIEWS}, firsts AS (SELECT branch_id, text, min(review_id) AS review_id FROM reviews WHERE branch_id IS NOT NULL AND text IS NOT NULL GROUP BY ALL),
+words AS (SELECT branch_id, review_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), lambda w: w NOT IN ({STOP_LIST}))) AS term FROM firsts),
+tf AS (SELECT branch_id, review_id, term, count(*) AS tf FROM words GROUP BY ALL),
+df AS (SELECT branch_id, term, count(*) AS df FROM tf GROUP BY ALL), sizes AS (SELECT branch_id, count(*) AS n FROM firsts GROUP BY ALL),
+raw AS (SELECT branch_id, review_id, term, (1 + ln(tf)) * ln(1 + n / df) AS w FROM tf JOIN df USING (branch_id, term) JOIN sizes USING (branch_id)),
+lengths AS (SELECT review_id, sqrt(sum(w * w)) AS length FROM raw GROUP BY ALL),
+unit AS (SELECT branch_id, review_id, term, w / length AS w FROM raw JOIN lengths USING (review_id)),
+pairs AS (SELECT a.branch_id, a.review_id AS a, b.review_id AS b, round(sum(a.w * b.w), 9) AS cosine FROM unit a JOIN unit b
+  ON a.branch_id = b.branch_id AND a.term = b.term AND a.review_id <> b.review_id GROUP BY ALL HAVING round(sum(a.w * b.w), 9) >= 0.3)"""
+GROUPS_SQL = f"""{SIMILAR_SQL}, near AS (SELECT *, row_number() OVER (PARTITION BY branch_id, a ORDER BY cosine DESC, b) AS place FROM pairs),
+edges AS (SELECT x.a, x.b FROM near x JOIN near y ON x.a = y.b AND x.b = y.a WHERE x.place <= 5 AND y.place <= 5),
+reach AS (SELECT DISTINCT review_id AS a, review_id AS b FROM unit UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a),
+labels AS (SELECT a AS review_id, min(b) AS anchor FROM reach GROUP BY a),
+members AS (SELECT r.branch_id, r.review_id, anchor FROM reviews r JOIN firsts f ON r.branch_id = f.branch_id AND r.text = f.text JOIN labels l ON l.review_id = f.review_id),
+numbered AS (SELECT branch_id, anchor, CAST(row_number() OVER (PARTITION BY branch_id ORDER BY count(*) DESC, anchor) - 1 AS INT) AS topic
+  FROM members GROUP BY branch_id, anchor HAVING count(*) >= 3)"""
+
+
+@query(f"WITH {SIMILAR_SQL} SELECT branch_id, a, b, cosine FROM pairs WHERE a < b")
+def similar_review_pairs(spark, sf):
+    """All pairs of different texts of a branch with a cosine of 0.3 or more."""
+    rows = reviews(spark, sf).filter("branch_id IS NOT NULL AND text IS NOT NULL").select("branch_id", "review_id", F.col("text").alias("normalized_text"))
+    firsts = rows.groupBy("branch_id", "normalized_text").agg(F.min("review_id").alias("review_id"))
+    return similar_pairs(review_vectors(firsts, SIMILAR), SIMILAR.similarity)
+
+
+@query(f"""WITH RECURSIVE {GROUPS_SQL} SELECT r.branch_id, r.review_id, coalesce(n.topic, -1) AS topic, n.anchor
+FROM reviews r LEFT JOIN members m USING (review_id) LEFT JOIN numbered n ON n.branch_id = m.branch_id AND n.anchor = m.anchor""")
+def similarity_topic_assignment(spark, sf):
+    """Every review with its topic of similar reviews."""
+    rows = reviews(spark, sf).select("branch_id", "review_id", F.col("text").alias("normalized_text"))
+    return similarity_topics(rows, SIMILAR)
+
+
 @query(f"WITH {REVIEWS} SELECT branch_id, review_id, -1 AS topic, CAST(NULL AS VARCHAR) AS anchor FROM reviews")
 def topics_switched_off(spark, sf):
     return all_outliers(reviews(spark, sf))
