@@ -8,6 +8,7 @@ that holds a third of all rows stays cheap.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -34,9 +35,15 @@ def union_first_seen(batches: Sequence[DataFrame], keys: Sequence[str], order: S
     return keep_first(combined, keys, order)
 
 
+def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """``left_semi`` or ``left_anti`` join in which a null is a key like any other."""
+    named = right.select(*(F.col(k).alias(f"_other_{k}") for k in keys))
+    return left.join(named, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_other_{k}")) for k in keys)), how)
+
+
 def not_seen(new: DataFrame, seen: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` whose key is absent from ``seen``."""
-    return new.join(seen.select(*keys), list(keys), "left_anti")
+    """Rows of ``new`` whose key is absent from ``seen``; a null key is seen like any other."""
+    return null_safe(new, seen, keys, "left_anti")
 
 
 def new_per_round(sightings: DataFrame, keys: Sequence[str], group: str, round_col: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.functions.text import or_default, text_key
 from reviewloom.functions.urls import place_id
-from reviewloom.operators.dedupe import keep_first
+from reviewloom.operators.dedupe import keep_first, null_safe
 from reviewloom.session import land
 
 
@@ -60,19 +60,17 @@ def _reversed(column: str | Column) -> Column:
 
 
 def absent_reviews(batch: DataFrame, stored: DataFrame, order: Sequence[str | Column]) -> DataFrame:
-    """Batch reviews whose (branch, text) is not stored yet, each once.
+    """Batch reviews whose (branch, text) is not stored yet, each once; a null is a value like any other.
 
-    Stored reviews are cut down to the keys of the batch before the anti-join,
-    so the large table is only scanned, by key columns.
+    Stored reviews are cut down to the branches of the batch before their texts
+    are hashed; a stored ``text_key`` column is used as it is.
     """
     keys = ["branch_id", "_text"]
     fresh = keep_first(batch.withColumn("_text", text_key(F.col("text"))), keys, order)
-    hits = (
-        stored.select("branch_id", text_key(F.col("text")).alias("_text"))
-        .join(fresh.select(*keys), keys, "left_semi")
-        .distinct()
-    )
-    return fresh.join(hits, keys, "left_anti").drop("_text")
+    key = F.col("text_key") if "text_key" in stored.columns else text_key(F.col("text"))
+    visited = null_safe(stored, batch.select("branch_id").distinct(), ["branch_id"], "left_semi")
+    hits = null_safe(visited.select("branch_id", key.alias("_text")), fresh, keys, "left_semi").distinct()
+    return null_safe(fresh, hits, keys, "left_anti").drop("_text")
 
 
 def new_reviews(found: DataFrame, stored: DataFrame, order: Sequence[str | Column]) -> DataFrame:

@@ -42,6 +42,10 @@ REVIEW_CSV = _table(
     branch_name="string", branch_url="string", review_id="string", author="string", rating="int", text="string",
     review_date="string", date_raw="string", scraped_at="string",
 )
+INSIGHTS_CSV = _table(
+    branch_id="long", topic_id="int", percentage="percent", top_keywords="string", gemini_aspect="string",
+    gemini_sentiment="string", gemini_summary="string", gemini_recommendation="string",
+)
 COLLECTION_STATUS = _table(
     name="string", url="string", skipped="boolean", reason="string", found="long", new="long", errors="long"
 )

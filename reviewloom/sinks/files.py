@@ -19,10 +19,24 @@ def read_reviews_csv(spark, path: str, schema) -> DataFrame:
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def export_insights_csv(insights: DataFrame, meta: DataFrame, path: str) -> None:
-    """Insights of all branches, one folder per branch."""
+# Rows of one CSV file of the insights export.
+FILE_ROWS = 500_000
+
+
+def export_insights_csv(insights: DataFrame, meta: DataFrame, path: str, branch_id: int | None = None) -> None:
+    """Insights of all branches in one job, or of one branch.
+
+    Rows are dealt by ranges of branches and sorted, so a branch's rows stand
+    together and no folder per branch is needed; a file holds ``FILE_ROWS`` rows
+    at most, however many a branch has.  The branch is a column of the file.
+    """
     rows = all_insights(insights, meta)
-    rows.write.mode("overwrite").partitionBy("branch_id").option("header", True).option("escape", '"').csv(path)
+    if branch_id is not None:
+        rows = rows.filter(F.col("branch_id") == branch_id)
+    order = ["branch_id", "topic_id", "gemini_summary"]
+    clustered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    quoted = clustered.write.mode("overwrite").option("header", True).option("escape", '"')
+    quoted.option("maxRecordsPerFile", FILE_ROWS).csv(path)
 
 
 def nested_json(nested: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reviewloom.operators.dedupe import keep_first
+from reviewloom.operators.dedupe import keep_first, not_seen
 from reviewloom.operators.upsert import new_reviews, upsert
 from reviewloom.sinks.store import ReviewStore
 
@@ -84,7 +84,7 @@ def land_first(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str],
     """
     once = keep_first(batch, keys, order)
     before = _landed_before(batch.sparkSession, path, batch_id)
-    fresh = once if before is None else once.join(before.select(*keys), list(keys), "left_anti")
+    fresh = once if before is None else not_seen(once, before, keys)
     fresh.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
