@@ -2,77 +2,109 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import NaiveBayes
-from pyspark.ml.feature import CountVectorizer, NGram
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reviewloom.functions.text import text_key
 
 GRAM = 3
-# Languages a model may know, and the most a vocabulary can be asked for; both reach the driver.
-MAX_LANGUAGES, ALL_RUNS = 1_000, (1 << 31) - 1
+# Places that runs of characters are hashed to, at any size of the samples, and languages a model may know: together they
+# bound what reaches the driver and the executors.
+WIDTH, MAX_LANGUAGES = 1 << 20, 64
 
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """A fitted pipeline from character runs to a language number, and the languages by number."""
+    """Naive Bayes over hashed runs: the places in use, a row of log probabilities for each, and the languages."""
 
-    stages: PipelineModel
+    places: np.ndarray
+    logs: np.ndarray
+    priors: np.ndarray
     languages: tuple[str, ...]
 
 
-def _chars(df: DataFrame, text_col: str) -> DataFrame:
-    # a text without any run of three is nobody's; empty characters at the end are none
-    chars = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), ""), lambda c: c != "")
-    return df.withColumn("_chars", chars)
+def run_places(text: str | None) -> np.ndarray:
+    """The place of every run of three characters of a text, repeats included."""
+    points = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(points) < GRAM:
+        return np.zeros(0, np.int64)
+    # the three code points make one number, whose bits are then mixed
+    runs = points[:-2] | points[1:-1] << np.uint64(21) | points[2:] << np.uint64(42)
+    with np.errstate(over="ignore"):
+        runs = (runs ^ runs >> np.uint64(31)) * np.uint64(0x7FB5D329728EA185)
+        runs = (runs ^ runs >> np.uint64(27)) * np.uint64(0x81DADEF4BC2DD44D)
+    return ((runs ^ runs >> np.uint64(33)) % np.uint64(WIDTH)).astype(np.int64)
 
 
 def fit_language(samples: DataFrame, text_col: str = "text", lang_col: str = "lang", max_runs: int | None = None) -> LanguageModel:
     """Naive Bayes over overlapping runs of three characters, fitted on labelled texts.
 
-    All runs count.  They reach the driver, a string and a number per language
-    each; where a caller sets ``max_runs``, more of them are an error.
+    All runs of all texts count.  They are hashed to ``WIDTH`` places, the same
+    at every size of the samples; tasks add up the counts of their rows, and at
+    most ``WIDTH`` numbers per language reach the driver.  Where a caller sets
+    ``max_runs``, more places in use are an error.
     """
     labelled = samples.filter(F.col(lang_col).isNotNull())
-    languages = sorted(r[0] for r in labelled.select(lang_col).distinct().limit(MAX_LANGUAGES + 1).collect())
+    counted = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().limit(MAX_LANGUAGES + 1).collect()}
+    languages = sorted(counted)
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; clean the label column first")
     number = F.array_position(F.array(*map(F.lit, languages)), F.col(lang_col)) - 1
-    rows = _chars(labelled.select(text_col, number.cast("double").alias("_label")), text_col).drop(text_col)
-    stages = Pipeline(
-        stages=[
-            NGram(n=GRAM, inputCol="_chars", outputCol="_runs"),
-            CountVectorizer(vocabSize=ALL_RUNS if max_runs is None else max_runs + 1, inputCol="_runs", outputCol="_counts"),
-            NaiveBayes(featuresCol="_counts", labelCol="_label", predictionCol="_language", smoothing=1.0),
-        ]
-    ).fit(rows)
-    if max_runs is not None and len(stages.stages[1].vocabulary) > max_runs:
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((len(languages), WIDTH), np.int64)
+        for batch in batches:
+            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
+                places, times = np.unique(run_places(text.as_py()), return_counts=True)
+                sums[lang, places] += times
+        lang, place = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(lang), pa.array(place), pa.array(sums[lang, place])], ["lang", "place", "n"])
+
+    if not languages:
+        return LanguageModel(np.zeros(0, np.int64), np.zeros((0, 0)), np.zeros(0), ())
+    rows = labelled.select(number.cast("long").alias("lang"), F.lower(F.col(text_col)).alias("text"))
+    sums = rows.mapInArrow(count, "lang long, place long, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()
+    lang, place, n = (sums.column(c).to_numpy() for c in ("lang", "place", "n"))
+    places, at = np.unique(place, return_inverse=True)
+    if max_runs is not None and len(places) > max_runs:
         raise ValueError(f"more than {max_runs} runs of {GRAM} characters")
-    return LanguageModel(stages, tuple(languages))
+    counts = np.zeros((len(places), len(languages)))
+    counts[at, lang] = n
+    logs = np.log(counts + 1) - np.log(counts.sum(axis=0) + len(places))
+    total = sum(counted.values())
+    return LanguageModel(places, logs, np.log(np.array([counted[x] / total for x in languages])), tuple(languages))
 
 
 def detect_language(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``df`` with ``lang_guess``, the most likely language of the whole text; null for a text without any known run.
 
-    Scoring is one step over the rows: nothing is exploded, joined or shuffled.
+    Scoring is one step over the rows: only the text goes to the workers and
+    only the language comes back, nothing is exploded, joined or shuffled.
     """
-    kept = df.columns
-    scored = model.stages.transform(_chars(df, text_col))
-    guess = F.get(F.array(*map(F.lit, model.languages)), F.col("_language").cast("int"))
-    # without a known run all counts are zero and only the languages' frequencies would speak; a known one lowers every
-    # score, unless it is the only one there is
-    frequency, vocabulary = float(model.stages.stages[2].pi[0]), model.stages.stages[1].vocabulary
-    if len(vocabulary) == 1:
-        has_run = F.array_contains("_runs", vocabulary[0])
-    else:
-        has_run = F.get(vector_to_array("rawPrediction"), F.lit(0)) < frequency
-    return scored.select(*kept, F.when(has_run, guess).alias("lang_guess"))
+    if not len(model.places):
+        return df.withColumn("lang_guess", F.lit(None).cast("string"))
+    known = df.sparkSession.sparkContext.broadcast(model)
+
+    def guess(texts: pa.Array) -> pa.Array:
+        fitted = known.value
+        out = []
+        for text in texts:
+            runs = run_places(text.as_py())
+            at = np.searchsorted(fitted.places, runs)
+            at[at == len(fitted.places)] = 0
+            rows = at[fitted.places[at] == runs]
+            found, times = np.unique(rows, return_counts=True)
+            scores = fitted.priors + times @ fitted.logs[found]
+            out.append(fitted.languages[int(np.argmax(scores))] if len(found) else None)
+        return pa.array(out, pa.string())
+
+    guess.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return df.withColumn("lang_guess", F.arrow_udf(guess, "string")(F.lower(F.col(text_col))))
 
 
 def agreement(detected: DataFrame, by: Sequence[str], lang_col: str = "lang") -> DataFrame:
