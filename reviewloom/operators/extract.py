@@ -300,22 +300,26 @@ def _search_reviews(nodes: Column, max_blocks: int | None, max_text: int | None)
     rated = F.filter(nodes, lambda n: _is_div(n) & F.contains(_blank(attr(n, "aria-label")), F.lit("Rated")))
     long_texts = F.filter(nodes, lambda n: _is_div(n) & (F.length(sole_text(nodes, n)) > LONG_TEXT_LENGTH))
 
-    def author(block: Column) -> Column:
-        links = F.filter(
-            F.slice(nodes, F.lit(1), block["pos"]), lambda n: n["tag"].isin("div", "span") & (attr(n, "role") == "link")
-        )
-        return F.coalesce(text_of(nodes, F.try_element_at(links, F.lit(-1)), ""), F.lit(UNKNOWN_AUTHOR))
+    def author(links: Column, block: Column) -> Column:
+        last = F.try_element_at(F.filter(links, lambda n: n["pos"] < block["pos"]), F.lit(-1))
+        return F.coalesce(text_of(nodes, last, ""), F.lit(UNKNOWN_AUTHOR))
 
     blocks = _first_non_empty(rated, long_texts)
-    return F.transform(
-        blocks if max_blocks is None else F.slice(blocks, F.lit(1), F.lit(max_blocks)),
-        lambda b: F.struct(
-            author(b).alias("author"),
-            F.coalesce(rating_from_stars(attr(b, "aria-label")), F.lit(0)).alias("rating"),
-            _head(text_of(nodes, b), max_text).alias("text"),
-            F.lit("").alias("review_date"),
-        ),
-    )
+    chosen = blocks if max_blocks is None else F.slice(blocks, F.lit(1), F.lit(max_blocks))
+
+    def records(links: Column) -> Column:
+        return F.transform(
+            chosen,
+            lambda b: F.struct(
+                author(links, b).alias("author"),
+                F.coalesce(rating_from_stars(attr(b, "aria-label")), F.lit(0)).alias("rating"),
+                _head(text_of(nodes, b), max_text).alias("text"),
+                F.lit("").alias("review_date"),
+            ),
+        )
+
+    # the links of a page are looked for once, not in all nodes before every block
+    return bind(F.filter(nodes, lambda n: n["tag"].isin("div", "span") & (attr(n, "role") == "link")), records)
 
 
 def place_records(pages: DataFrame, max_blocks: int | None = None, max_text: int | None = None) -> DataFrame:
@@ -434,3 +438,10 @@ def loaded_counts(pages: DataFrame) -> DataFrame:
         count(F.col("blocks")).alias("blocks"),
         count(F.filter("blocks", filled)).alias("filled_blocks"),
     )
+
+
+def left_out_blocks(pages: DataFrame, layout: int = 1, min_length: int = MIN_TEXT_LENGTH) -> DataFrame:
+    """Per page with blocks: how many there are, and how many are left out because their text is too short."""
+    blocks = review_blocks_v1(pages) if layout == 1 else review_blocks_v2(pages)
+    short = F.length(F.coalesce("text", F.lit(""))) < min_length
+    return blocks.groupBy("page_id", "url").agg(F.count("*").alias("blocks"), F.count_if(short).alias("left_out"))

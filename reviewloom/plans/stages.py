@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.text import is_arabic, normalize_simple
 from reviewloom.functions.urls import place_id
 from reviewloom.operators.analysis import analysis_requests, analysis_results, run_headers
-from reviewloom.operators.dedupe import first_n, keep_first
+from reviewloom.operators.dedupe import first_n, keep_first, null_safe
 from reviewloom.operators.extract import page_errors, parsed_v1, parsed_v2, place_records, same_text
 from reviewloom.operators.language import LanguageModel, detect_language, translate_from
 from reviewloom.operators.reports import branch_verdicts, collection_status, english_reviews, nested_insights, reviews_by_branch
@@ -95,19 +95,35 @@ def review_rows(named: DataFrame, options: RunOptions = RunOptions(layout=2, kee
     )
 
 
-def collect_places(store: ReviewStore, pages: DataFrame, run: str) -> None:
-    """The search flow: place records become branches by place id or link, their reviews are added."""
-    records = land(place_records(pages).join(pages.select("page_id", "fetched_at", "snapshot_no"), "page_id"), "places")
+def collect_places(store: ReviewStore, pages: DataFrame, run: str) -> DataFrame:
+    """The search flow: place records become branches by place id or link, their reviews are added; returns the status.
+
+    A link that was blocked at any snapshot is skipped whole.  Reviews with a
+    value wider than its column are set aside with the names of those columns.
+    The status has a row per link: found and new reviews, and pages not parsed.
+    """
+    named = pages.withColumn("name", F.col("url"))
+    passed = branch_verdicts(named).filter(~F.col("skipped")).select("url")
+    good = pages.join(passed, "url", "left_semi")
+    records = land(place_records(good).join(good.select("page_id", "fetched_at", "snapshot_no"), "page_id"), "places")
     batch = records.select("name", "url", F.col("fetched_at").alias("scraped_at"))
     store.replace("branches", upsert_branches_by_place(store.read("branches"), batch, ["scraped_at", "name", "url"]))
     found = records.select("url", "page_id", "snapshot_no", "fetched_at", F.posexplode("reviews").alias("block_no", "review"))
     known = store.read("branches").select(F.col("place_id").alias("_place"), F.col("id").alias("_by_place"))
     rows = found.select("*", "review.*", place_id(F.col("url")).alias("_place")).drop("review")
     rows = branch_ids_of(rows, store.read("branches")).join(known.groupBy("_place").agg(F.min("_by_place").alias("_by_place")), "_place", "left")
-    rows = rows.withColumn("branch_id", F.coalesce("branch_id", "_by_place")).withColumn("scraped_at", F.col("fetched_at"))
+    rows = land(rows.withColumn("branch_id", F.coalesce("branch_id", "_by_place")).withColumn("scraped_at", F.col("fetched_at")), "place-rows")
     part = f"run-{run}"
-    fresh = new_reviews(rows, store.read("reviews", without_part=part), ["snapshot_no", "page_id", "block_no"])
+    fits, rejected = split_oversize(rows, WIDTHS["reviews"])
+    fresh = land(new_reviews(fits, store.read("reviews", without_part=part), ["snapshot_no", "page_id", "block_no"]), "new")
     store.append("reviews", fresh, part)
+    store.reject("reviews", rejected.select("url", "author", "text", "review_date", "oversize"), part)
+    # a new review counts for the link whose block was kept, the first of its branch
+    keys = ["branch_id", "text"]
+    firsts = keep_first(fits, keys, ["snapshot_no", "page_id", "block_no"]).select("url", *keys)
+    added = null_safe(firsts, fresh, keys, "left_semi").groupBy("url").agg(F.count("*").alias("new"))
+    counts = rows.groupBy("url").agg(F.count("*").alias("found")).join(added, "url", "left")
+    return collection_status(named, counts, page_errors(named))
 
 
 def normalise(

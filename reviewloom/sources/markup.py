@@ -113,7 +113,7 @@ class _Nodes(HTMLParser):
         return self.rows
 
 
-def _page_nodes(html: str | None) -> list[dict] | None:
+def parse_page(html: str | None) -> list[dict] | None:
     if html is None:
         return None
     parser = _Nodes()
@@ -138,7 +138,7 @@ _ARROW_NODES = to_arrow_type(NODES)
 @F.arrow_udf(NODES)
 def _parse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        yield pa.array((_page_nodes(html.as_py()) for html in batch), type=_ARROW_NODES)
+        yield pa.array((parse_page(html.as_py()) for html in batch), type=_ARROW_NODES)
 
 
 def page_nodes(html: Column) -> Column:
