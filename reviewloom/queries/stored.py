@@ -11,7 +11,7 @@ from reviewloom.plans.stages import review_rows
 from reviewloom.queries.collected import pages_v2
 from reviewloom.queries.views import BRANCHES, INSIGHTS, META, PAGED, REVIEWS, branches, insights, meta, reviews, table
 from reviewloom.queries.scalars import MARKED_SQL, SQL_ENGLISH, marked
-from reviewloom.schemas import REVIEW_CSV, TABLES
+from reviewloom.schemas import INSIGHTS_CSV, REVIEW_CSV, TABLES
 from reviewloom.session import cut, land, remove_folder, scratch_path
 from reviewloom.sinks.files import export_insights_csv, nested_json, read_reviews_csv, write_nested_json, write_reviews_csv
 from reviewloom.sinks.store import ReviewStore
@@ -241,9 +241,10 @@ def stream_unique_reviews(spark, sf):
 
 
 def _in_rounds(rows, path, rounds, part):
-    """Rows written file by file: round r holds the parts up to r, so later rounds repeat what earlier ones brought."""
+    """Rounds as they arrive, each written by all its tasks: round r holds the parts up to r, so later ones repeat rows."""
     for r in range(rounds):
-        rows.filter(part <= r).withColumn("round", F.lit(r)).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(part <= r).withColumn("round", F.lit(r)).write.mode("append").parquet(path)
+        yield r
 
 
 @query("""WITH rows AS (SELECT TRY_CAST(substr(source, 4) AS BIGINT) AS branch_id, text, doc_id % 3 AS part FROM documents),
@@ -262,10 +263,11 @@ def stream_landed_counts(spark, sf):
         F.expr("timestamp'2025-10-15 00:00:00' + doc_id * interval '1' minute").alias("scraped_at"),
     )
     out = scratch_path(spark, "stream-landed")
-    _in_rounds(rows, f"{out}/in", 3, F.col("review_id") % 3)
-    stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
     handler = land_reviews(ReviewStore(spark, f"{out}/store"), f"{out}/counts", ["review_id"])
-    each_batch(stream, handler, f"{out}/progress").awaitTermination()
+    for _ in _in_rounds(rows, f"{out}/in", 3, F.col("review_id") % 3):
+        # whatever has arrived since the last run is one batch
+        stream = spark.readStream.schema(spark.read.parquet(f"{out}/in").schema).parquet(f"{out}/in")
+        each_batch(stream, handler, f"{out}/progress").awaitTermination()
     for spent in ("in", "progress", "store"):
         remove_folder(spark, f"{out}/{spent}")
     return spark.read.parquet(f"{out}/counts/*")
@@ -280,14 +282,13 @@ def stream_page_reviews(spark, sf):
     pages = pages_v2(spark, sf)
     number = F.expr("cast(page_id / 1000 AS BIGINT)") % 3
     out = scratch_path(spark, "stream-pages")
+    land = lambda batch, batch_id: land_first(batch, batch_id, f"{out}/rows", ["url", "review_id"], ["block_no"])
     for r in range(3):
         arrived = pages.filter(number <= r).withColumn("snapshot_no", F.lit(r))
         later = F.col("fetched_at") + F.make_dt_interval(mins=F.lit(r))
-        arrived.withColumn("fetched_at", later).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    parsed = parsed_v2(stream_pages(spark, f"{out}/in", files_per_trigger=1))
-    unique = unique_over_time(parsed, ["url", "review_id"], "fetched_at", "1 day")
-    land = lambda batch, batch_id: land_first(batch, batch_id, f"{out}/rows", ["url", "review_id"], ["block_no"])
-    each_batch(unique, land, f"{out}/progress").awaitTermination()
+        arrived.withColumn("fetched_at", later).write.mode("append").parquet(f"{out}/in")
+        unique = unique_over_time(parsed_v2(stream_pages(spark, f"{out}/in")), ["url", "review_id"], "fetched_at", "1 day")
+        each_batch(unique, land, f"{out}/progress").awaitTermination()
     for spent in ("in", "progress"):
         remove_folder(spark, f"{out}/{spent}")
     return read_landed(spark, f"{out}/rows").select("url", "review_id", "snapshot_no")
@@ -314,8 +315,7 @@ def review_csv(spark, sf):
 def insights_csv(spark, sf):
     path = scratch_path(spark, "insights-csv")
     export_insights_csv(insights(spark, sf), meta(spark, sf), path)
-    kinds = "topic_id INT, percentage DECIMAL(5,2), top_keywords STRING, gemini_aspect STRING, gemini_sentiment STRING, gemini_summary STRING, gemini_recommendation STRING, branch_id BIGINT"
-    back = spark.read.schema(kinds).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    back = spark.read.schema(INSIGHTS_CSV).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return back.select("branch_id", "topic_id", "gemini_summary")
 
 
