@@ -13,11 +13,18 @@ KEYS = ["branch_id", "topic"]
 
 
 def analysis_requests(
-    topics: DataFrame, settings: TopicSettings = TopicSettings(), text_col: str = "normalized_text", samples: int = 20
+    topics: DataFrame,
+    settings: TopicSettings = TopicSettings(),
+    text_col: str = "normalized_text",
+    samples: int = 20,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
-    """One request per topic: share, keywords, sample texts and the prompt built from them."""
+    """One request per topic: share, keywords, sample texts and the prompt built from them.
+
+    ``counted`` are the term counts that the topics were found with, if they are still there.
+    """
     shares = topic_shares(topics)
-    words = topic_terms(topics, text_col, stop_words=settings.words(), ngram_max=settings.ngram_max)
+    words = topic_terms(topics, text_col, stop_words=settings.words(), ngram_max=settings.ngram_max, counted=counted)
     texts = first_texts(topics.filter(F.col("topic") != OUTLIER), KEYS, text_col, n=samples)
     return (
         shares.join(keyword_lists(words.filter(F.col("topic") != OUTLIER), KEYS), KEYS, "left")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.dedupe import first_n
+from reviewloom.session import land
 
 BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 TOP_TERMS = 10
@@ -49,6 +50,13 @@ def with_terms(df: DataFrame, text_col: str, stop_words: Sequence[str], ngram_ma
     return words.select(*kept, F.explode(terms).alias("term"))
 
 
+def term_counts(reviews: DataFrame, text_col: str, stop_words: Sequence[str], ngram_max: int = 2) -> DataFrame:
+    """``branch_id, review_id, term, tf``, written once: texts are taken apart in one job, later steps read the counts."""
+    keys = ["branch_id", "review_id"]
+    terms = with_terms(reviews.select(*keys, text_col), text_col, stop_words, ngram_max)
+    return land(terms.groupBy(*keys, "term").agg(F.count("*").alias("tf")), "term-counts")
+
+
 def topic_terms(
     topics: DataFrame,
     text_col: str = "normalized_text",
@@ -57,6 +65,7 @@ def topic_terms(
     stop_words: Sequence[str] = (),
     ngram_max: int = 2,
     top: int = TOP_TERMS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Top terms of each topic by class-based TF-IDF.
 
@@ -64,13 +73,17 @@ def topic_terms(
     part of the mean number of term occurrences per topic of the group
     (outliers count as a topic of their own).  Occurrences are counted before
     anything else is shuffled, so later steps see one row per topic and term.
+    With ``counted``, the :func:`term_counts` of the same reviews, no text is
+    read again.
     """
     keys = list(group)
-    counts = (
-        with_terms(topics.select(*keys, topic_col, text_col), text_col, stop_words, ngram_max)
-        .groupBy(*keys, topic_col, "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    if counted is None:
+        occurrences = with_terms(topics.select(*keys, topic_col, text_col), text_col, stop_words, ngram_max).withColumn("tf", F.lit(1))
+    else:
+        named = topics.select("branch_id", "review_id", *(c for c in (*keys, topic_col) if c != "branch_id"))
+        occurrences = counted.join(named, ["branch_id", "review_id"])
+    # summed up in one job; the sums per topic and the window across topics read the written counts
+    counts = land(occurrences.groupBy(*keys, topic_col, "term").agg(F.sum("tf").alias("tf")), "topic-terms")
     per_topic = counts.groupBy(*keys, topic_col).agg(F.sum("tf").alias("words"))
     mean_words = per_topic.groupBy(*keys).agg(F.floor(F.avg("words")).alias("mean_words"))
     # few rows: one per topic, with the mean of its group alongside

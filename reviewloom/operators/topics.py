@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reviewloom.operators.terms import default_stop_words, keyword_lists, topic_terms, with_terms
+from reviewloom.operators.terms import default_stop_words, keyword_lists, term_counts, topic_terms
 from reviewloom.operators.upsert import assign_ids
-from reviewloom.session import broadcast_if_small, cut, land
+from reviewloom.session import broadcast_if_small, cut
 
 OUTLIER = -1
 
@@ -47,7 +47,9 @@ def settings_json(settings: TopicSettings) -> Column:
     return F.lit(json.dumps(values, separators=(",", ":"), ensure_ascii=False))
 
 
-def assign_topics(reviews: DataFrame, settings: TopicSettings = TopicSettings(), text_col: str = "normalized_text") -> DataFrame:
+def assign_topics(
+    reviews: DataFrame, settings: TopicSettings = TopicSettings(), text_col: str = "normalized_text", counted: DataFrame | None = None
+) -> DataFrame:
     """``branch_id, review_id, topic, anchor`` for every review.
 
     1. Terms found in at least ``min_topic_size`` reviews of the branch (and
@@ -58,13 +60,9 @@ def assign_topics(reviews: DataFrame, settings: TopicSettings = TopicSettings(),
     4. Topics are numbered from 0 by size; reviews without one get -1.
     """
     keys = ["branch_id", "review_id"]
-    # texts are taken apart in one job; everything after it reads the written counts
-    counted = land(
-        with_terms(reviews.select(*keys, text_col), text_col, settings.words(), settings.ngram_max)
-        .groupBy(*keys, "term")
-        .agg(F.count("*").alias("tf")),
-        "term-counts",
-    )
+    # texts are taken apart in one job, unless the caller has done so; everything after it reads the written counts
+    if counted is None:
+        counted = term_counts(reviews, text_col, settings.words(), settings.ngram_max)
     sizes = reviews.groupBy("branch_id").agg(F.count("*").alias("n"))
     low = F.greatest(F.lit(settings.min_topic_size), F.ceil(F.col("n") * settings.min_share))
     candidates = cut(

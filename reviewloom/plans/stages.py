@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from reviewloom.functions.text import is_arabic, normalize_simple
 from reviewloom.functions.urls import place_id
 from reviewloom.operators.analysis import analysis_requests, analysis_results, run_headers
+from reviewloom.operators.changes import StageDigests
 from reviewloom.operators.dedupe import first_n, keep_first, null_safe
 from reviewloom.operators.extract import page_errors, parsed_v1, parsed_v2, place_records, same_text
 from reviewloom.operators.language import LanguageModel, detect_language, translate_from
@@ -133,14 +134,32 @@ def normalise(
     model: LanguageModel | None = None,
     foreign: Sequence[str] = ("ar",),
     simple: bool = False,
-) -> None:
+    digests: StageDigests | None = None,
+) -> DataFrame | None:
     """Refresh the normalised reviews from the reviews table and the translation memory.
 
+    With ``digests`` only branches whose reviews have changed since the stage
+    last ran are worked on; the changes are returned, and where there are none
+    nothing is written.
+
     Which texts want a translation is told by ``needs``, a test of the script,
     or by a fitted language ``model`` and the ``foreign`` languages.  ``simple``
     is the fallback without any translation: one line in lower case.
     """
-    rows = reviews_for_normalising(store.read("reviews"))
+    if digests is not None:
+        def work(moved: DataFrame, gone: DataFrame) -> None:
+            _normalise(store, moved, gone, memory, needs, model, foreign, simple)
+
+        return digests.run("normalise", store.read("reviews"), work)
+    _normalise(store, store.read("reviews"), None, memory, needs, model, foreign, simple)
+    return None
+
+
+def _normalise(
+    store: ReviewStore, reviews: DataFrame, gone: DataFrame | None, memory: DataFrame, needs: Callable[[Column], Column],
+    model: LanguageModel | None, foreign: Sequence[str], simple: bool,
+) -> None:
+    rows = reviews_for_normalising(reviews)
     if simple:
         translated = rows.withColumn("normalized_text", normalize_simple(F.col("original_text")))
     elif model is not None:
@@ -148,7 +167,10 @@ def normalise(
         translated = translate_from(guessed, memory, F.col("lang_guess").isin(*foreign)).drop("lang_guess")
     else:
         translated = translate_from(rows, memory, needs(F.col("original_text")))
-    store.replace("normalized_reviews", upsert(store.read("normalized_reviews"), translated, ["review_id"], ["scraped_at"]))
+    stored = store.read("normalized_reviews")
+    if gone is not None:
+        stored = null_safe(stored, gone, ["branch_id"], "left_anti")
+    store.replace("normalized_reviews", upsert(stored, translated, ["review_id"], ["scraped_at"]))
 
 
 def find_topics(store: ReviewStore, options: RunOptions) -> DataFrame:

@@ -10,7 +10,7 @@ from reviewloom.operators import reports
 from reviewloom.operators.analysis import analysis_requests, analysis_results, run_headers
 from reviewloom.operators.language import agreement, detect_language, fit_language, pending_translations, translate_from
 from reviewloom.operators.similarity import SimilaritySettings, review_vectors, similar_pairs, similarity_topics
-from reviewloom.operators.terms import first_texts, keyword_lists, topic_terms
+from reviewloom.operators.terms import first_texts, keyword_lists, term_counts, topic_terms
 from reviewloom.operators.topics import TopicSettings, all_outliers, assign_topics, overview_head, topic_overview, topic_shares, topics_by_size
 from reviewloom.operators.upsert import assign_ids
 from reviewloom.queries.registry import query
@@ -243,9 +243,10 @@ requests AS (SELECT branch_id, topic, size, percentage, top_keywords,
 
 
 def _requests(spark, sf):
-    rows, found = _found_topics(spark, sf)
-    topics = cut(rows.join(found, ["branch_id", "review_id"]))
-    return topics, analysis_requests(topics, SETTINGS)
+    rows = reviews(spark, sf).select("branch_id", "review_id", F.col("text").alias("normalized_text"))
+    counted = term_counts(rows, "normalized_text", SETTINGS.words(), SETTINGS.ngram_max)
+    topics = cut(rows.join(assign_topics(rows, SETTINGS, counted=counted), ["branch_id", "review_id"]))
+    return topics, analysis_requests(topics, SETTINGS, counted=counted)
 
 
 @query(f"WITH {REQUESTS_SQL} SELECT * FROM requests")

@@ -103,6 +103,20 @@ def test_second_run_has_no_work(spark, tmp_path):
     assert given[-1] == ({(1,), (2,)}, set())
 
 
+def test_only_changed_branches_are_normalised(spark, tmp_path):
+    store = ReviewStore(spark, str(tmp_path / "store"))
+    store.append("reviews", spark.createDataFrame([review(1, 1, "A  b"), review(2, 2, "C")], REVIEWS), "a")
+    state = changes.StageDigests(spark, str(tmp_path / "d"))
+    memory = spark.createDataFrame([], "text string, translated string")
+    run = lambda: as_set(stages.normalise(store, memory, simple=True, digests=state), "branch_id", "change")
+    assert run() == {(1, "new"), (2, "new")} and run() == set()
+    version = store._parts("normalized_reviews")[0][0]
+    assert run() == set() and store._parts("normalized_reviews")[0][0] == version
+    store.append("reviews", spark.createDataFrame([review(3, 2, "D")], REVIEWS), "b")
+    assert run() == {(2, "changed")}
+    assert as_set(store.read("normalized_reviews"), "review_id", "normalized_text") == {(1, "a b"), (2, "c"), (3, "d")}
+
+
 # sketches, counters, documents
 
 
