@@ -23,15 +23,19 @@ HTTP_RESPONSE = "application/http; msgtype=response"
 FIELDS = "application/warc-fields"
 PLAIN = "text/plain; charset=utf-8"
 # Elements whose content is no text, and elements that end a line.
-HIDDEN = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*\Z|<(?:script|style)\b.*\Z", re.S | re.I)
+OPENING = re.compile(r"<!--|<(script|style|noscript|template)\b", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "noscript", "template")}
+TO_THE_END = ("script", "style")
 BLOCK = re.compile(
     r"</?(?:address|article|aside|blockquote|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|header|hr|li|main|nav|ol|"
     r"p|pre|section|table|td|th|title|tr|ul)\b[^>]*>",
     re.I,
 )
 TAG = re.compile(r"</?[a-zA-Z!?][^>]*>")
-TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
-LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+TITLE, TITLE_END = re.compile(r"<title\b", re.I), re.compile(r"</title\s*>", re.I)
+ANCHOR = re.compile(r"<a\b", re.I)
+HREF = re.compile(r"\bhref\s*=\s*", re.I)
+VALUE = re.compile(r"""(?:"([^"]*)"|'([^']*)'|([^\s>]+))""")
 CHARSET = re.compile(r"charset\s*=\s*[\"']?([\w.:-]+)", re.I)
 
 RECORD = (
@@ -50,13 +54,68 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(map(str, parts)))}>"
 
 
+def visible(markup: str) -> str:
+    """The markup with a blank for every comment and every element without text.
+
+    An unclosed comment, script or style hides the rest.  One pass: where no end
+    of an element is left, none is looked for again.
+    """
+    parts, at, start, unclosed = [], 0, 0, set()
+    while found := OPENING.search(markup, at):
+        name = (found[1] or "").lower()
+        if name in unclosed:
+            at = found.end()
+            continue
+        if name:
+            close = CLOSING[name].search(markup, found.end())
+            end = close.end() if close else -1
+        else:
+            end = markup.find("-->", found.end())
+            end = end + 3 if end >= 0 else -1
+        if end < 0 and name and name not in TO_THE_END:
+            unclosed.add(name)
+            at = found.end()
+            continue
+        parts += [markup[start : found.start()], " "]
+        at = start = end if end >= 0 else len(markup)
+    return "".join([*parts, markup[start:]])
+
+
+def _replaced(tags: re.Pattern, by: str, markup: str) -> str:
+    """Tags replaced; what follows the last ``>`` holds none and is not searched."""
+    end = markup.rfind(">") + 1
+    return tags.sub(by, markup[:end]) + markup[end:]
+
+
 def plain_text(markup: str) -> str:
     """The text of a page: one line for every block with text."""
-    text = HIDDEN.sub(" ", markup)
-    text = html.unescape(TAG.sub("", BLOCK.sub("\n", text)))
+    text = html.unescape(_replaced(TAG, "", _replaced(BLOCK, "\n", visible(markup))))
     return "\n".join(line for line in (" ".join(part.split()) for part in text.split("\n")) if line)
 
 
+def title_of(markup: str) -> str | None:
+    """Content of the first title that is closed; no title after an unclosed one can be."""
+    found = TITLE.search(markup)
+    start = markup.find(">", found.end()) + 1 if found else 0
+    close = TITLE_END.search(markup, start) if start else None
+    return markup[start : close.start()] if close else None
+
+
+def links_of(markup: str) -> Iterator[str]:
+    """Targets of the page's links; an anchor is looked through up to its ``>`` once."""
+    at = 0
+    while found := ANCHOR.search(markup, at):
+        at = markup.find(">", found.end())
+        at = len(markup) if at < 0 else at
+        start = found.end()
+        while name := HREF.search(markup, start, at):
+            if value := VALUE.match(markup, name.end()):
+                yield next(filter(None, value.groups()), "")
+                at = value.end()
+                break
+            start = name.end()
+
+
 def split_http(block: bytes) -> tuple[bytes, dict[str, str], bytes]:
     """Status line, headers (lower-case names, the last of equals) and payload of an HTTP message."""
     head, _, payload = block.partition(RECORD_END)
@@ -127,7 +186,8 @@ def _derived(uri: str | None, source: str, date: str | None, block: bytes, paid:
     status, headers, payload = split_http(block or b"")
     markup = decoded(payload, headers)
     paid = paid or digest(payload)
-    title = TITLE.search(HIDDEN.sub(" ", markup))
+    shown = visible(markup)
+    title = title_of(shown)
     fields = [
         ("sourceStatus", status.decode("latin-1")),
         *((f"sourceHeader-{name}", value) for name, value in sorted(headers.items())),
@@ -135,10 +195,10 @@ def _derived(uri: str | None, source: str, date: str | None, block: bytes, paid:
         ("sourceBlockDigest", digest(block or b"")),
         ("charset", charset_of(headers)),
     ]
-    if title:
-        fields.append(("title", " ".join(html.unescape(TAG.sub("", title[1])).split())))
-    for found in LINK.finditer(HIDDEN.sub(" ", markup)):
-        link = html.unescape(next(filter(None, found.groups()), "")).strip()
+    if title is not None:
+        fields.append(("title", " ".join(html.unescape(_replaced(TAG, "", title)).split())))
+    for found in links_of(shown):
+        link = html.unescape(found).strip()
         try:
             link = urljoin(uri or "", link)
         except ValueError:
@@ -205,12 +265,18 @@ def write_warc(records: DataFrame, path: str, compression: str = "none") -> None
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of WARC 1.x files as the columns of a record, ``id`` being the record's identifier.
 
-    Files are split at version lines by the text source, so they need not fit in
-    memory; a block that holds a version line itself is put together again from
-    the pieces after it while they stand in the same task.  ``damaged`` marks a
-    block that is shorter than its header says.
+    Files are split at version lines by the text source.  The pieces of a file
+    are then brought together in their order, so that a block that holds version
+    lines itself is put together again wherever the source has split the file; a
+    task streams through its files and holds one record at a time.  ``damaged``
+    marks a block that is shorter than its header says.
     """
-    pieces = spark.read.option("lineSep", "WARC/1.").text(path).select(F.col("value").cast("binary").alias("piece"))
+    read = spark.read.option("lineSep", "WARC/1.").text(path)
+    pieces = (
+        read.select(F.col("value").cast("binary").alias("piece"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+        .withColumn("at", F.monotonically_increasing_id())
+        .repartition("file").sortWithinPartitions("file", "start", "at").select("file", "piece")
+    )
     names = {v.lower(): k for k, v in HEADERS.items()}
     columns = [c.split()[0] for c in RECORD.split(", ")]
 
@@ -223,7 +289,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         return int(fields["content_length"]) if fields.get("content_length", "").isdigit() else 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields, rest, out = {}, b"", []
+        fields, rest, out, last = {}, b"", [], None
 
         def close() -> None:
             if fields:
@@ -231,8 +297,11 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 out.append({c: row.get(c) for c in columns} | {"damaged": len(rest) < wanted(fields)})
 
         for batch in batches:
-            for (values,) in sliced([batch], ["piece"]):
-                for piece in values:
+            for files, values in sliced([batch], ["file", "piece"]):
+                for file, piece in zip(files, values):
+                    if file != last:
+                        close()
+                        fields, rest, last = {}, b"", file
                     if fields and len(rest) < wanted(fields):
                         rest += b"WARC/1." + piece
                         continue

@@ -1,7 +1,9 @@
 """The operators against plain Python on small inputs."""
 
+import html
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -405,6 +407,65 @@ def test_derivatives_refer_to_their_responses(spark, tmp_path):
         assert {r.block for r in again.collect()} == {r.block for r in made.values()}
 
 
+def test_derivatives_of_every_page_by_plain_patterns(spark):
+    """The query's rows against records made with one backtracking pattern for each thing that is looked for."""
+    hidden = re.compile(r"<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*\Z|<(?:script|style)\b.*\Z", re.S | re.I)
+    title = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.S | re.I)
+    link = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+    odd = [
+        "<!-- a --><p>x<!-- open <p>y", "<script>a</script><SCRIPT>b</script >c<style>d", "<noscript>kept <b>text <template>t</template>",
+        "<title>a<title>b</title>c</title>", "<title", "<a href='x>y'>1</a><a title=q>2<a href=>3<a  href = z>4<a data-href=w href=\"v\">5",
+        "a < b <3 & c &lt;p&gt; <p", "<a <a href=u <a href=t>", "", "<noscript><noscript></noscript><!--><p>-->z",
+    ]
+    pages = pq.read_table(f"{SF}/pages.parquet").to_pylist() + [{"page_id": -1 - k, "url": "http://h.example/d/", "html": x} for k, x in enumerate(odd)]
+    for page in pages:
+        markup = page["html"] or ""
+        assert warc.visible(markup) == hidden.sub(" ", markup)
+        shown = hidden.sub(" ", markup)
+        found = title.search(shown)
+        assert warc.title_of(shown) == (found[1] if found else None)
+        assert list(warc.links_of(shown)) == [next(filter(None, m.groups()), "") for m in link.finditer(shown)]
+    rows = {(r.page_id, r.record_type): r for r in QUERIES["op10_warc_derivatives"](spark, SF).collect()}
+    assert len(rows) == 2 * sum(p["page_id"] >= 0 for p in pages)
+    for page in pages[: -len(odd)]:
+        payload = page["html"].encode()
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
+        tags = warc.TAG.sub("", warc.BLOCK.sub("\n", hidden.sub(" ", page["html"])))
+        lines = (" ".join(x.split()) for x in html.unescape(tags).split("\n"))
+        text = "\n".join(x for x in lines if x).encode()
+        conversion, info = rows[page["page_id"], "conversion"], rows[page["page_id"], "metadata"]
+        assert conversion.content_length == len(text) and conversion.block_digest == warc.digest(text)
+        for row in (conversion, info):
+            assert row.source_payload_digest == warc.digest(payload) and row.target_uri == page["url"]
+            assert row.refers_to == warc.record_id(page["page_id"], page["url"], warc.digest(payload)) and block
+
+
+@pytest.mark.parametrize("piece", ["<noscript>", "<title>", "<title ", "<a ", "<a href ", "<!--", "<p ", "<script>", "</", "<template>x</"])
+def test_long_odd_pages_take_linear_time(piece):
+    markup = piece * (5_000_000 // len(piece))
+    start = time.perf_counter()
+    warc._derived("http://h.example/", "s", None, b"HTTP/1.1 200 OK\r\n\r\n" + markup.encode(), None)
+    assert time.perf_counter() - start < 20
+
+
+def test_files_split_inside_records(spark, tmp_path):
+    """Splits far smaller than a record whose block is full of version lines: every byte comes back, file by file."""
+    body = "".join(f"line {i} WARC/1.1 and WARC/1.0\r\nWARC-Type: x\r\n\r\n" for i in range(6_000))
+    pages = spark.createDataFrame([(1, "http://h.example/1", body), (2, "http://h.example/2", "<p>small"), (3, None, None)], "page_id long, url string, html string")
+    responses = warc.responses_from_pages(pages.repartition(2, "page_id"))
+    warc.write_warc(responses, f"file://{tmp_path}/w")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "65536")
+    try:
+        back = warc.read_warc(spark, f"file://{tmp_path}/w").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r.record_id: bytes(r.block) for r in back if not r.damaged} == {r.record_id: bytes(r.block) for r in responses.collect()}
+    # nothing written gives nothing read
+    warc.write_warc(responses.limit(0), f"file://{tmp_path}/none")
+    assert warc.read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
 # document-term matrix
 
 
