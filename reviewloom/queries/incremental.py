@@ -11,13 +11,15 @@ from reviewloom.functions import variants
 from reviewloom.operators import changes, extract, metrics, sketches
 from reviewloom.operators.extract import parsed_v2
 from reviewloom.operators.kmeans import KMeansSettings, kmeans_topics
-from reviewloom.queries.collected import DATE_V1, STARS_V1, pages_v1, pages_v2
+from reviewloom.plans import stages
+from reviewloom.queries.collected import DATE_V1, STARS_V1, pages_search, pages_v1, pages_v2
 from reviewloom.queries.registry import query
 from reviewloom.queries.scalars import MARKED_SQL, SQL_ENGLISH, marked
 from reviewloom.queries.views import PAGED, REVIEWS, STOP_LIST, STOP_WORDS, reviews, table
 from reviewloom.schemas import REVIEWS as REVIEW_ROWS
 from reviewloom.session import land, remove_folder, scratch_path
 from reviewloom.sinks.buckets import BucketTable
+from reviewloom.sinks.store import ReviewStore
 from reviewloom.sources import block_function, snapshots
 from reviewloom.streaming import rounds
 from reviewloom.streaming.snapshots import each_batch, land_first, read_landed, run_to_parquet
@@ -254,6 +256,23 @@ def left_out_blocks(spark, sf):
     return extract.left_out_blocks(pages_v1(spark, sf))
 
 
+# --- search flow ---------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {PAGED} SELECT url, page_id % 7 = 3 AS skipped, CASE WHEN page_id % 7 = 3 THEN 'captcha' END AS reason,
+  CASE WHEN page_id % 7 <> 3 THEN count(*) END AS found, CASE WHEN page_id % 7 <> 3 THEN count(DISTINCT stripped) END AS new,
+  CASE WHEN page_id % 7 <> 3 THEN 0 END AS errors, page_id % 7 <> 3 AS stored FROM paged GROUP BY url, page_id""")
+def collected_places(spark, sf):
+    """Status of a search run per link: blocked pages skipped, found and new reviews, and whether the place is stored."""
+    blocked = F.when(F.col("page_id") % 7 == 3, F.concat(F.lit("<p>unusual traffic</p>"), "html")).otherwise(F.col("html"))
+    pages = pages_search(spark, sf).withColumn("html", blocked)
+    store = ReviewStore(spark, scratch_path(spark, "collected-places"))
+    store.ensure()
+    status = stages.collect_places(store, pages, "one")
+    known = store.read("branches").select("url", F.lit(True).alias("stored"))
+    return status.drop("name").join(known, "url", "left").withColumn("stored", F.coalesce("stored", F.lit(False)))
+
+
 # --- topics by k-means ------------------------------------------------------------------------------
 
 KMEANS = KMeansSettings(min_topic_size=5, topics=4, stop_words=STOP_WORDS)
