@@ -490,3 +490,69 @@ def test_matrix_counts_words_under_global_numbers(spark, docs, monkeypatch):
                 (number,) = [k for k, v in cells.items() if v == n]
                 assert known.setdefault(word, number) == number
     assert len(known) > 20
+
+
+# language, rates
+
+
+def test_language_scores_by_plain_python(spark, docs):
+    """Subword counts and every prediction of the query's model, one subword at a time."""
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    labelled = table.filter("lang is not null and doc_id % 2 = 0").select("doc_id", "lang")
+    model = langid.fit(table, labelled)
+    found = {r.doc_id: r for r in langid.identify(table, model).collect()}
+
+    def letter(c):
+        return 97 <= c <= 122 or c >= 0xC0 and c not in (0xD7, 0xF7) and not 0x2000 <= c < 0x2C00 and not 0x3000 <= c < 0x3040
+
+    for doc_id, text in list(docs.text.items())[:60]:
+        codes = []
+        for c in map(ord, f" {(text or '').lower()} "):
+            c = c if letter(c) else langid.SPACE
+            if c != langid.SPACE or not codes or codes[-1] != langid.SPACE:
+                codes.append(c)
+        counts = Counter()
+        for k in langid.LENGTHS:
+            for i in range(len(codes) - k + 1):
+                part = codes[i : i + k]
+                if langid.SPACE in part[1:-1] or k == 1 and part == [langid.SPACE]:
+                    continue
+                rolled = 0
+                for c in part:
+                    rolled = (rolled * 0x01000193 + c) & 0xFFFFFFFF
+                counts[((rolled ^ (k * 0x85EBCA6B & 0xFFFFFFFF)) * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+        got = langid.subwords(text or "")
+        assert {k: v for k, v in enumerate(got.tolist()) if v} == dict(counts)
+        if not any(map(str.isalpha, text or "")):
+            assert found[doc_id].lang_pred == "und"
+            continue
+        total = sum(counts.values())
+        logits = [sum(n * model.weights[b, j] for b, n in counts.items()) / total + model.bias[j] for j in range(len(model.languages))]
+        odds = [np.exp((x - max(logits)) / model.temperature) for x in logits]
+        best = int(np.argmax(logits))
+        assert found[doc_id].lang_pred == model.languages[best] and found[doc_id].score == pytest.approx(odds[best] / sum(odds))
+
+
+def test_rates_by_plain_bisection(spark):
+    """The distributed Newton steps end where a bisection of each source's multiplier ends."""
+    draw = random.Random(2)
+    cells = [(f"0{s}", size, draw.randrange(1, 9)) for s in "abc" for size in sorted(draw.sample(range(1, 400), 25))]
+    sums = Counter()
+    for key, size, n in cells:
+        sums[key] += size * n
+    shares = {"0a": 0.3, "0b": 1.4, "0c": 2.0}
+    goals = [(k, sums[k], sums[k] * shares[k]) for k in sums]
+    rates = mixing.balanced(
+        spark.createDataFrame(cells, "key string, size long, n long"), spark.createDataFrame(goals, "key string, source_size long, target double")
+    )
+    found = {(r["key"], r["size"]): r["rate"] for r in rates.collect()}
+    for key, total, target in goals:
+        own = [(size, n) for k, size, n in cells if k == key]
+        mean = total / sum(n for _, n in own)
+        rate = lambda t, size: 2 / (1 + np.exp(-t * size / mean))
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            middle = (low + high) / 2
+            low, high = (middle, high) if sum(n * size * rate(middle, size) for size, n in own) < target else (low, middle)
+        for size, _ in own:
+            assert found[key, size] == pytest.approx(2.0 if shares[key] == 2 else rate(low, size), abs=1e-5)
