@@ -11,7 +11,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reviewloom.functions import variants
-from reviewloom.operators import changes, kmeans, metrics, similarity, sketches, upsert
+from reviewloom.operators import changes, kmeans, language, metrics, similarity, sketches, upsert
 from reviewloom.operators.dedupe import not_seen
 from reviewloom.plans import stages
 from reviewloom.schemas import PAGES, REVIEWS
@@ -376,3 +376,15 @@ def test_kmeans_equals_plain_lloyd(spark):
         assert {i: k for k, v in leaves.items() for i in v} == {i: c for i, c in got.items() if i[0] == branch}
     topics = {r.review_id: r.topic for r in kmeans.kmeans_topics(df, settings).collect()}
     assert topics[n] == topics[n + 1] == -1 and len(topics) == len(rows)
+
+
+def test_large_language_models_stay_a_table(spark, monkeypatch):
+    """Scoring by a join gives the languages of the map step."""
+    known = spark.createDataFrame([("the gym is great and the staff too", "en"), ("das ist sehr gut und die leute auch", "de"), ("x", "fr")], "text string, lang string")
+    texts = spark.createDataFrame([(1, "great gym"), (2, "ist gut"), (3, "ab"), (4, None), (5, "xyzxyz"), (6, "the"), (6, "the")], "k int, text string")
+    small = language.fit_language(known)
+    monkeypatch.setattr(language, "MODEL_CELLS", 5)
+    large = language.fit_language(known)
+    assert small.runs is not None and large.runs is None
+    one, two = (sorted(map(tuple, language.detect_language(texts, m).collect()), key=str) for m in (small, large))
+    assert one == two and (1, "great gym", "en") in one and (5, "xyzxyz", None) in one
