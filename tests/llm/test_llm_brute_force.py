@@ -508,7 +508,7 @@ def test_language_scores_by_plain_python(spark, docs):
     for doc_id, text in list(docs.text.items())[:60]:
         codes = []
         for c in map(ord, f" {(text or '').lower()} "):
-            c = c if letter(c) else langid.SPACE
+            c = c if letter(c) else int(langid.SPACE)
             if c != langid.SPACE or not codes or codes[-1] != langid.SPACE:
                 codes.append(c)
         counts = Counter()
