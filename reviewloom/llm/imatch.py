@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import NO_WORD, ascii_lower, ceil_div, landed, shuffle_partitions
+from reviewloom.session import broadcast_if_small
 
 # Terms in use: found in at least two documents and in between these shares of all documents.  A text has a bounded
 # number of terms on average, so at most that number / LOW_SHARE terms can reach the lower share: the lexicon does not
 # grow with the number of documents.
 LOW_SHARE, HIGH_SHARE, MIN_DOCS = 0.001, 0.2, 2
-# Halvings of the lexicon, one subset each: subset k keeps a term with probability 2 ** -HALVINGS[k].
-HALVINGS = (0, 1, 2, 3, 3, 4, 4, 4, 5, 5, 5, 5, 6, 6, 6, 6, 7, 7, 7, 8, 8, 9, 9)
-# Subsets of at least so many halvings are looked for among the terms that are in any of them.
-SPARSE = 5
+# Lexicon subsets: at level k the lexicon falls at random into SUBSETS * 2 ** k parts, the first SUBSETS of which are used.
+# Four hexadecimal digits of a term's MD5 choose its part at one level, so one digest does for all.
+LEVELS, SUBSETS = 8, 32
+# A subset speaks for a text that holds 1 to so many of its terms; the few expected terms survive an edit elsewhere.
+MAX_TERMS = 3
+# Number of the subset that stands for all terms of a text.
+WHOLE = LEVELS * SUBSETS
+# Terms of the lexicon that are sent to every task; a larger lexicon is met by a shuffle.
+BROADCAST_TERMS = 500_000
 # Fixed value: punctuation that is cut off both ends of a word.
 PUNCTUATION = ".,;:!?\"'()[]{}<>*#|"
-# Characters of text that one bucket of neighbouring documents should hold.
-BUCKET_CHARS = 32 << 20
-EMPTY = "-"
-NO_TERMS = hashlib.md5(b"").hexdigest()[:16]
+# Characters of text that one bucket of neighbouring documents should hold, and the most buckets there are.
+BUCKET_CHARS, MAX_BUCKETS = 32 << 20, 1 << 16
+# Documents without an id are dealt by so many leading bits of their text's hash.
+NULL_BITS = 12
+SEPARATOR = "\x01"
 
 
 def terms_of(text: Column) -> Column:
@@ -32,79 +37,56 @@ def terms_of(text: Column) -> Column:
     return F.sort_array(F.array_distinct(trimmed))
 
 
-def _subset_bit(k: int, halvings: int) -> str:
-    """SQL: 1 << k if the term belongs to subset k; each subset reads hex digits of its own."""
-    digest = f"md5(concat(term, '/{k}'))"
-    digits, rest = divmod(halvings, 4)
-    whole = f"substr({digest}, 1, {digits}) = '{'0' * digits}'" if digits else "true"
-    below = "0123456789abcdef"[16 >> rest] if rest else ""
-    part = f"substr({digest}, {digits + 1}, 1) < '{below}'" if rest else "true"
-    return f"CASE WHEN {whole} AND {part} THEN {1 << k} ELSE 0 END"
-
-
-def subset_mask_sql() -> str:
-    return " + ".join(_subset_bit(k, halvings) for k, halvings in enumerate(HALVINGS))
+def subsets_sql(array: str, number: str) -> list[str]:
+    """SQL of the numbers of a term's subsets, null where it is in none of a level; ``number`` reads hex digits."""
+    parts = [number.format(f"substr(md5(term), {4 * k + 1}, 4)") + f" % {SUBSETS << k}" for k in range(LEVELS)]
+    return [array.format(f"CASE WHEN {part} < {SUBSETS} THEN {part} + {SUBSETS * k} END") for k, part in enumerate(parts)]
 
 
 def lexicon(terms: DataFrame, n_docs: int, low: float = LOW_SHARE, high: float = HIGH_SHARE) -> DataFrame:
     """``(term, mask)`` of the terms inside the band; ``terms`` holds each text's distinct terms as ``terms``."""
     counted = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
     inside = (F.col("n") >= MIN_DOCS) & (F.col("n") >= low * n_docs) & (F.col("n") <= high * n_docs)
-    return counted.filter(inside).select("term", F.expr(subset_mask_sql()).alias("mask"))
+    subsets = ", ".join(subsets_sql("{0}", "cast(conv({0}, 16, 10) AS int)"))
+    return counted.filter(inside).select(
+        "term", _code(F.md5("term")).alias("code"), F.expr(f"array_compact(array({subsets}))").alias("subsets")
+    )
 
 
-def _digest(terms: Column) -> Column:
-    """Hash of ordered terms; ``NO_TERMS`` for none."""
-    return F.substring(F.md5(F.array_join(terms, " ")), 1, 16)
+def _code(digest: Column) -> Column:
+    """The first 48 bits of a hexadecimal digest; sums of many stay in 64 bits."""
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
 
 
 def _tagged(terms: Column, tag: int) -> Column:
     """Terms with the number of their text, and before them one element that holds the digest of them all."""
-    whole = F.struct(F.lit(-1 - tag).alias("of"), _digest(terms).alias("term"))
+    whole = F.struct(F.lit(-1 - tag).alias("of"), F.md5(F.array_join(terms, " ")).alias("term"))
     return F.concat(F.array(whole), F.transform(terms, lambda t: F.struct(F.lit(tag).alias("of"), t.alias("term"))))
 
 
-def _with_any(band: Column, bits: int) -> Column:
-    return F.filter(band, lambda x: x["mask"].bitwiseAND(F.lit(bits)) != 0)
-
-
-
-
-def signature(whole: Column, band: Column, sparse: Column) -> Column:
-    """The subsets' hashes joined by ``.``; a text without any term of the band has ``whole`` in place 0.
-
-    ``sparse`` holds the terms of ``band`` that any of the sparse subsets keeps.
-    """
-    hashes = []
-    for k, halvings in enumerate(HALVINGS):
-        kept = _with_any(sparse if halvings >= SPARSE else band, 1 << k)
-        hashes.append(_digest(F.transform(kept, lambda x: x["term"])))
-    hashes[0] = F.when(F.size(band) == 0, whole).otherwise(hashes[0])
-    return F.replace(F.array_join(F.array(*hashes), "."), F.lit(NO_TERMS), F.lit(EMPTY))
+def likeness(left: Column, right: Column) -> Column:
+    """Twice the subset hashes that two fingerprints share over all they hold; 1 for equal fingerprints."""
+    a, b = F.split(left, r"\."), F.split(right, r"\.")
+    return F.when(left == right, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + F.size(b)))
 
 
-def likeness(left: Column, right: Column) -> Column:
-    """Share of equal hashes among the subsets that hold a term of either text; 1 for equal fingerprints."""
-    pairs = F.zip_with(F.split(left, r"\."), F.split(right, r"\."), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    used = F.filter(pairs, lambda p: (p["a"] != EMPTY) | (p["b"] != EMPTY))
-    same = F.filter(used, lambda p: p["a"] == p["b"])
-    return F.when(left == right, F.lit(1.0)).when(F.size(used) == 0, F.lit(0.0)).otherwise(F.size(same) / F.size(used))
+def _split_points(ids: DataFrame, every: int) -> list[str]:
+    """Every so manieth id of each range of the sorted ids, as strings; ids may be of any type with an order."""
+    in_range = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = ids.filter("id IS NOT NULL").orderBy("id").withColumn("at", in_range)
+    found = ranged.filter(F.col("at") % every == 0).select(F.col("id").cast("string").alias("start")).distinct().collect()
+    return [row["start"] for row in found if SEPARATOR not in row["start"]]
 
 
-def _bucket(splits: list, order: Column) -> Column:
-    """Number of split points at or below the value, by binary search."""
-    if not splits:
+def _bucket(starts: list[str], order: Column, kind: str) -> Column:
+    """Number of split points at or below the value, by binary search; one foldable expression whatever their number."""
+    if not starts:
         return F.lit(0)
-    points = F.lit(splits)
-    steps = F.lit([1 << k for k in reversed(range(len(splits).bit_length()))])
-    found = F.aggregate(
-        steps,
-        F.lit(0),
-        lambda at, step: F.when(
-            (at + step <= len(splits)) & (F.get(points, at + step - 1) <= order), at + step
-        ).otherwise(at),
+    points = F.array_sort(F.split(F.lit(SEPARATOR.join(starts)), SEPARATOR).cast(f"array<{kind}>"))
+    steps = F.lit([1 << k for k in reversed(range(len(starts).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) <= order, at + step).otherwise(at)
     )
-    return F.when(order.isNull(), F.lit(0)).otherwise(found)
 
 
 def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -112,35 +94,38 @@ def with_next_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents are dealt into buckets of neighbouring ids at split points, so the
     text is shuffled once and each bucket looks ahead in itself; only the first
-    text of every bucket is handed to the bucket before.  Null ids come first;
-    equal ids are ordered by text.
+    text of every bucket is handed to the bucket before.  Null ids come first,
+    in the order of their texts' hashes; equal ids are ordered by text.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
-    n = max(ceil_div(total, bucket_chars), 4 * shuffle_partitions(docs))
-    shares = [k / n for k in range(1, n)]
-    splits = rows.agg(F.percentile_approx("id", shares, max(10_000, 10 * n))).first()[0] if shares else None
-    splits = sorted(set(splits or []))
-    dealt = rows.withColumn("bucket", _bucket(splits, F.col("id")))
+    n_rows, total = rows.agg(F.count("*"), F.sum(F.char_length("text"))).first()
+    n = min(max(ceil_div(total or 0, bucket_chars), 4 * shuffle_partitions(docs)), MAX_BUCKETS)
+    starts = _split_points(rows.select("id"), max(1, ceil_div(n_rows, n)))
+    kind = rows.schema["id"].dataType.simpleString()
+    tie = F.when(F.col("id").isNull(), F.xxhash64("text"))
+    by_hash = F.shiftright("tie", 64 - NULL_BITS).cast("int") - (1 << (NULL_BITS - 1))
+    dealt = rows.withColumn("tie", tie).withColumn(
+        "bucket", F.when(F.col("id").isNull(), by_hash).otherwise(_bucket(starts, F.col("id"), kind))
+    )
     # at most one row per bucket
     around = Window.orderBy("bucket")
     ring = (
         dealt.groupBy("bucket")
-        .agg(F.min(F.struct(F.col("id").isNotNull().alias("known"), "id")).alias("first"))
+        .agg(F.min(F.struct("id", "tie")).alias("first"))
         .select(
             F.col("bucket").alias("following"),
             F.col("first.id").alias("start_id"),
+            F.col("first.tie").alias("start_tie"),
             F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(Window.partitionBy())).alias("previous"),
         )
     )
+    first = F.col("id").eqNullSafe(F.col("start_id")) & F.col("tie").eqNullSafe(F.col("start_tie"))
     heads = (
-        dealt.join(
-            F.broadcast(ring), (F.col("bucket") == F.col("following")) & F.col("id").eqNullSafe(F.col("start_id"))
-        )
+        dealt.join(F.broadcast(ring), (F.col("bucket") == F.col("following")) & first)
         .groupBy(F.col("previous").alias("bucket"))
         .agg(F.min("text").alias("head"))
     )
-    order = Window.partitionBy("bucket").orderBy("id", "text")
+    order = Window.partitionBy("bucket").orderBy("id", "tie", "text")
     looked = dealt.select(
         "bucket", "id", "text", F.row_number().over(order).alias("place"), F.lead("text").over(order).alias("ahead")
     )
@@ -158,33 +143,55 @@ def edited(text: Column, next_text: Column) -> Column:
 def fingerprint(docs: DataFrame, lex: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
     """``keys`` and the fingerprints of several text columns at once; ``keys`` name each row uniquely.
 
-    Terms are exploded with little besides, meet the lexicon by broadcast
-    (bounded, see ``LOW_SHARE``) and those of the band gather per row; where the
-    rows lie together by some of the keys already, nothing is shuffled.
+    Terms are exploded with little besides and meet the lexicon; those of one
+    subset are at most ``MAX_TERMS`` codes where they count, so their number,
+    least, greatest and sum give them in order, and only numbers are grouped.
+    Where the rows lie together by some of the keys already, nothing is
+    shuffled unless the lexicon is too large to be sent.  A text no subset
+    speaks for, as one without a term of the band, has the hash of all its terms.
     """
     columns = list(texts)
     places = range(len(columns))
     termed = docs.select(*keys, *(terms_of(F.col(c)).alias(f"_terms{i}") for i, c in enumerate(columns)))
     tagged = F.concat(*(_tagged(F.col(f"_terms{i}"), i) for i in places))
+    whole = F.col("of") < 0
     met = (
         termed.select(*keys, F.explode(tagged).alias("_t"))
         .select(*keys, "_t.of", "_t.term")
-        .join(F.broadcast(lex), "term", "left")
-        .filter((F.col("of") < 0) | F.col("mask").isNotNull())
+        .join(broadcast_if_small(lex, BROADCAST_TERMS), "term", "left")
+        .filter(whole | F.col("code").isNotNull())
+        .select(
+            *keys,
+            F.when(whole, -1 - F.col("of")).otherwise(F.col("of")).alias("of"),
+            F.when(whole, _code(F.col("term"))).otherwise(F.col("code")).alias("code"),
+            F.explode(F.when(whole, F.array(F.lit(WHOLE))).otherwise(F.col("subsets"))).alias("subset"),
+        )
+    )
+    held = met.groupBy(*keys, "of", "subset").agg(
+        F.count("*").alias("n"), F.min("code").alias("least"), F.max("code").alias("most"), F.sum("code").alias("total")
     )
-    gathered = met.groupBy(*keys).agg(
-        *(F.max(F.when(F.col("of") == -1 - i, F.col("term"))).alias(f"_whole{i}") for i in places),
-        *(F.collect_list(F.when(F.col("of") == i, F.struct("term", "mask"))).alias(f"_found{i}") for i in places),
+    speaking = held.filter(F.col("n") <= MAX_TERMS).select(*keys, "of", "subset", F.expr(token_sql("lower(lpad(hex(subset), 3, '0'))")).alias("token"))
+    mine = lambda i, plain: (F.col("of") == i) & ((F.col("subset") < WHOLE) == F.lit(plain))
+    gathered = speaking.groupBy(*keys).agg(
+        *(F.max(F.when(mine(i, False), F.col("token"))).alias(f"_whole{i}") for i in places),
+        *(F.sort_array(F.collect_list(F.when(mine(i, True), F.col("token")))).alias(f"_tokens{i}") for i in places),
     )
-    sparse = sum(1 << k for k, halvings in enumerate(HALVINGS) if halvings >= SPARSE)
-    bands = gathered.select("*", *(F.sort_array(f"_found{i}").alias(f"_band{i}") for i in places))
-    bands = bands.select("*", *(_with_any(F.col(f"_band{i}"), sparse).alias(f"_sparse{i}") for i in places))
-    return bands.select(
+    return gathered.select(
         *keys,
-        *(signature(F.col(f"_whole{i}"), F.col(f"_band{i}"), F.col(f"_sparse{i}")).alias(texts[c]) for i, c in enumerate(columns)),
+        *(
+            F.when(F.size(f"_tokens{i}") == 0, F.col(f"_whole{i}")).otherwise(F.array_join(f"_tokens{i}", ".")).alias(texts[c])
+            for i, c in enumerate(columns)
+        ),
     )
 
 
+def token_sql(prefix: str) -> str:
+    """SQL of a subset's hash: its number and a digest of its terms' codes in order."""
+    middle = "CASE WHEN n = 3 THEN concat(' ', total - least - most) ELSE '' END"
+    last = "CASE WHEN n > 1 THEN concat(' ', most) ELSE '' END"
+    return f"concat({prefix}, substr(md5(concat(least, {middle}, {last})), 1, 10))"
+
+
 def document_lexicon(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The lexicon of a table of documents, counted over all of them."""
     texts = docs.select(terms_of(F.coalesce(F.col(text_col), F.lit(""))).alias("terms"))
@@ -196,8 +203,8 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Returns ``id_col``, ``n_chars``, ``edited_sha256``, ``fingerprint``,
     ``edited_fingerprint``, ``near_edited`` and ``near_next``.  A null text
-    counts as empty; a text without terms has an empty fingerprint, which equals
-    that of every other such text.  A single document is its own next one.  Rows
+    counts as empty; texts without terms have equal fingerprints.  Ids may be of
+    any type with an order.  A single document is its own next one.  Rows
     that repeat are rows of their own.  An empty table gives an empty result.
     Other columns are not read.
     """

@@ -86,23 +86,13 @@ def _imatch_sql() -> str:
         + LOWER.format("{0}")
         + f", '[\\x20\\x09-\\x0D]+'), lambda w: trim(w, '{punctuation}')), lambda w: w <> '')))"
     )
-    n = len(imatch.HALVINGS)
-    digest = "substr(md5(array_to_string({0}, ' ')), 1, 16)"
-    empty = f"'{imatch.EMPTY}'"
-    subset = "list_transform(list_filter(band, lambda x: (x.mask & {0}) <> 0), lambda x: x.term)"
-    hashes = []
-    for k in range(n):
-        part = subset.format(1 << k)
-        value = f"CASE WHEN len({part}) = 0 THEN {empty} ELSE {digest.format(part)} END"
-        if k == 0:
-            value = f"CASE WHEN len(band) = 0 THEN CASE WHEN len(terms) = 0 THEN {empty} ELSE {digest.format('terms')} END ELSE {value} END"
-        hashes.append(value)
+    subsets = ", ".join(imatch.subsets_sql("{0}", "('0x' || {0})::INT"))
+    code = "('0x' || substr(md5({0}), 1, 12))::BIGINT"
 
     def near(a: str, b: str) -> str:
         left, right = f"string_split({a}, '.')", f"string_split({b}, '.')"
-        used = "+".join(f"(CASE WHEN {left}[{k}] <> {empty} OR {right}[{k}] <> {empty} THEN 1 ELSE 0 END)" for k in range(1, n + 1))
-        same = "+".join(f"(CASE WHEN {left}[{k}] <> {empty} AND {left}[{k}] = {right}[{k}] THEN 1 ELSE 0 END)" for k in range(1, n + 1))
-        return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN ({used}) = 0 THEN 0.0::DOUBLE ELSE ({same})::DOUBLE / ({used}) END"
+        same = f"len(list_intersect({left}, {right}))"
+        return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE ELSE (2.0::DOUBLE * {same}) / (len({left}) + len({right})) END"
 
     return f"""
 WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -113,11 +103,15 @@ texts AS (SELECT doc_id, 0 AS which, {terms.replace("{0}", "text")} AS terms FRO
     UNION ALL SELECT doc_id, 1, {terms.replace("{0}", "edit")} FROM edited),
 pairs AS (SELECT doc_id, which, unnest(terms) AS term FROM texts),
 counted AS (SELECT term, count(*) AS n FROM pairs WHERE which = 0 GROUP BY term),
-lexicon AS (SELECT term, {imatch.subset_mask_sql()} AS mask FROM counted
+lexicon AS (SELECT term, {code.format('term')} AS code, [{subsets}] AS subsets FROM counted
     WHERE n >= {imatch.MIN_DOCS} AND n >= {imatch.LOW_SHARE} * (SELECT count(*) FROM docs) AND n <= {imatch.HIGH_SHARE} * (SELECT count(*) FROM docs)),
-bands AS (SELECT doc_id, which, list({{'term': term, 'mask': mask}} ORDER BY term) AS band FROM pairs JOIN lexicon USING (term) GROUP BY ALL),
-whole AS (SELECT t.doc_id, t.which, t.terms, coalesce(b.band, []) AS band FROM texts t LEFT JOIN bands b USING (doc_id, which)),
-prints AS (SELECT doc_id, which, concat_ws('.', {", ".join(hashes)}) AS print FROM whole),
+members AS (SELECT doc_id, which, code, unnest(subsets) AS subset FROM pairs JOIN lexicon USING (term)
+    UNION ALL SELECT doc_id, which, {code.format("array_to_string(terms, ' ')")}, {imatch.WHOLE} FROM texts),
+held AS (SELECT doc_id, which, subset, count(*) AS n, min(code) AS least, max(code) AS most, sum(code)::BIGINT AS total
+    FROM members WHERE subset IS NOT NULL GROUP BY ALL),
+tokens AS (SELECT doc_id, which, subset, {imatch.token_sql("printf('%03x', subset)")} AS token FROM held WHERE n <= {imatch.MAX_TERMS}),
+prints AS (SELECT doc_id, which, coalesce(string_agg(token, '.' ORDER BY token) FILTER (subset < {imatch.WHOLE}),
+    max(token) FILTER (subset = {imatch.WHOLE})) AS print FROM tokens GROUP BY ALL),
 joined AS (SELECT e.doc_id, e.n_chars, sha256(e.edit) AS edited_sha256, a.print AS fingerprint, b.print AS edited_fingerprint, c.print AS next_print
     FROM edited e JOIN prints a ON a.doc_id = e.doc_id AND a.which = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.which = 1
     JOIN prints c ON c.doc_id = e.next_id AND c.which = 0)

@@ -351,6 +351,8 @@ def test_line_dedup(docs, spark):
 def test_fingerprints_tell_shared_halves_from_neighbours(spark):
     found = QUERIES["op8_imatch"](spark, "/root/testdata/sf0.01").toPandas()
     assert found.near_edited.mean() > 10 * found.near_next.mean()
+    assert found.near_edited.mean() > 0.2 and (found.near_edited == 0).mean() < 0.05
+    assert (found.near_next >= found.near_edited).mean() < 0.05
 
 
 def test_copies_follow_targets(spark, docs):

@@ -1,8 +1,10 @@
 """Every operator and stage on nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import hashlib
+from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from reviewloom.llm import (
@@ -184,6 +186,10 @@ def test_fingerprints(docs, none):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in rows)
     assert all(r.near_edited == 1 for r in rows if r.n_chars < 2)
     assert imatch.fingerprint_with_edits(none).count() == 0
+    named = docs.withColumn("doc_id", F.format_string("%05d", "doc_id"))
+    assert {r.fingerprint for r in imatch.fingerprint_with_edits(named).collect()} == {r.fingerprint for r in rows}
+    nameless = imatch.with_next_text(docs.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+    assert Counter(r.text for r in nameless) == Counter(r.next_text for r in nameless)
 
 
 def test_mixing(docs, none):
