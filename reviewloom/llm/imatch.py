@@ -82,7 +82,7 @@ def _bucket(starts: list[str], order: Column, kind: str) -> Column:
     """Number of split points at or below the value, by binary search; one foldable expression whatever their number."""
     if not starts:
         return F.lit(0)
-    points = F.array_sort(F.split(F.lit(SEPARATOR.join(starts)), SEPARATOR).cast(f"array<{kind}>"))
+    points = F.sort_array(F.split(F.lit(SEPARATOR.join(starts)), SEPARATOR).cast(f"array<{kind}>"))
     steps = F.lit([1 << k for k in reversed(range(len(starts).bit_length()))])
     return F.aggregate(
         steps, F.lit(0), lambda at, step: F.when(F.get(points, at + step - 1) <= order, at + step).otherwise(at)
