@@ -3,11 +3,12 @@
 import datetime as dt
 from hashlib import sha256
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from reviewloom.operators import extract
-from reviewloom.sources.markup import page_nodes
+from reviewloom.sources.markup import page_nodes, parsed_pieces
 
 NOW = dt.datetime(2025, 10, 15, 12, 0)
 
@@ -171,3 +172,10 @@ def test_ids_and_counts(pages):
     assert rows(extract.live_review_ids(df), "review_key") == [("abc",), ("short",), ("a-long-enough-id",)]
     assert [tuple(r) for r in extract.loaded_counts(df).select("blocks", "filled_blocks").collect()] == [(3, 2)]
     assert [tuple(r) for r in extract.loaded_counts(pages("<p>")).select("blocks", "filled_blocks").collect()] == [(0, 0)]
+
+
+def test_a_batch_of_pages_is_parsed_in_pieces():
+    batch = pa.array([f"<p>{'x' * 99}</p>" if i % 5 else None for i in range(50)])
+    pieces = list(parsed_pieces(iter([batch]), piece_chars=500))
+    assert len(pieces) > 5 and max(map(len, pieces)) < 10
+    assert [n for p in pieces for n in p.to_pylist()] == [n for p in parsed_pieces(iter([batch])) for n in p.to_pylist()]
