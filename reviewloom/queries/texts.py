@@ -15,7 +15,7 @@ from reviewloom.operators.topics import TopicSettings, all_outliers, assign_topi
 from reviewloom.operators.upsert import assign_ids
 from reviewloom.queries.registry import query
 from reviewloom.queries.views import REVIEWS, STOP_LIST, STOP_WORDS, reviews, table
-from reviewloom.session import cut
+from reviewloom.session import land
 
 SETTINGS = TopicSettings(stop_words=STOP_WORDS)
 
@@ -245,7 +245,7 @@ requests AS (SELECT branch_id, topic, size, percentage, top_keywords,
 def _requests(spark, sf):
     rows = reviews(spark, sf).select("branch_id", "review_id", F.col("text").alias("normalized_text"))
     counted = term_counts(rows, "normalized_text", SETTINGS.words(), SETTINGS.ngram_max)
-    topics = cut(rows.join(assign_topics(rows, SETTINGS, counted=counted), ["branch_id", "review_id"]))
+    topics = land(rows.join(assign_topics(rows, SETTINGS, counted=counted), ["branch_id", "review_id"]), "topics")
     return topics, analysis_requests(topics, SETTINGS, counted=counted)
 
 
@@ -277,7 +277,7 @@ RESULTS_SQL = f"""{REQUESTS_SQL}, results AS (SELECT branch_id, topic, percentag
 
 @query(f"WITH {RESULTS_SQL} SELECT * FROM results")
 def topic_analysis_results(spark, sf):
-    requests = cut(_requests(spark, sf)[1])
+    requests = land(_requests(spark, sf)[1], "requests")
     return analysis_results(requests, _responses(requests))
 
 
@@ -288,7 +288,7 @@ SELECT branch_id, number_of_topics, number_of_reviews_processed, s_name AS branc
 FROM analysed JOIN processed USING (branch_id) JOIN supplier ON s_suppkey = branch_id""")
 def analysis_run_headers(spark, sf):
     topics, requests = _requests(spark, sf)
-    requests = cut(requests)
+    requests = land(requests, "requests")
     names = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
     return run_headers(topics, analysis_results(requests, _responses(requests)), names, SETTINGS)
 

@@ -10,7 +10,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.operators import upsert
+from reviewloom.operators import terms, topics, upsert
 from reviewloom.operators.language import detect_language, fit_language
 from reviewloom.operators.reports import branch_choice, collection_status, nested_insights
 from reviewloom.operators.topics import TopicSettings, assign_topics, topic_shares
@@ -310,3 +310,27 @@ def test_texts_are_taken_apart_in_one_job(spark):
     rows = spark.createDataFrame([(1, i, "pool water") for i in range(9)], "branch_id long, review_id long, normalized_text string")
     plan = assign_topics(rows, TopicSettings())._jdf.queryExecution().executedPlan().toString()
     assert "split(lower(" not in plan and "term-counts" in plan
+
+
+def _worded(spark):
+    rows = [(i % 3, i, " ".join(f"w{(i * k * k + k) % 41}" for k in range(1, 30 + i % 7))) for i in range(90)] + [(None, 200, "w1 w2"), (1, None, "w1 w3")]
+    return spark.createDataFrame(rows, "branch_id long, review_id long, normalized_text string")
+
+
+def test_first_choices_of_more_candidates_than_are_sent(spark, monkeypatch):
+    def chosen():
+        return as_set(assign_topics(_worded(spark), TopicSettings(stop_words=())), "branch_id", "review_id", "topic", "anchor")
+
+    every = chosen()
+    joined = []
+    monkeypatch.setattr(topics, "BROADCAST_ROW_LIMIT", 40)
+    choice = topics._first_choice
+    monkeypatch.setattr(topics, "_first_choice", lambda counted, candidates: joined.append(1) or choice(counted, candidates, 40))
+    assert chosen() == every and joined and len({row[3] for row in every}) > 3
+
+
+def test_terms_are_counted_where_their_texts_are(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(terms, "land", lambda df, *_: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    terms.term_counts(_worded(spark), "normalized_text", ())
+    assert "hashpartitioning" not in plans[0] and "rangepartitioning" in plans[0]
