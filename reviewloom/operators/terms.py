@@ -9,10 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reviewloom.operators.dedupe import first_n
-from reviewloom.session import land
+from reviewloom.session import broadcast_if_small, land
 
 BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
 TOP_TERMS = 10
+# Terms are ruled out by bounds where the frequent ones of all topics are at most one in so many.
+MOST_FREQUENT = 8
 
 
 def default_stop_words() -> list[str]:
@@ -87,22 +89,49 @@ def topic_terms(
         occurrences = with_terms(topics.select(*keys, topic_col, text_col), text_col, stop_words, ngram_max).withColumn("tf", F.lit(1))
     else:
         named = topics.select("branch_id", "review_id", *(c for c in (*keys, topic_col) if c != "branch_id"))
-        occurrences = counted.join(named, ["branch_id", "review_id"])
+        occurrences = counted.join(broadcast_if_small(named), ["branch_id", "review_id"])
     # summed up in one job; the sums per topic and the window across topics read the written counts
-    counts = land(occurrences.groupBy(*keys, topic_col, "term").agg(F.sum("tf").alias("tf")), "topic-terms")
-    per_topic = counts.groupBy(*keys, topic_col).agg(F.sum("tf").alias("words"))
+    counts = land(occurrences.groupBy(*keys, topic_col, "term").agg(F.sum("tf").alias("tf")), "topic-terms", "zstd")
+    named = [*keys, topic_col]
+    level = F.floor(F.log2("tf"))
+    # a row for each power of two that a topic's counts reach
+    levels = land(counts.groupBy(*named, level.alias("level")).agg(F.sum("tf").alias("words"), F.count("*").alias("terms")), "topic-levels")
+    per_topic = levels.groupBy(*named).agg(F.sum("words").alias("words"))
     mean_words = per_topic.groupBy(*keys).agg(F.floor(F.avg("words")).alias("mean_words"))
-    # few rows: one per topic, with the mean of its group alongside
-    sizes = per_topic.join(mean_words, keys)
-    across = Window.partitionBy(*keys, "term")
-    weight = F.col("tf") / F.col("words") * F.log(1 + F.col("mean_words") / F.col("f"))
-    ranked = (
-        counts.withColumn("f", F.sum("tf").over(across))
-        .join(sizes, [*keys, topic_col])
-        .select(*keys, topic_col, "term", "tf", weight.alias("weight"))
-    )
-    window = Window.partitionBy(*keys, topic_col).orderBy(F.desc("weight"), "term")
-    return ranked.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= top)
+    so_far = Window.partitionBy(*named).orderBy(F.desc("level"))
+    least = levels.withColumn("above", F.sum("terms").over(so_far)).filter(F.col("above") >= top).groupBy(*named).agg(F.max("level").alias("least"))
+    # few rows: one per topic, with the mean of its group alongside; the counts stay where they are
+    sizes = land(per_topic.join(mean_words, keys).join(least, named, "left").withColumn("least", F.coalesce("least", F.lit(0))), "topic-words")
+    chosen = F.sum(F.when(F.col("level") >= F.col("least"), F.col("terms")))
+    frequent, terms = levels.join(sizes.drop("words"), named).agg(F.coalesce(chosen, F.lit(0)), F.coalesce(F.sum("terms"), F.lit(0))).first()
+    sized = counts.join(broadcast_if_small(sizes), named)
+    if frequent * MOST_FREQUENT <= terms:
+        # its most frequent terms tell what weight the last of a topic's top terms has at least; a term found in
+        # no other topic has the greatest weight for its count, so most terms are ruled out without the other topics
+        some = _weighed(counts, land(sized.filter(level >= F.col("least")), "topic-frequent"), keys)
+        last = _ranked(some, named).filter(F.col("rank") == top).select(*named, F.col("weight").alias("last"))
+        bound = broadcast_if_small(land(last, "topic-bounds"))
+        open_terms = sized.join(bound, named, "left").filter(F.col("last").isNull() | (_weight(F.col("tf")) >= F.col("last") * (1 - 1e-9)))
+        weighed = _weighed(counts, land(open_terms.drop("last"), "topic-open"), keys)
+    else:
+        across = Window.partitionBy(*keys, "term")
+        weighed = counts.withColumn("f", F.sum("tf").over(across)).join(broadcast_if_small(sizes), named).withColumn("weight", _weight(F.col("f")))
+    return _ranked(weighed.select(*named, "term", "tf", "weight"), named).filter(F.col("rank") <= top)
+
+
+def _weight(f: Column) -> Column:
+    return F.col("tf") / F.col("words") * F.log(1 + F.col("mean_words") / f)
+
+
+def _weighed(counts: DataFrame, some: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``some`` of the counts with the weights that all counts give them."""
+    wanted = broadcast_if_small(land(some.select(*keys, "term").distinct(), "topic-wanted"))
+    across = counts.join(wanted, [*keys, "term"], "left_semi").groupBy(*keys, "term").agg(F.sum("tf").alias("f"))
+    return some.join(across, [*keys, "term"]).withColumn("weight", _weight(F.col("f")))
+
+
+def _ranked(weighed: DataFrame, named: Sequence[str]) -> DataFrame:
+    return weighed.withColumn("rank", F.row_number().over(Window.partitionBy(*named).orderBy(F.desc("weight"), "term")))
 
 
 def keyword_lists(terms: DataFrame, keys: Sequence[str]) -> DataFrame:

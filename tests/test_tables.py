@@ -1,6 +1,7 @@
 """Upserts, the store, streams and whole runs on small tables."""
 
 import datetime as dt
+import math
 import os
 import random
 import subprocess
@@ -334,3 +335,25 @@ def test_terms_are_counted_where_their_texts_are(spark, monkeypatch):
     monkeypatch.setattr(terms, "land", lambda df, *_: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
     terms.term_counts(_worded(spark), "normalized_text", ())
     assert "hashpartitioning" not in plans[0] and "rangepartitioning" in plans[0]
+
+
+@pytest.mark.parametrize("most", [8, 1, 10**9])
+def test_top_terms_with_and_without_bounds(spark, monkeypatch, most):
+    named = _worded(spark).withColumn("topic", (F.col("review_id") % 4).cast("int"))
+    monkeypatch.setattr(terms, "MOST_FREQUENT", most)
+    found = terms.topic_terms(named, top=5).orderBy("branch_id", "topic", "rank")
+    counts = {}
+    for r in named.collect():
+        words = r.normalized_text.split()
+        for term in words + [f"{x} {y}" for x, y in zip(words, words[1:])]:
+            of = counts.setdefault(r.branch_id, {}).setdefault(r.topic, {})
+            of[term] = of.get(term, 0) + 1
+    expected = []
+    for branch in range(3):
+        mean = sum(sum(c.values()) for c in counts[branch].values()) // len(counts[branch])
+        for topic in range(4):
+            own = counts[branch][topic]
+            weight = {t: n / sum(own.values()) * math.log(1 + mean / sum(c.get(t, 0) for c in counts[branch].values())) for t, n in own.items()}
+            first = sorted(weight, key=lambda t: (-round(weight[t], 12), t))[:5]
+            expected += [(branch, topic, k, t, own[t]) for k, t in enumerate(first, 1)]
+    assert [(r.branch_id, r.topic, r["rank"], r.term, r.tf) for r in found.collect()] == expected
