@@ -76,10 +76,11 @@ class BucketTable:
 
         Null branches and null texts are values like any other.
         """
-        shaped = land(self.shaped(batch), "bucket-batch")
-        fresh = keep_first(shaped, ["branch_id", KEY], order)
+        shaped = land(self.shaped(batch), "bucket-batch", "zstd")
         known = self.stored(self.touched(shaped)).select("branch_id", KEY)
-        added = land(null_safe(fresh, known, ["branch_id", KEY], "left_anti"), "bucket-added")
+        # stored rows go first, so that only new ones are moved again
+        fresh = null_safe(shaped, known, ["branch_id", KEY], "left_anti")
+        added = land(keep_first(fresh, ["branch_id", KEY], order), "bucket-added", "zstd")
         if not added.isEmpty():
             self._save(added, "append")
         return added.select(*self.columns)

@@ -15,6 +15,7 @@ from reviewloom.operators import changes, kmeans, language, metrics, similarity,
 from reviewloom.operators.dedupe import not_seen
 from reviewloom.plans import stages
 from reviewloom.schemas import PAGES, REVIEWS
+from reviewloom.sinks import buckets
 from reviewloom.sinks.buckets import BucketTable
 from reviewloom.sinks.files import export_insights_csv
 from reviewloom.sinks.store import ReviewStore
@@ -388,3 +389,15 @@ def test_large_language_models_stay_a_table(spark, monkeypatch):
     assert small.runs is not None and large.runs is None
     one, two = (sorted(map(tuple, language.detect_language(texts, m).collect()), key=str) for m in (small, large))
     assert one == two and (1, "great gym", "en") in one and (5, "xyzxyz", None) in one
+
+
+def test_stored_rows_go_before_the_choice_among_new_ones(spark, tmp_path, monkeypatch):
+    plans = {}
+    real = buckets.land
+    monkeypatch.setattr(buckets, "land", lambda df, label, *a: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or real(df, label, *a))
+    rows = spark.createDataFrame([(None, "x", 1), (1, "x", 2), (1, "x", 3), (1, None, 4)], "branch_id long, text string, review_id long")
+    table = buckets.BucketTable(spark, str(tmp_path / "t"), rows.schema, 4, "text")
+    assert sorted(r.review_id for r in table.insert_absent(rows.filter("review_id < 3"), ["review_id"]).collect()) == [1, 2]
+    assert [r.review_id for r in table.insert_absent(rows, ["review_id"]).collect()] == [4]
+    plan = plans["bucket-added"]
+    assert plan.index("Window") < plan.index("LeftAnti")
