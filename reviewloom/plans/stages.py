@@ -25,7 +25,7 @@ from reviewloom.operators.upsert import (
     assign_ids, new_reviews, next_id, split_oversize, upsert, upsert_branches_by_place, upsert_branches_by_url,
 )
 from reviewloom.schemas import WIDTHS
-from reviewloom.session import cut, land
+from reviewloom.session import broadcast_if_small, cut, land
 from reviewloom.sinks.store import ReviewStore
 from reviewloom.sources.tables import branch_ids_of, normalized_texts, reviews_for_normalising
 
@@ -51,7 +51,9 @@ def collect(store: ReviewStore, branches: DataFrame, pages: DataFrame, options:
     stored nor dated and none of its reviews are.  Reviews with a value wider
     than its column are set aside with the names of those columns.
     """
-    named = pages.join(branches.select("name", "url").dropDuplicates(["url"]), "url")
+    names = broadcast_if_small(land(branches.select("name", "url").dropDuplicates(["url"]), "names"))
+    # the pages are made and named once; verdicts, reviews, errors and dates read them as written
+    named = land(pages.join(names, "url"), "named", "zstd")
     good, found = collected_reviews(named, options)
     found = land(found, "found")
     seen = good.groupBy("url", "name").agg(F.max("fetched_at").alias("scraped_at"))
@@ -74,7 +76,7 @@ def collected_reviews(named: DataFrame, options: RunOptions) -> tuple[DataFrame,
     Snapshots accumulate: of a review seen more than once the first sighting
     counts.  A limit applies to the reviews of a branch.
     """
-    passed = branch_verdicts(named).filter(~F.col("skipped")).select("url")
+    passed = broadcast_if_small(land(branch_verdicts(named).filter(~F.col("skipped")).select("url"), "passed"))
     good = named.join(passed, "url", "left_semi")
     if options.layout == 1:
         parsed = parsed_v1(good).withColumn("_key", same_text(F.col("text")))

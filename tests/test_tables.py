@@ -357,3 +357,11 @@ def test_top_terms_with_and_without_bounds(spark, monkeypatch, most):
             first = sorted(weight, key=lambda t: (-round(weight[t], 12), t))[:5]
             expected += [(branch, topic, k, t, own[t]) for k, t in enumerate(first, 1)]
     assert [(r.branch_id, r.topic, r["rank"], r.term, r.tf) for r in found.collect()] == expected
+
+
+def test_pages_are_made_once_in_a_collection(spark, tmp_path):
+    html = '<div data-review-id="1"><div class="MyEned">long enough a text</div></div>'
+    pages = spark.createDataFrame([(1, "u1", html, 0, T0), (2, "u2", "recaptcha", 0, T0)], PAGES)
+    status = stages.collect(ReviewStore(spark, str(tmp_path)), spark.createDataFrame([("a", "u1"), ("b", "u2")], "name string, url string"), pages, RunOptions(), "one")
+    assert "ExistingRDD" not in status._jdf.queryExecution().executedPlan().toString()
+    assert as_set(status, "url", "skipped", "found", "new") == {("u1", False, 1, 1), ("u2", True, None, None)}
