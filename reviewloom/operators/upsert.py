@@ -21,7 +21,7 @@ def assign_ids(df: DataFrame, order: Sequence[str | Column], id_col: str, start:
     only the partition sizes are summed up, so no task sees the whole table and
     the sampling of the ranges does not compute the rows again.
     """
-    spread = land(land(df, "ids").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ids")
+    spread = land(land(df, "ids", "zstd").repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ids", "zstd")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # one row per partition
     offsets = spread.groupBy("_part").agg(F.count("*").alias("_n")).withColumn(

@@ -55,13 +55,13 @@ def collect(store: ReviewStore, branches: DataFrame, pages: DataFrame, options:
     # the pages are made and named once; verdicts, reviews, errors and dates read them as written
     named = land(pages.join(names, "url"), "named", "zstd")
     good, found = collected_reviews(named, options)
-    found = land(found, "found")
+    found = land(found, "found", "zstd")
     seen = good.groupBy("url", "name").agg(F.max("fetched_at").alias("scraped_at"))
     store.replace("branches", upsert_branches_by_url(store.read("branches"), seen, ["scraped_at", "name"]))
     rows = branch_ids_of(found, store.read("branches")).withColumn("scraped_at", F.col("fetched_at"))
     part = f"run-{run}"
     fits, rejected = split_oversize(rows, WIDTHS["reviews"])
-    fresh = land(new_reviews(fits, store.read("reviews", without_part=part), ["snapshot_no", "page_id", "block_no"]), "new")
+    fresh = land(new_reviews(fits, store.read("reviews", without_part=part), ["snapshot_no", "page_id", "block_no"]), "new", "zstd")
     store.append("reviews", fresh, part)
     store.reject("reviews", rejected.select("url", "author", "text", "review_date", "oversize"), part)
     links = store.read("branches").select(F.col("id").alias("branch_id"), "url")
