@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,8 +142,10 @@ def edited(text: Column, next_text: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - half), F.substring(next_text, F.lit(1), half))
 
 
-def fingerprint(docs: DataFrame, lex: DataFrame, keys: list[str], texts: dict[str, str]) -> DataFrame:
-    """``keys`` and the fingerprints of several text columns at once; ``keys`` name each row uniquely.
+def fingerprint(
+    docs: DataFrame, lex: DataFrame, keys: list[str], texts: dict[str, str], carried: Sequence[str] = ()
+) -> DataFrame:
+    """``keys``, ``carried`` and the fingerprints of several text columns at once; ``keys`` name each row uniquely.
 
     Terms are exploded with little besides and meet the lexicon; those of one
     subset are at most ``MAX_TERMS`` codes where they count, so their number,
@@ -149,35 +153,41 @@ def fingerprint(docs: DataFrame, lex: DataFrame, keys: list[str], texts: dict[st
     Where the rows lie together by some of the keys already, nothing is
     shuffled unless the lexicon is too large to be sent.  A text no subset
     speaks for, as one without a term of the band, has the hash of all its terms.
+    Columns to be carried go along with the first text's hash alone, as one
+    more value to group by, so that they need no join afterwards.
     """
     columns = list(texts)
     places = range(len(columns))
-    termed = docs.select(*keys, *(terms_of(F.col(c)).alias(f"_terms{i}") for i, c in enumerate(columns)))
+    load = F.struct(*carried) if carried else F.lit(None).cast("int")
+    termed = docs.select(*keys, load.alias("_load"), *(terms_of(F.col(c)).alias(f"_terms{i}") for i, c in enumerate(columns)))
     tagged = F.concat(*(_tagged(F.col(f"_terms{i}"), i) for i in places))
     whole = F.col("of") < 0
     met = (
-        termed.select(*keys, F.explode(tagged).alias("_t"))
-        .select(*keys, "_t.of", "_t.term")
+        termed.select(*keys, "_load", F.explode(tagged).alias("_t"))
+        .select(*keys, "_t.of", "_t.term", F.when(F.col("_t.of") == -1, F.col("_load")).alias("_load"))
         .join(broadcast_if_small(lex, BROADCAST_TERMS), "term", "left")
         .filter(whole | F.col("code").isNotNull())
         .select(
             *keys,
+            "_load",
             F.when(whole, -1 - F.col("of")).otherwise(F.col("of")).alias("of"),
             F.when(whole, _code(F.col("term"))).otherwise(F.col("code")).alias("code"),
             F.explode(F.when(whole, F.array(F.lit(WHOLE))).otherwise(F.col("subsets"))).alias("subset"),
         )
     )
-    held = met.groupBy(*keys, "of", "subset").agg(
+    held = met.groupBy(*keys, "of", "subset", "_load").agg(
         F.count("*").alias("n"), F.min("code").alias("least"), F.max("code").alias("most"), F.sum("code").alias("total")
     )
-    speaking = held.filter(F.col("n") <= MAX_TERMS).select(*keys, "of", "subset", F.expr(token_sql("lower(lpad(hex(subset), 3, '0'))")).alias("token"))
+    speaking = held.filter(F.col("n") <= MAX_TERMS).select(*keys, "of", "subset", "_load", F.expr(token_sql("lower(lpad(hex(subset), 3, '0'))")).alias("token"))
     mine = lambda i, plain: (F.col("of") == i) & ((F.col("subset") < WHOLE) == F.lit(plain))
     gathered = speaking.groupBy(*keys).agg(
+        F.any_value("_load", F.lit(True)).alias("_load"),
         *(F.max(F.when(mine(i, False), F.col("token"))).alias(f"_whole{i}") for i in places),
         *(F.sort_array(F.collect_list(F.when(mine(i, True), F.col("token")))).alias(f"_tokens{i}") for i in places),
     )
     return gathered.select(
         *keys,
+        *(F.col("_load")[c].alias(c) for c in carried),
         *(
             F.when(F.size(f"_tokens{i}") == 0, F.col(f"_whole{i}")).otherwise(F.array_join(f"_tokens{i}", ".")).alias(texts[c])
             for i, c in enumerate(columns)
@@ -212,39 +222,38 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     pairs = with_next_text(docs, id_col, text_col).select(
         "bucket", "place", "id", "text", edited(F.col("text"), F.col("next_text")).alias("edit")
     )
-    keys = ["bucket", "place"]
+    keys, carried = ["bucket", "place"], ["id", "n_chars", "edited_sha256"]
     rows = pairs.select(
-        *keys, "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256")
+        *keys, "id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edit", 256).alias("edited_sha256"), "text", "edit"
     )
-    found = fingerprint(pairs.select(*keys, "text", "edit"), lex, keys, {"text": "fingerprint", "edit": "edited_fingerprint"})
-    prints = landed(rows.join(found, keys), "fingerprints")
-    return _with_next_print(prints).select(
+    found = fingerprint(rows, lex, keys, {"text": "fingerprint", "edit": "edited_fingerprint"}, carried)
+    return _near_next(found).select(
         F.col("id").alias(id_col),
         "n_chars",
         "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "near_next",
     )
 
 
-def _with_next_print(prints: DataFrame) -> DataFrame:
-    """The fingerprint of the next row beside each, over the buckets' ring; one row per bucket crosses buckets."""
+def _near_next(found: DataFrame) -> DataFrame:
+    """The rows, landed, with ``near_next``, the likeness to the next row over the buckets' ring.
+
+    Where the rows lie together by bucket they look ahead in place; the last row
+    of every bucket alone is joined to the first of the bucket after.
+    """
+    ahead = F.lead("fingerprint").over(Window.partitionBy("bucket").orderBy("place"))
+    looked = found.withColumn("_ahead", ahead)
+    near = F.when(F.col("_ahead").isNotNull(), likeness(F.col("fingerprint"), F.col("_ahead")))
+    prints = landed(looked.select(*found.columns, near.alias("near_next")), "fingerprints")
+    # one row per bucket
     around = Window.orderBy("bucket")
-    ends = prints.groupBy("bucket").agg(F.max("place").alias("n_rows"))
-    whole = Window.partitionBy()
-    ring = ends.select(
-        F.col("bucket").alias("previous"),
-        "n_rows",
-        F.coalesce(F.lead("bucket").over(around), F.min("bucket").over(whole)).alias("bucket"),
-    )
-    crossing = (
-        prints.filter(F.col("place") == 1)
-        .join(F.broadcast(ring), "bucket")
-        .select(F.col("previous").alias("bucket"), F.col("n_rows").alias("place"), F.col("fingerprint").alias("next_fingerprint"))
-    )
-    inside = prints.filter(F.col("place") > 1).select(
-        "bucket", (F.col("place") - 1).alias("place"), F.col("fingerprint").alias("next_fingerprint")
+    ring = prints.groupBy("bucket").agg(F.max("place")).select(
+        F.col("bucket").alias("first_of"), F.coalesce(F.lag("bucket").over(around), F.max("bucket").over(Window.partitionBy())).alias("bucket")
     )
-    return prints.join(inside.unionByName(crossing), ["bucket", "place"], "left")
+    heads = prints.filter("place = 1").select(F.col("bucket").alias("first_of"), F.col("fingerprint").alias("_head"))
+    crossing = prints.filter("near_next IS NULL").drop("near_next").join(ring.join(heads, "first_of").drop("first_of"), "bucket")
+    closed = crossing.withColumn("near_next", likeness(F.col("fingerprint"), F.col("_head"))).drop("_head")
+    return prints.filter("near_next IS NOT NULL").unionByName(closed)

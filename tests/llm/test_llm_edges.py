@@ -217,3 +217,20 @@ def test_stages(spark, docs, none, name, stage):
     out.collect()
     if name != corpus_pipeline.STAGES[-1][0]:
         assert tuple(out.columns) == corpus_pipeline.COLUMNS
+
+
+def test_imatch_shuffles_no_fingerprints(spark, monkeypatch):
+    """Rows stay in their buckets: neither ids nor fingerprints are shuffled, but for one row per bucket."""
+    plans = {}
+    real = imatch.landed
+    monkeypatch.setattr(imatch, "landed", lambda df, label: plans.update({label: df._jdf.queryExecution().executedPlan().toString()}) or real(df, label))
+    rows = [(i if i % 9 else None, f"some words of text {i % 7} and {i}" * (i % 5)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = imatch.fingerprint_with_edits(docs).collect()
+    assert sorted(str(r.doc_id) for r in found) == sorted(str(i) for i, _ in rows)
+    assert "place" not in "".join(line for line in plans["fingerprints"].splitlines() if "Exchange hashpartitioning" in line)
+    ordered = sorted((r for r in found if r.doc_id is not None), key=lambda r: r.doc_id)
+    for r, following in zip(ordered, ordered[1:]):
+        a, b = r.fingerprint.split("."), following.fingerprint.split(".")
+        near = 1.0 if a == b else 2 * len(set(a) & set(b)) / (len(a) + len(b))
+        assert r.near_next == pytest.approx(near)
