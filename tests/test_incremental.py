@@ -314,6 +314,25 @@ def test_similar_pairs_with_split_lists(spark, monkeypatch):
     assert found.keys() == expected.keys() and all(found[k] == pytest.approx(expected[k]) for k in found)
 
 
+def test_similar_pairs_write_no_candidates(spark, monkeypatch):
+    """What is written on the way to the pairs has at most a row per review or term, however many reviews share terms."""
+    written = {}
+    real = similarity.land
+
+    def counting(df, label, *more):
+        out = real(df, label, *more)
+        written[label] = out.count()
+        return out
+
+    monkeypatch.setattr(similarity, "land", counting)
+    draw = random.Random(8)
+    rows = [(1, i, " ".join(draw.choices([f"w{k}" for k in range(30)], k=draw.randrange(3, 12)))) for i in range(60)]
+    settings = similarity.SimilaritySettings(min_topic_size=2, similarity=0.4, stop_words=())
+    df = spark.createDataFrame([*rows, (2, 100, "alone"), (2, 101, "?")], "branch_id long, review_id long, normalized_text string")
+    assert similarity.similar_pairs(similarity.review_vectors(df, settings), 0.4).count() > 60
+    assert max(written.values()) <= 62
+
+
 def test_kmeans_equals_plain_lloyd(spark):
     """Every branch's leaves equal those of the same steps in plain Python."""
     draw = random.Random(4)
