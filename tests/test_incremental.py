@@ -398,6 +398,26 @@ def test_kmeans_equals_plain_lloyd(spark):
     assert topics[n] == topics[n + 1] == -1 and len(topics) == len(rows)
 
 
+def test_kmeans_steps_write_no_reviews(spark, monkeypatch):
+    """A split's steps write rows per cluster; reviews are written once a round, with their clusters."""
+    written = defaultdict(list)
+    real = kmeans.land
+
+    def counting(df, label, *more):
+        out = real(df, label, *more)
+        written[label].append(out.count())
+        return out
+
+    monkeypatch.setattr(kmeans, "land", counting)
+    rows = [(1, i, " ".join(f"{'ab'[i % 2]}{(i * k) % 9}" for k in range(1, 5))) for i in range(40)] + [(1, None, "a1 a2"), (2, 50, "a1")]
+    settings = kmeans.KMeansSettings(min_topic_size=4, topics=2, width=16, steps=4, stop_words=())
+    df = spark.createDataFrame(rows, "branch_id long, review_id long, normalized_text string")
+    got = {r.review_id: r.topic for r in kmeans.kmeans_topics(df, settings).collect()}
+    assert got[None] == got[50] == -1 and {got[i] for i in range(40)} == {0, 1}
+    reviews = written.pop("kmeans-vectors")
+    assert len(reviews) <= 2 and max(n for ns in written.values() for n in ns) <= 4
+
+
 def test_large_language_models_stay_a_table(spark, monkeypatch):
     """Scoring by a join gives the languages of the map step."""
     known = spark.createDataFrame([("the gym is great and the staff too", "en"), ("das ist sehr gut und die leute auch", "de"), ("x", "fr")], "text string, lang string")
