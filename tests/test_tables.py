@@ -8,10 +8,12 @@ import subprocess
 import sys
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reviewloom.operators import terms, topics, upsert
+from reviewloom.operators import bags, terms, topics, upsert
 from reviewloom.operators.language import detect_language, fit_language
 from reviewloom.operators.reports import branch_choice, collection_status, nested_insights
 from reviewloom.operators.topics import TopicSettings, assign_topics, topic_shares
@@ -359,6 +361,38 @@ def test_top_terms_with_and_without_bounds(spark, monkeypatch, most):
     assert [(r.branch_id, r.topic, r["rank"], r.term, r.tf) for r in found.collect()] == expected
 
 
+def test_topics_of_counts_in_many_small_shards(spark, monkeypatch):
+    """A shard writes a row per review and per bucket, not one per review and term, and how reviews fall into shards changes nothing."""
+    rows = _worded(spark).unionByName(_worded(spark).filter("review_id < 6"))
+    named = rows.withColumn("topic", (F.col("review_id") % 4).cast("int"))
+    settings = TopicSettings(stop_words=())
+    columns = ("branch_id", "review_id", "topic", "anchor")
+    whole = as_set(assign_topics(rows, settings), *columns)
+    once = named.dropDuplicates(["branch_id", "review_id"])
+    top = as_set(terms.topic_terms(named, top=5), "branch_id", "topic", "rank", "term", "tf")
+    monkeypatch.setattr(bags, "SHARD_WORDS", 100)
+    monkeypatch.setattr(bags, "BUCKET_CHARACTERS", 1000)
+    counted = terms.term_counts(rows, "normalized_text", (), 2)
+    assert counted.filter("bucket IS NULL").count() == 92 and counted.filter("bucket IS NULL").select("shard").distinct().count() > 20
+    assert counted.select("bucket").distinct().count() > 5
+    assert as_set(assign_topics(rows, settings, counted=counted), *columns) == whole
+    assert as_set(terms.topic_terms(once, top=5, counted=counted), "branch_id", "topic", "rank", "term", "tf") == top
+
+
+@pytest.mark.parametrize("longest", [0, 3, 10**12])
+def test_packed_numbers_and_strings_come_back(longest):
+    draw = random.Random(longest)
+    lists = [sorted(draw.randrange(longest + 1) for _ in range(n)) for n in (0, 3, 0, 40, 1, 0)]
+    begins = np.cumsum([0, *map(len, lists)])
+    values = np.array([x for some in lists for x in some], np.int64)
+    for rising in (False, True):
+        back, ends = bags.unpacked(bags.packed(values, begins, rising), rising)
+        assert back.tolist() == values.tolist() and ends.tolist() == begins.tolist()
+    words = pa.array([f"é{x}" for x in values.tolist()], pa.string())
+    texts, ends = bags.unzipped(bags.zipped(words, begins))
+    assert texts.to_pylist() == words.to_pylist() and ends.tolist() == begins.tolist()
+
+
 def test_pages_are_made_once_in_a_collection(spark, tmp_path):
     html = '<div data-review-id="1"><div class="MyEned">long enough a text</div></div>'
     pages = spark.createDataFrame([(1, "u1", html, 0, T0), (2, "u2", "recaptcha", 0, T0)], PAGES)
