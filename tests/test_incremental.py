@@ -6,12 +6,15 @@ import re
 import time
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from reviewloom.functions import variants
 from reviewloom.operators import changes, kmeans, language, metrics, similarity, sketches, upsert
+from reviewloom.operators.bags import packed
 from reviewloom.operators.dedupe import not_seen
 from reviewloom.plans import stages
 from reviewloom.schemas import PAGES, REVIEWS
@@ -333,6 +336,40 @@ def test_similar_pairs_write_no_candidates(spark, monkeypatch):
     assert max(written.values()) <= 62
 
 
+def test_vectors_to_be_copied_are_small(spark):
+    """A term of a vector takes some bytes, not two numbers of eight; the weights follow from them."""
+    draw = random.Random(5)
+    rows = [(1, i, " ".join(draw.choices([f"w{k}" for k in range(200)], k=100))) for i in range(300)]
+    settings = similarity.SimilaritySettings(similarity=0.4, stop_words=())
+    vectors = similarity.review_vectors(spark.createDataFrame(rows, "branch_id long, review_id long, normalized_text string"), settings)
+    held, size = vectors.selectExpr("sum(held)", "sum(length(terms) + length(tfs) + length(dfs))").first()
+    assert held > 20_000 and size < 8 * held
+
+
+@pytest.mark.parametrize("frequent, parts", [(28, False), (1, True), (10**9, True), (4, False)])
+def test_near_reviews_block_by_block(monkeypatch, frequent, parts):
+    """Terms as columns of a matrix or as lists, small blocks and strips: the same pairs as plain Python, each once."""
+    for name, value in (("FREQUENT", frequent), ("BLOCK_ROWS", 16), ("STRIP", 50), ("PAIRS", 3)):
+        monkeypatch.setattr(similarity, name, value)
+    draw = random.Random(9)
+    bags, df = [Counter(draw.choices(range(40), k=draw.randrange(1, 15))) for _ in range(70)], Counter()
+    for bag in bags:
+        df.update(bag.keys())
+    raw = [{t: (1 + math.log(n)) * math.log(1 + 70 / df[t]) for t, n in bag.items()} for bag in bags]
+    length = [math.sqrt(sum(w * w for w in r.values())) for r in raw]
+    begins = np.cumsum([0, *map(len, bags)])
+    lists = [[sorted(bag) for bag in bags], [[bag[t] for t in sorted(bag)] for bag in bags], [[df[t] for t in sorted(bag)] for bag in bags]]
+    terms, tfs, dfs = (packed(np.array([x for some in of for x in some]), begins, rising=k == 0) for k, of in enumerate(lists))
+    rows = pa.table({"terms": terms, "tfs": tfs, "dfs": dfs, "n": [70] * 70, "length": length})
+    cut = 30 if parts else 0
+    near = similarity._near(rows.slice(0, cut), rows.slice(cut), 0.3) if parts else similarity._near(rows, None, 0.3)
+    found = [(int(a), int(b) + cut, float(c)) for x, y, cosines in near for a, b, c in zip(x, y, cosines)]
+    cosine = lambda a, b: sum(w * raw[b].get(t, 0) for t, w in raw[a].items()) / length[a] / length[b]
+    expected = {(a, b): c for a in range(cut or 70) for b in range(max(a + 1, cut), 70) if (c := cosine(a, b)) >= 0.3}
+    assert len(expected) > 50 and len(found) == len(expected)
+    assert all(expected[a, b] == pytest.approx(c, abs=1e-12) for a, b, c in found)
+
+
 def test_kmeans_equals_plain_lloyd(spark):
     """Every branch's leaves equal those of the same steps in plain Python."""
     draw = random.Random(4)
